@@ -10,9 +10,10 @@ is scored by its clauses, so an insult that is denied or quoted counts for what
 clauses are worth in the labelled rows, not for the word.
 
 Learnt from a bounded sample of the labelled rows (LEARN_ROWS at most, by hash of
-doc_id; near copies, found by their smallest shingle, count once): further insults,
-the words that best tell the labels in texts where no known hit explains them; then
-the weights of the patterns, by logistic regression.
+doc_id; near copies, found by their smallest shingle, count once): further insults in
+any language, as words or word beginnings that best tell the labels in texts where no
+known hit explains them, each next one chosen for the texts that those before leave
+open; then the weights of the patterns, by logistic regression.
 
 Defined cases: null or empty text is scored like any text without a hit; a doc_id
 with several labels has the larger one; labels without a text, and a null label or
@@ -38,8 +39,10 @@ from .common import shingle_sets, small_batches
 
 #: Labelled rows to learn from, at most about.
 LEARN_ROWS = 12_000
-#: Learnt insults at most, the toxic texts one must be in, and how many times likelier than not it must make the label.
-LEARNT_WORDS, LEARNT_TEXTS, LEARNT_ODDS = 40, 8, 6.0
+#: Learnt insults at most (and candidates for them), the toxic texts one must be in, and how many times the odds of the label it must raise.
+LEARNT_WORDS, CANDIDATES, LEARNT_TEXTS, LEARNT_ODDS = 40, 300, 8, 6.0
+#: Letters of the word beginnings that are looked at.
+STEMS = range(3, 9)
 FOLDS, HELD_OUT = 5, 0
 
 # fixed values: word classes of the grammar
@@ -52,7 +55,8 @@ CLASSES = {
     "report": "said says say told called calls claimed claims wrote reported reportedly quoted alleged according shouted sagte nannte behauptete dit appelé dijo llamó",
     "intent": "will gonna going shall should must want wants i'll we'll werde werden soll vais va allons voy vamos quiero",
 }
-SYMBOLS = ("other", *CLASSES)
+SYMBOLS = ("other", *CLASSES, "learnt")
+_HITS = ("insult", "threat", "learnt")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.;:!?,\n]")
 _ENDS = frozenset(".;:!?,\n")
 #: Words for which a negation, a target or an intention reaches on.
@@ -73,7 +77,7 @@ def _countdown(trigger: str, reach: int, mark: str) -> Transducer:
     for left in range(reach + 1):
         row = {}
         for s in SYMBOLS:
-            hit = s in ("insult", "threat")
+            hit = s in _HITS
             row[s] = (reach if s == trigger else max(0, left - 1), mark if hit and left else "")
         rows.append(row)
     return Transducer(0, tuple(rows))
@@ -81,11 +85,11 @@ def _countdown(trigger: str, reach: int, mark: str) -> Transducer:
 
 def _latch(trigger: str, mark: str) -> Transducer:
     """Marks every later hit of the clause."""
-    return Transducer(0, tuple({s: (1 if s == trigger or on else 0, mark if on and s in ("insult", "threat") else "") for s in SYMBOLS} for on in (0, 1)))
+    return Transducer(0, tuple({s: (1 if s == trigger or on else 0, mark if on and s in _HITS else "") for s in SYMBOLS} for on in (0, 1)))
 
 
 def _hits() -> Transducer:
-    return Transducer(0, ({s: (0, s if s in ("insult", "threat") else "") for s in SYMBOLS},))
+    return Transducer(0, ({s: (0, s if s in _HITS else "") for s in SYMBOLS},))
 
 
 def compose(*parts: Transducer) -> Transducer:
@@ -109,14 +113,18 @@ def compose(*parts: Transducer) -> Transducer:
 GRAMMAR = compose(_hits(), _countdown("negation", NEGATION_REACH, "negated"), _latch("report", "reported"), _countdown("target", TARGET_REACH, "targeted"), _countdown("intent", INTENT_REACH, "intended"))
 PATTERNS = tuple(sorted({out for row in GRAMMAR.step for _, out in row.values() if out}))
 #: Groups of patterns that share a weight: the hit, whether it is cancelled, whether it has a target or (a threat) an intention.
-FEATURES = ("insult", "insult targeted", "insult negated", "insult reported", "threat", "threat intended", "threat negated", "threat reported", "clauses", "any")
-_PRIOR = np.array([1.5, 2.0, -0.5, -0.5, 0.2, 1.0, -0.3, -0.3, 0.5, 1.5])
+FEATURES = ("insult", "insult targeted", "insult negated", "insult reported", "threat", "threat intended", "threat negated", "threat reported", "learnt", "learnt cancelled", "clauses", "any")
+_PRIOR = np.array([1.5, 2.0, -0.5, -0.5, 0.2, 1.0, -0.3, -0.3, 0.5, 0.1, 0.5, 0.5])
 _PRIOR_BIAS = -3.0
+#: Groups of clauses that count as an attack of a known kind.
+_LIVE = [f in ("insult", "insult targeted", "threat intended") for f in FEATURES]
 
 
 def _group(pattern: str) -> int:
     marks = pattern.split()
     hit = marks[0]
+    if hit == "learnt":
+        return FEATURES.index("learnt cancelled" if "negated" in marks or "reported" in marks else "learnt")
     if "negated" in marks:
         return FEATURES.index(f"{hit} negated")
     if "reported" in marks:
@@ -128,29 +136,35 @@ def _group(pattern: str) -> int:
 
 @dataclass
 class Lexicon:
-    """Class and weight of the words that are not `other`."""
+    """Classes of the words that are not `other`, and the learnt word beginnings."""
 
-    words: dict[str, int] = field(default_factory=lambda: {w: SYMBOLS.index(c) for c, ws in CLASSES.items() for w in ws.split()})
-    weight: dict[str, float] = field(default_factory=dict)
+    stems: frozenset[str] = frozenset()
 
     def __post_init__(self):
-        n = len(SYMBOLS)
+        self.words = {w: SYMBOLS.index(c) for c, ws in CLASSES.items() for w in ws.split()}
+        self.hits = frozenset(w for w, c in self.words.items() if SYMBOLS[c] in _HITS)
+        self.sizes = sorted({len(x) for x in self.stems})
+        self.heads = frozenset(x[: STEMS[0]] for x in self.stems)
         self.next = [[row[s][0] for s in SYMBOLS] for row in GRAMMAR.step]
         self.out = [[_group(row[s][1]) if row[s][1] else -1 for s in SYMBOLS] for row in GRAMMAR.step]
-        self.hits = frozenset(w for w, c in self.words.items() if SYMBOLS[c] in ("insult", "threat"))
-        assert all(len(r) == n for r in self.next)
 
-    def clauses(self, tokens: list[str]) -> list[tuple[int, float]]:
-        """(pattern group, weight) of each clause's heaviest match."""
-        got, state, best = [], 0, None
-        classes, weight, step, out = self.words.get, self.weight.get, self.next, self.out
+    def symbol(self, token: str) -> int:
+        c = self.words.get(token, 0)
+        if c == 0 and token[: STEMS[0]] in self.heads and any(token[:n] in self.stems for n in self.sizes):
+            return len(SYMBOLS) - 1
+        return c
+
+    def clauses(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """(pattern group, its hits) of each clause's heaviest match."""
+        got, state, best, step, out = [], 0, None, self.next, self.out
         for t in tokens:
-            c = classes(t, 0)
+            c = self.symbol(t)
             g = out[state][c]
             if g >= 0:
-                w = weight(t, 1.0)
-                if best is None or (_PRIOR[g], w) > (_PRIOR[best[0]], best[1]):
-                    best = (g, w)
+                if best is None or _PRIOR[g] > _PRIOR[best[0]]:
+                    best = (g, 1)
+                elif g == best[0]:
+                    best = (g, best[1] + 1)
             if c == 0 and t in _ENDS:
                 if best is not None:
                     got.append(best)
@@ -167,13 +181,14 @@ class Lexicon:
         if not text:
             return x
         tokens = _TOKEN.findall(text.lower())
-        if self.hits.isdisjoint(tokens):
+        different = set(tokens)
+        if self.hits.isdisjoint(different) and self.heads.isdisjoint({t[: STEMS[0]] for t in different}):
             return x
         found = self.clauses(tokens)
-        for g, w in found:
-            x[g] += w
+        for g, n in found:
+            x[g] += n
         x = np.log1p(x)
-        live = sum(1 for g, _ in found if _PRIOR[g] > 0)
+        live = sum(1 for g, _ in found if _LIVE[g])
         x[-2] = math.log1p(live)
         x[-1] = 1.0 if live else 0.0
         return x
@@ -208,16 +223,35 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, group of near copies, distinct words) of the sampled texts."""
+    """(label, group of near copies, distinct words and word beginnings) of the sampled texts."""
     for batch in batches:
         texts = batch.column(2).to_pylist()
         group = np.zeros(len(texts), np.int64)
         for k, s in shingle_sets(batch.column(2)):
             group[k] = s[0].view(np.int64) if len(s) else 0
-        words = [sorted({w for w in _TOKEN.findall((t or "").lower()) if w not in _ENDS}) for t in texts]
+        words = []
+        for t in texts:
+            found = {w for w in _TOKEN.findall((t or "").lower()) if w not in _ENDS and len(w) >= STEMS[0]}
+            words.append(sorted(found | {w[:n] for w in found for n in STEMS if len(w) > n}))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(group), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "toxic", "copies", "words"])
 
 
+def _cover(candidates: list[tuple[str, int]], texts: list[set[str]], clean: int) -> list[str]:
+    """Candidates, best first, each while it still explains LEARNT_TEXTS open texts and many more of them than of the clean ones."""
+    chosen: list[str] = []
+    while len(chosen) < LEARNT_WORDS and texts:
+        open_, best = len(texts), None
+        for word, b in candidates:
+            a = sum(word in t for t in texts)
+            if a >= LEARNT_TEXTS and a / open_ - b / max(clean, 1) > (best[0] if best else 0) and (a + 0.5) / (open_ - a + 0.5) >= LEARNT_ODDS / 2 * (b + 0.5) / (clean - b + 0.5):
+                best = (a / open_ - b / max(clean, 1), word)
+        if best is None:
+            break
+        chosen.append(best[1])
+        texts = [t for t in texts if best[1] not in t]
+    return chosen
+
+
 def _features(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,12 +283,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         open_ = one.where(~F.arrays_overlap("words", hits))
         left = defaultdict(int, {r.toxic: r["count"] for r in open_.groupBy("toxic").count().collect()})
         per = open_.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-        odds = (F.col("a") + 0.5) * (left[0] + 1) / ((F.col("b") + 0.5) * (left[1] + 1))
-        base = max(1e-9, totals[1] / totals[0])
-        good = per.where(F.col("a") >= LEARNT_TEXTS).withColumn("odds", odds).where((F.col("odds") >= LEARNT_ODDS) & ((F.col("a") + 0.5) / (F.col("b") + 0.5) > base * LEARNT_ODDS))
-        learnt = good.orderBy(F.desc("odds"), "word").limit(LEARNT_WORDS).collect()
-        insult = SYMBOLS.index("insult")
-        lexicon = Lexicon(lexicon.words | {r.word: insult for r in learnt}, lexicon.weight)
+        a, b, na, nb = F.col("a") + 0.5, F.col("b") + 0.5, left[1] + 1.0, left[0] + 1.0
+        odds, whole = (a / (na - a)) / (b / (nb - b)), na + nb
+        share = (a + b) / whole
+        told = a * F.log(a / (na * share)) + b * F.log(b / (nb * share)) + (na - a) * F.log((na - a) / (na * (1 - share))) + (nb - b) * F.log((nb - b) / (nb * (1 - share)))
+        good = per.where((F.col("a") >= LEARNT_TEXTS) & (odds >= LEARNT_ODDS)).withColumn("told", told).orderBy(F.desc("told"), "word").limit(CANDIDATES).collect()
+        has = open_.where("toxic = 1").select(F.array_intersect("words", F.array(*[F.lit(r.word) for r in good])).alias("w")).collect() if good else []
+        lexicon = Lexicon(frozenset(_cover([(r.word, r.b) for r in good], [set(r.w) for r in has], left[0])))
         rows = sample.mapInArrow(_features(lexicon), "doc_id long, x array<double>").join(sample.select("doc_id", "toxic"), "doc_id").select("doc_id", "x", "toxic").collect()
     finally:
         one.unpersist()
