@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, mixing, ngram_join, secret_scan, token_counts, toxicity, va_search
+from . import fingerprints, language_id, mixing, ngram_join, secret_scan, suffix_lm, token_counts, toxicity, va_search
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_file_top_k": op1_va_file_top_k,
     "op2_toxicity_grammar": op2_toxicity_grammar,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_suffix_tree_lm": op4_suffix_tree_lm,
     "op5_mix_to_target_weights": op5_mix_to_target_weights,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
