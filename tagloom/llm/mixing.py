@@ -85,14 +85,17 @@ def sainte_lague(weights: list[float], seats: int) -> list[int]:
     return out
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, and the columns named in keep."""
-    spark = docs.sparkSession
-    sized = docs.select(
+def _sized(docs: DataFrame, seed: int, keep: list[str]) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), *(F.col(c).alias(f"_{c}") for c in keep),
     )
-    sized = materialize(sized, "sizes")
+
+
+def mix(docs: DataFrame, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, and the columns named in keep, prefixed by _."""
+    spark = docs.sparkSession
+    sized = materialize(_sized(docs, seed, []), "sizes")
     rows = sorted(((r.source, r.size) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     names, sizes = [r[0] for r in rows], [r[1] for r in rows]
     total = sum(sizes)
@@ -103,9 +106,12 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), seed: int = SEED) -> DataFr
     shards = [max(1, -(-s // per_shard)) for s in sizes]
 
     sources = spark.createDataFrame([(i, n, s, g, k) for i, (n, s, g, k) in enumerate(zip(names, sizes, goal, shards, strict=True))], "src int, name string, source_size long, target double, shards long")
-    placed = sized.join(F.broadcast(sources), sized.source.eqNullSafe(sources.name)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), "shards"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(sources), df.source.eqNullSafe(sources.name)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), "shards"))
+
     of: dict[int, list[tuple[int, int]]] = {}
-    for r in placed.groupBy("src", "shard").agg(F.sum("size").alias("size")).collect():
+    for r in placed(sized).groupBy("src", "shard").agg(F.sum("size").alias("size")).collect():
         of.setdefault(r.src, []).append((r.shard, r["size"]))
     quotas = []
     for i, own in of.items():
@@ -114,8 +120,22 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), seed: int = SEED) -> DataFr
             quotas.append((i, shard, size, min(q * block, MOST_TIMES * size)))
     quota = spark.createDataFrame(quotas, "src int, shard long, shard_size long, words long")
     w = Window.partitionBy("src", "shard").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(F.broadcast(quota), ["src", "shard"]).withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    out = placed(_sized(docs, seed, keep) if keep else sized).join(F.broadcast(quota), ["src", "shard"]).withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long")
     rest = F.col("words") - rounds * F.col("shard_size")
     part = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))
-    return out.select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + part).alias("taken"), *(F.col(f"_{c}").alias(c) for c in keep))
+    return out.select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + part).alias("taken"), *(f"_{c}" for c in keep or ()))
+
+
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time a document is taken.
+
+    The last copy of a document that is taken in part has its first words, joined by
+    single spaces. Documents without words are not taken.
+    """
+    took = mix(docs, seed, docs.columns).where("taken > 0")
+    took = took.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
+    rest = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
+    words = F.split(F.btrim("_text", F.lit(" \t\n\x0b\f\r")), "[\\x20\\x09-\\x0D]+")
+    text = F.when(rest >= F.col("size"), F.col("_text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest), " "))
+    return took.withColumn("_text", text).select(*(F.col(f"_{c}").alias(c) for c in docs.columns))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, mixing, ngram_join, secret_scan, suffix_lm, token_counts, toxicity, va_search
+from . import fingerprints, language_id, mixing, ngram_join, pieces, secret_scan, suffix_lm, token_counts, toxicity, va_search
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_suffix_tree_lm": op4_suffix_tree_lm,
     "op5_mix_to_target_weights": op5_mix_to_target_weights,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_one_permutation_minhash": op9_one_permutation_minhash,
