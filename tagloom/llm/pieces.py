@@ -33,6 +33,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -224,8 +225,8 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.drop("ids", "n_tokens", "round_trip")
     schema = docs.schema
-    for name, kind in (("ids", "array<int>"), ("n_tokens", "bigint"), ("round_trip", "boolean")):
-        schema = schema.add(name, kind)
+    for name, kind in (("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("round_trip", T.BooleanType())):
+        schema = T.StructType([*schema.fields, T.StructField(name, kind)])
     return docs.mapInArrow(_encode(path, docs.columns.index("text")), schema)
 
 
@@ -247,4 +248,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [None if ids is None else model.decode(ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
-    return encoded.mapInArrow(run, encoded.schema.add("text", "string"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
