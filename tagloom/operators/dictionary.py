@@ -35,7 +35,7 @@ def observations(exploded: DataFrame) -> DataFrame:
 
 def labels(sequences: DataFrame) -> DataFrame:
     """(label_id, label) over sequences."""
-    rows = sequences.select("sent_id", F.posexplode("labels").alias("t", "label"))
+    rows = sequences.select("sent_id", F.posexplode_outer("labels").alias("t", "label"))
     return first_seen(rows, "label", ["sent_id", "t"], "label_id")
 
 

@@ -126,31 +126,54 @@ def parse_file(text: str) -> list[Template]:
     return [parse(line) for line in lines if line]
 
 
-def _cell(rows: Column, t: Column, m: Macro) -> Column:
+def _mark(sign: str, distance: int) -> str:
+    return f"_x{sign}" + ("#" if distance > _NEAR else str(distance))
+
+
+def _shifted(rows: Column, m: Macro) -> Column:
+    """The cells that a macro reads, for all positions at once: the column moved by the offset, marks filling in."""
+    values = F.transform(rows, lambda r: F.get(r, F.lit(m.column)))
     n = F.size(rows)
     if m.absolute:
-        at = n + m.offset if m.offset < 0 else F.lit(m.offset - 1)
-    else:
-        at = t + m.offset
-    before, after = -at, at - n + 1
-    outside_before = F.concat(F.lit("_x-"), F.when(before > _NEAR, "#").otherwise(before.cast("string")))
-    outside_after = F.concat(F.lit("_x+"), F.when(after > _NEAR, "#").otherwise(after.cast("string")))
-    return F.when(at < 0, outside_before).when(at >= n, outside_after).otherwise(F.get(F.get(rows, at), F.lit(m.column)))
-
-
-def observation(template: Template, rows: Column, t: Column) -> Column:
-    """What a template gives at position t of the rows of a sequence."""
-    parts = []
-    for item in template.items:
-        if isinstance(item, str):
-            parts.append(F.lit(item))
-            continue
-        value = _cell(rows, t, item)
-        if item.type != "x":
-            java = to_java_pattern(item.pattern or "")
-            value = value.rlike(java).cast("string") if item.type == "t" else F.coalesce(F.regexp_extract(value, java, 0), F.lit(""))
-        parts.append(ascii_lower(value) if item.lower else value)
-    return F.concat(*parts)
+        if m.offset == 0:
+            one = F.lit(_mark("-", 1))
+        elif m.offset > 0:
+            after = F.lit(m.offset) - n
+            one = F.when(after > 0, F.concat(F.lit("_x+"), F.when(after > _NEAR, "#").otherwise(after.cast("string")))).otherwise(F.get(values, F.lit(m.offset - 1)))
+        else:
+            before = F.lit(-m.offset) - n
+            one = F.when(before > 0, F.concat(F.lit("_x-"), F.when(before > _NEAR, "#").otherwise(before.cast("string")))).otherwise(F.get(values, n + m.offset))
+        return F.array_repeat(one, n)
+    if m.offset == 0:
+        return values
+    if m.offset < 0:
+        return F.slice(F.concat(F.array(*[F.lit(_mark("-", d)) for d in range(-m.offset, 0, -1)]), values), F.lit(1), n)
+    return F.slice(F.concat(values, F.array(*[F.lit(_mark("+", d)) for d in range(1, m.offset + 1)])), F.lit(m.offset + 1), n)
+
+
+def observations_of(rows: Column, templates: list[Template]) -> Column:
+    """Observations of each position of a sequence's rows, in the order of the templates.
+
+    Every cell becomes an array of its own, so that the lambda reads its element only.
+    """
+    cells = sorted({(m.absolute, m.offset, m.column): m for t in templates for m in t.items if isinstance(m, Macro)}.items())
+    names = {key: f"c{k}" for k, (key, _) in enumerate(cells)}
+    zipped = F.arrays_zip(F.transform(rows, lambda r: F.size(r)).alias("n"), *[_shifted(rows, m).alias(names[key]) for key, m in cells])
+
+    def observation(template: Template, z: Column) -> Column:
+        parts = []
+        for item in template.items:
+            if isinstance(item, str):
+                parts.append(F.lit(item))
+                continue
+            value = z[names[item.absolute, item.offset, item.column]]
+            if item.type != "x":
+                java = to_java_pattern(item.pattern or "")
+                value = value.rlike(java).cast("string") if item.type == "t" else F.coalesce(F.regexp_extract(value, java, 0), F.lit(""))
+            parts.append(ascii_lower(value) if item.lower else value)
+        return F.concat(*parts)
+
+    return F.transform(zipped, lambda z: F.array(*[observation(t, z) for t in templates]))
 
 
 def features(sequences: DataFrame, templates: list[Template]) -> DataFrame:
@@ -159,11 +182,14 @@ def features(sequences: DataFrame, templates: list[Template]) -> DataFrame:
     if wide > 1:
         short = F.exists("cols", lambda r: F.size(r) < wide)
         sequences = sequences.withColumn("cols", F.when(short, F.raise_error(F.lit(f"templates read {wide} columns"))).otherwise(F.col("cols")))
-    rows = F.col("cols")
-    return sequences.withColumn("obs", F.transform(rows, lambda _, t: F.array(*[observation(x, rows, t) for x in templates])))
+    return sequences.withColumn("obs", observations_of(F.col("cols"), templates))
 
 
 def exploded(featured: DataFrame) -> DataFrame:
-    """(sent_id, t, k, obs): one row for each position and template."""
-    rows = featured.select("sent_id", F.posexplode("obs").alias("t", "o"))
-    return rows.select("sent_id", "t", F.posexplode("o").alias("k", "obs"))
+    """(sent_id, t, k, obs): one row for each position and template.
+
+    The outer form keeps Spark from computing the observations once more to filter
+    empty arrays, which sequences do not have.
+    """
+    rows = featured.select("sent_id", F.posexplode_outer("obs").alias("t", "o"))
+    return rows.select("sent_id", "t", F.posexplode_outer("o").alias("k", "obs"))

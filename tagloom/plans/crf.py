@@ -61,7 +61,7 @@ class CrfModel:
         parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\\s+"), lambda p: p != "")
         rows = df.withColumn("_chars", F.transform(parts, characters))
         shaped = F.transform("_chars", lambda cs: F.transform(cs, lambda c: F.array(c)))
-        rows = rows.withColumn("_obs", F.transform(shaped, lambda rs: F.transform(rs, lambda _, t: F.array(*[Tpl.observation(x, rs, t) for x in templates]))))
+        rows = rows.withColumn("_obs", F.transform(shaped, lambda rows: Tpl.observations_of(rows, templates)))
 
         @F.pandas_udf("array<array<string>>")
         def label(obs: pd.Series) -> pd.Series:
@@ -146,7 +146,7 @@ class CrfEstimator:
         def report(k: int, f: float | None, x: np.ndarray) -> bool:
             got = training_error(encoded, inference.Weights(arrays.labels, arrays.uoff, arrays.boff, x))
             errors.append(got[0])
-            log.rows.append((k, f, int(np.count_nonzero(x)), got[0], got[1]))
+            log.rows.append((k, None if f is None else float(f), int(np.count_nonzero(x)), got[0], got[1]))
             last = errors[-p.stop_window :]
             return len(last) == p.stop_window and (max(last) - min(last)) * 100 < p.stop_eps
 

@@ -15,6 +15,12 @@ from tagloom.functions.text import characters, corpus_words, six_digits, split_f
 LINES = 1_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read in fewer parts than there are; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sequences_of(files: DataFrame) -> DataFrame:
     """(file, seq, lines) from files(file, text): trimmed lines, a blank one ends a sequence.
 
@@ -47,7 +53,6 @@ def read_sequences(spark: SparkSession, path: str, labelled: bool) -> DataFrame:
 
 def from_json_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Rows of lines whose value is a JSON object with a text field cut, with that field; others are skipped."""
-    kind = F.schema_of_json(F.lit('{"cut": ""}'))  # noqa: F841  documents the shape
     cut = F.get_json_object(F.trim(value), "$.cut")
     whole = F.from_json(F.trim(value), "cut string", {"mode": "PERMISSIVE"})
     quoted = F.col(value).rlike('"cut"\\s*:\\s*"')
