@@ -86,7 +86,8 @@ def q08_label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q09_feature_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = q08_label_ids(spark, sf_dir).count()
-    return D.layout(_dictionary(spark, sf_dir), n)
+    rows = D.layout(_dictionary(spark, sf_dir), n)
+    return rows.withColumns({c: F.coalesce(c, F.lit(-1)).cast("long") for c in ("uoff", "boff")})
 
 
 def _with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +326,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_FIRST}, y AS (SELECT count(DISTINCT label) AS y FROM obs),
         wide AS (SELECT obs_id, obs, CASE WHEN obs LIKE 'u%' THEN y ELSE y * y END AS w FROM ids, y),
         placed AS (SELECT obs_id, obs, coalesce(sum(w) OVER (ORDER BY obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM wide)
-        SELECT obs_id, obs, CASE WHEN obs LIKE 'u%' THEN 1 ELSE 2 END AS kind, CASE WHEN obs LIKE 'u%' THEN o END AS uoff, CASE WHEN obs LIKE 'b%' THEN o END AS boff FROM placed
+        SELECT obs_id, obs, CASE WHEN obs LIKE 'u%' THEN 1 ELSE 2 END AS kind, CASE WHEN obs LIKE 'u%' THEN o ELSE -1 END AS uoff, CASE WHEN obs LIKE 'b%' THEN o ELSE -1 END AS boff FROM placed
     """,
     "q10_empirical_counts": f"WITH {_OBS} SELECT obs, label, count(*) AS n FROM obs WHERE obs LIKE 'u%' GROUP BY 1, 2",
     "q11_label_transitions": f"WITH {_OBS} SELECT obs, previous, label, count(*) AS n FROM obs WHERE obs LIKE 'b%' AND previous IS NOT NULL GROUP BY 1, 2, 3",
@@ -359,9 +360,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT iter, round(spread, 6) AS spread, round(change, 6) AS change, coalesce(spread < 0.02, false) OR coalesce(change < 0.02, false) AS stop FROM s
     """,
     "q24_sequence_files": """
-        WITH l AS (SELECT page_id AS file, unnest(string_split(html, chr(10))) AS line, unnest(range(0, len(string_split(html, chr(10))))) AS at FROM pages),
-        x AS (SELECT file, at, trim(line, ' ' || chr(9) || chr(13) || chr(10)) AS line FROM l),
-        g AS (SELECT file, line, sum((line = '')::INT) OVER (PARTITION BY file ORDER BY at) AS seq FROM x)
+        WITH l AS (SELECT page_id AS file, unnest(string_split(html, chr(10))) AS line, unnest(range(0, len(string_split(html, chr(10))))) AS place FROM pages),
+        x AS (SELECT file, place, trim(line, ' ' || chr(9) || chr(13) || chr(10)) AS line FROM l),
+        g AS (SELECT file, line, sum((line = '')::INT) OVER (PARTITION BY file ORDER BY place) AS seq FROM x)
         SELECT file, count(DISTINCT seq) AS n_seq, count(*) AS n_lines, sum(len(list_filter(string_split(line, ' '), lambda f: f <> '')))::BIGINT AS n_fields FROM g WHERE line <> '' GROUP BY 1
     """,
     "q25_json_lines": """

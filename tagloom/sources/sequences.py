@@ -42,12 +42,16 @@ def parse_rows(sequences: DataFrame, labelled: bool) -> DataFrame:
     return sequences.withColumn("_rows", checked).withColumn("cols", F.transform("_rows", lambda r: F.slice(r, F.lit(1), F.size(r) - 1))).withColumn("labels", F.transform("_rows", lambda r: F.element_at(r, -1))).drop("_rows")
 
 
+def _ordered(files: DataFrame) -> DataFrame:
+    """(file, k): places of the files by name."""
+    names = files.select("file").distinct()
+    return names.join(names.withColumnRenamed("file", "other"), F.col("other") < F.col("file"), "left").groupBy("file").agg(F.count("other").alias("k"))
+
+
 def read_sequences(spark: SparkSession, path: str, labelled: bool) -> DataFrame:
     """Sequences of column files under path; sent_id numbers them by file name and place."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    names = files.select("file").distinct()
-    order = names.join(names.withColumnRenamed("file", "other"), F.col("other") < F.col("file"), "left").groupBy("file").agg(F.count("other").alias("k"))
-    out = parse_rows(sequences_of(files), labelled).join(F.broadcast(order), "file")
+    out = parse_rows(sequences_of(files), labelled).join(F.broadcast(_ordered(files)), "file")
     return out.select((F.col("k") * LINES + F.col("seq")).alias("sent_id"), "cols", "labels")
 
 
@@ -78,10 +82,11 @@ def from_text(lines: DataFrame, id_column: str, text: str) -> DataFrame:
     return rows.select("sent_id", F.transform("chars", lambda c: F.array(c)).alias("cols"), F.lit(None).cast("array<string>").alias("labels"))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Labels of a result file: score lines are skipped."""
+def read_sequences_of_results(spark: SparkSession, path: str) -> DataFrame:
+    """(sent_id, predicted) of result files: score lines are skipped, the first field of a line is its label."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "(?m)^score=.*$\n?", "").alias("text"))
-    return sequences_of(files).select("file", "seq", F.transform("lines", lambda x: F.element_at(split_fields(x), 1)).alias("labels"))
+    out = sequences_of(files).join(F.broadcast(_ordered(files)), "file")
+    return out.select((F.col("k") * LINES + F.col("seq")).alias("sent_id"), F.transform("lines", lambda x: F.element_at(split_fields(x), 1)).alias("predicted"))
 
 
 def sequence_text(cols: Column, labels: Column | None = None) -> Column:
