@@ -11,10 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+# Arrow's own allocator keeps what it has freed; workers share an executor's memory
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Rows in one Arrow batch; keeps a worker's batch of documents to some tens of MB.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Bytes of text hashed at once by a worker.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

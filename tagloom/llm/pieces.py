@@ -39,7 +39,7 @@ from .common import small_batches
 
 MARK = "▁"
 #: Words in a worker's cache, and pairs of pieces whose neighbourhood it remembers.
-WORDS, PAIRS = 150_000, 400_000
+WORDS, PAIRS = 80_000, 200_000
 #: Longest word, in characters, that the cache takes.
 CACHED_CHARS = 40
 

@@ -224,7 +224,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, group of near copies, distinct words and word beginnings) of the sampled texts."""
-    for batch in batches:
+    for batch in (b.slice(a, 100) for b in batches for a in range(0, b.num_rows, 100)):
         texts = batch.column(2).to_pylist()
         group = np.zeros(len(texts), np.int64)
         for k, s in shingle_sets(batch.column(2)):
