@@ -44,7 +44,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--histsz", dest="history", type=int, default=d.history)
     p.add_argument("--maxls", dest="max_line_search", type=int, default=d.max_line_search)
     p.add_argument("--seed", type=int, default=d.seed)
-    a = p.parse_args(argv)
+    a = p.parse_intermixed_args(argv)
     need = {"fit": 2, "test": 2, "prepare": 2, "evaluate": 2, "stats": 0}.get(a.mode)
     if need is not None and len(a.paths) != need or a.mode == "segment" and len(a.paths) not in (0, 2):
         p.error(f"{a.mode} takes {need if need is not None else '0 or 2'} paths")
