@@ -337,3 +337,20 @@ def test_token_counts(docs, texts, nothing, spark):
         n = len(lib.encode(t, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 512)
     assert token_counts.token_counts(nothing, path).count() == 0
+
+
+def test_suffix_lm_scores_rare_repeated_passages(spark):
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    filler = [" ".join(rnd.choice(vocabulary) for _ in range(100)) for _ in range(400)]
+    passage = " ".join(f"p{i}" for i in range(12))  # each word has 1 / 8000 of all tokens
+    turned = " ".join(f"p{i}" for i in random.Random(1).sample(range(12), 12))
+    learnt = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, filler[k] + (f" {passage}" if k % 80 == 0 else "")) for k, i in enumerate(learnt[:400])]
+    held = [i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], passage), (held[1], turned)]
+    got = {r.doc_id: r for r in suffix_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    # every step of the passage is known to follow: (5 - 0.75) / 5 each, not the root's 1 / 8000
+    assert got[held[0]].score > got[held[1]].score + 11 * 3
+    assert got[held[0]].score - got[held[1]].score < 13 * 5
