@@ -354,3 +354,21 @@ def test_suffix_lm_scores_rare_repeated_passages(spark):
     # every step of the passage is known to follow: (5 - 0.75) / 5 each, not the root's 1 / 8000
     assert got[held[0]].score > got[held[1]].score + 11 * 3
     assert got[held[0]].score - got[held[1]].score < 13 * 5
+
+
+def test_suffix_lm_sends_a_frequent_word_once(spark):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(80)]
+    rows = [(i, ("heldout " if held[i] else "learnt ") * 1000 + f"rare{i} " * 500) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tree, _ = suffix_lm.learn(df)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array(held), pa.array([t for _, t in rows])], names=["doc_id", "held_out", "text"])
+    for out in suffix_lm._send(8, 8, SimpleNamespace(value=tree))(iter([batch])):
+        sent = [suffix_lm._unpacked(d) for r, d in zip(out["range"].to_pylist(), out["data"].to_pylist(), strict=True) if 0 <= r < 8]
+        assert sum(map(len, sent)) < 100 * 80  # a pair a text and word at most, none for frequent words
+    got = {r.doc_id: r for r in suffix_lm.score(df).collect()}
+    for i, _ in rows:
+        assert got[i].n_known == (1 if held[i] else 1501)
