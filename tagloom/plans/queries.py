@@ -22,8 +22,6 @@ TEMPLATES = [Tpl.parse(t) for t in Tpl.DEFAULT_TEMPLATES]
 #: Templates with absolute rows and far offsets, and with patterns and lower-casing.
 FAR = [Tpl.parse(t) for t in ("u0:%x[@1,0]", "u1:%x[@-1,0]", "u2:%x[@0,0]", "u3:%x[-6,0]", "u4:%x[5,0]", "u5:%x[-4,0]/%x[4,0]", "*6:%x[@2,0]")]
 PATTERNS = [Tpl.parse(t) for t in ('u0:%t[0,0,"^\\\\u$"]', 'u1:%m[0,0,"\\\\d"]', "u2:%X[0,0]", 'u3:%T[-1,0,"x"]', 'u4:%m[1,0,"\\\\a*"]', 'u5:%t[0,0,"\\\\w"]')]
-#: Iterations of the registered training queries.
-ITERATIONS = 3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,11 +151,11 @@ def _by_character(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trained(spark: SparkSession, sf_dir: str, algorithm: str = "l-bfgs"):
-    return CrfEstimator(params=Params(algorithm=algorithm, max_iter=ITERATIONS)).fit(materialize(_sequences(spark, sf_dir), "sequences"))
+    return CrfEstimator(params=Params(algorithm=algorithm)).fit(materialize(_sequences(spark, sf_dir), "sequences"))
 
 
 def q17_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best labels of every line under a model trained for a few iterations."""
+    """Best labels of every line under a trained model."""
     out = _trained(spark, sf_dir).transform(_sequences(spark, sf_dir))
     return out.select("sent_id", F.round("score", 6).alias("score"), F.array_join(F.col("path.label"), "").alias("tags"))
 

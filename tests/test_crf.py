@@ -185,3 +185,15 @@ def test_entry_and_queries(spark):
 
     assert entry.entry(spark).columns == ["obs_id", "obs"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registered_queries_train_with_the_defaults(spark, monkeypatch):
+    from tagloom.plans import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "materialize", lambda df, name: df)
+    monkeypatch.setattr(queries, "_sequences", lambda spark, sf_dir: None)
+    monkeypatch.setattr(queries.CrfEstimator, "fit", lambda self, sequences: seen.append(self.params))
+    for algorithm in ("l-bfgs", "sgd-l1"):
+        queries._trained(spark, "", algorithm)
+    assert seen == [Params(algorithm="l-bfgs"), Params(algorithm="sgd-l1")] and seen[0].max_iter == 100
