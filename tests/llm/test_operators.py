@@ -372,3 +372,9 @@ def test_suffix_lm_sends_a_frequent_word_once(spark):
     got = {r.doc_id: r for r in suffix_lm.score(df).collect()}
     for i, _ in rows:
         assert got[i].n_known == (1 if held[i] else 1501)
+
+
+def test_suffix_lm_unknown_share_counts_every_word(spark):
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    tree, total = suffix_lm.learn(spark.createDataFrame([(i, f"once{i} often often") for i in learnt], "doc_id long, text string"))
+    assert total == 4 * len(learnt) and tree.unknown == pytest.approx((len(learnt) + 1) / (total + 2))
