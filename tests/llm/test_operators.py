@@ -378,3 +378,15 @@ def test_suffix_lm_unknown_share_counts_every_word(spark):
     learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
     tree, total = suffix_lm.learn(spark.createDataFrame([(i, f"once{i} often often") for i in learnt], "doc_id long, text string"))
     assert total == 4 * len(learnt) and tree.unknown == pytest.approx((len(learnt) + 1) / (total + 2))
+
+
+def test_suffix_lm_symbols_do_not_depend_on_partitions(spark):
+    learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2][:200]
+    # 31 times in 100,000 tokens and more, but in most texts less than the share
+    rows = [(i, " ".join(f"f{k % 1500}x{j}" for j in range(2200)) + (" seldom" if k % 2 else " seldom seldom" if k % 8 == 0 else "")) for k, i in enumerate(learnt)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = [suffix_lm.learn(df.repartition(n, "doc_id"))[0].known.tolist() for n in (1, 40)]
+    import pyarrow as pa
+
+    word = int(next(suffix_lm.tokens(pa.array(["seldom"])))[1][0])
+    assert known[0] == known[1] and word in known[0]
