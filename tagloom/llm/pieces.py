@@ -1,20 +1,26 @@
 """SentencePiece encoding and decoding by shared-prefix forward passes over a trie of words.
 
 Texts are marked as the library does (a mark in front and for each space) and cut into
-marked words, at marks and line feeds, which no piece of the model crosses. The distinct words of a batch are
-sorted, so that depth-first order of their trie is reading them one after the other;
-the forward state of a prefix that two words share is computed once.
-
-The model is of the BPE kind, so the forward state of a position is not a sum of
-scores but the piece that the encoding of the prefix ends with: of the pieces that end
-there, the one that stands next to the state at its beginning also when the two alone
-are merged by the model's scores. Neighbours that hold pairwise make up the encoding of
-the whole, so backtracking gives the library's pieces (tested against it on every word
-of the fixtures). Summed scores, the Viterbi rule of unigram models, would not.
+marked words, at marks and line feeds, which no piece of the model crosses. The distinct
+words of a batch are sorted, so that depth-first order of their trie is reading them one
+after the other; the forward state of a prefix that two words share is computed once.
+
+For a unigram model the forward state of a position is the best sum of scores of pieces
+up to there, with the piece that reaches it (Viterbi; of equal sums the longer last
+piece). For a BPE model it is not a sum of scores but the piece that the encoding of the
+prefix ends with: of the pieces that end there, the one that stands next to the state at
+its beginning also when the two alone are merged by the model's scores. Neighbours that
+hold pairwise make up the encoding of the whole, so backtracking gives the library's
+pieces (tested against it on every word of the fixtures). Summed scores would not.
 
 Characters without a piece become the byte pieces of their UTF-8 bytes. Decoding joins
 pieces, reads byte pieces as UTF-8 and takes the leading mark off, which gives every
 text back that does not itself contain the mark or begin in a way that is not UTF-8.
+Models of other kinds, that change texts before (normalise, drop spaces), without byte
+pieces, with pieces that cross words or with user-defined pieces are refused.
+
+A worker keeps the encodings of words in two generations of at most WORDS / 2: what is
+asked for moves to the younger one, the older one is dropped when that is full.
 
 Defined cases: null text counts as empty (no pieces); a word of any length is read
 once through; words of several marks are merged as a whole; round_trip says whether
@@ -27,9 +33,12 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,39 +47,96 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 MARK = "▁"
-#: Words in a worker's cache, and pairs of pieces whose neighbourhood it remembers.
-WORDS, PAIRS = 80_000, 200_000
+#: Words in a worker's cache, and pieces whose neighbours it remembers.
+WORDS, NEIGHBOURS = 400_000, 400_000
 #: Longest word, in characters, that the cache takes.
 CACHED_CHARS = 40
+#: What the library takes off the least score for a character without a piece.
+UNKNOWN = 10.0
+UNIGRAM, BPE = 1, 2
 
 _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protobuf message; nested ones as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        number, wire = divmod(varint(), 8)
+        if wire == 0:
+            yield number, varint()
+        else:
+            size = varint() if wire == 2 else 8 if wire == 1 else 4
+            yield number, raw[at : at + size]
+            at += size
+
+
+def _kind(raw: bytes) -> int:
+    """UNIGRAM or BPE; raises for a model whose texts are changed before they are cut."""
+    kind, rules, dummy, extra, escaped = UNIGRAM, b"", 1, 1, 1
+    for number, value in _fields(raw):
+        if number == 2:
+            kind = dict(_fields(value)).get(3, UNIGRAM)
+        elif number == 3:
+            spec = dict(_fields(value))
+            rules, dummy, extra, escaped = spec.get(2, b""), spec.get(3, 1), spec.get(4, 1), spec.get(5, 1)
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError(f"models of kind {kind} are not supported")
+    if rules or not dummy or extra or not escaped:
+        raise ValueError("the model changes texts before it cuts them, or adds no mark in front")
+    return kind
+
+
 class Pieces:
-    """A model of the BPE kind: pieces, scores, and the encoding of marked words."""
+    """A model of the BPE or the unigram kind: pieces, scores, and the encoding of marked words."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            raw = f.read()
+        self.kind = _kind(raw)
+        model = sentencepiece.SentencePieceProcessor(model_proto=raw)
         size = model.get_piece_size()
         self.names = [model.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {self.names[i]: i for i in plain}
         self.score = {self.names[i]: model.get_score(i) for i in plain}
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        if model.unk_id() in self.byte:
+            raise ValueError("the model has no byte pieces")
+        if any(dict(_fields(v)).get(3, 1) == 4 for n, v in _fields(raw) if n == 1):
+            raise ValueError("the model has user-defined pieces")
+        if any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("words are cut at marks and line feeds, which a piece of this model crosses")
         self.values = {i: b for b, i in enumerate(self.byte)}
-        # longest piece that ends in these two characters
-        self.reach: dict[str, int] = {}
+        # what each piece decodes to
+        raw_of = [bytes([self.values[i]]) if i in self.values else name.encode() for i, name in enumerate(self.names)]
+        self.bytes_of = np.frombuffer(b"".join(raw_of), np.uint8)
+        self.size_of = np.array([len(x) for x in raw_of], np.int64)
+        self.unknown = min(self.score.values(), default=0.0) - UNKNOWN
+        # lengths of the pieces that end in these two characters, longest first
+        ends: dict[str, set[int]] = {}
         for p in self.ids:
-            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 0), len(p))
-            if len(p) == 1:
-                self.reach.setdefault(p, 1)
-        if "\n" in self.ids:
-            raise ValueError("words are cut at line feeds, which this model has a piece for")
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.beside: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
+            if len(p) > 1:
+                ends.setdefault(p[-2:], {1}).add(len(p))
+        self.sizes = {x: tuple(sorted(n, reverse=True)) for x, n in ends.items()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.neighbours: dict[str, dict[str, bool]] = {}
+        self.known_neighbours = 0
 
     def merge(self, word: str) -> list[str]:
         """Pieces by merging neighbours, best score first and leftmost of equals; the rule that defines the model."""
@@ -102,35 +168,31 @@ class Pieces:
         return [p for p in parts if p is not None]
 
     def _beside(self, a: str, b: str) -> bool:
-        key = (a, b)
-        got = self.beside.get(key)
-        if got is None:
-            if len(self.beside) >= PAIRS:
-                self.beside.clear()
-            got = self.beside[key] = self.merge(a + b) == [a, b]
-        return got
-
-    def _alone(self, a: str) -> bool:
-        got = self.alone.get(a)
-        if got is None:
-            got = self.alone[a] = self.merge(a) == [a]
+        """Whether the piece b stays apart from a when the two are merged; a is empty, or no piece, where b stands first."""
+        got = self.merge(a + b) == [a, b] if a in self.ids else self.merge(b) == [b]
+        if self.known_neighbours >= NEIGHBOURS:  # the inner tables are cleared, as states in use hold on to them
+            for of in self.neighbours.values():
+                of.clear()
+            self.known_neighbours = 0
+        self.neighbours.setdefault(a, {})[b] = got
+        self.known_neighbours += 1
         return got
 
     def numbers(self, pieces: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is None:
-                out += [self.byte[b] for b in p.encode()]
-            else:
-                out.append(i)
-        return tuple(out)
+        try:
+            return tuple([self.ids[p] for p in pieces])
+        except KeyError:
+            return tuple(chain.from_iterable((self.ids[p],) if p in self.ids else (self.byte[b] for b in p.encode()) for p in pieces))
 
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Encodings of distinct marked words, read depth-first through their trie."""
+        return self._unigram(words) if self.kind == UNIGRAM else self._bpe(words)
+
+    def _bpe(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         out: dict[str, tuple[int, ...]] = {}
-        ids, reach, beside, alone = self.ids, self.reach, self._beside, self._alone
-        last: list[str] = []  # last[i]: the piece that ends the encoding of the first i + 1 characters
+        ids, sizes, neighbours, beside, alone = self.ids, self.sizes, self.neighbours, self._beside, (1,)
+        # by characters read: the piece that ends the encoding up to there, and what is known of its neighbours
+        last, known = [""], [neighbours.setdefault("", {})]
         previous = ""
         for word in sorted(words):
             if word.startswith(MARK * 2) or word == MARK:
@@ -141,63 +203,143 @@ class Pieces:
                 if x != y:
                     break
                 shared += 1
-            del last[shared:]
+            del last[shared + 1 :], known[shared + 1 :]
             for i in range(shared, len(word)):
-                char = word[i]
-                if char not in ids:
-                    last.append(char)
-                    continue
-                n = min(reach.get(word[i - 1 : i + 1], 1) if i else 1, i + 1)
-                while n:
-                    piece = word[i + 1 - n : i + 1]
-                    if piece in ids:
-                        left = last[i - n] if i >= n else None
-                        if alone(piece) if left is None or left not in ids else beside(left, piece):
-                            break
-                    n -= 1
+                # one piece at most can end the encoding here
+                end = i + 1
+                for n in sizes.get(word[i - 1 : end], alone) if i else alone:
+                    start = end - n
+                    if start >= 0:
+                        piece = word[start:end]
+                        if piece in ids:
+                            fits = known[start].get(piece)
+                            if fits is None:
+                                fits = beside(last[start], piece)
+                            if fits:
+                                break
+                else:
+                    piece = word[i]
                 last.append(piece)
+                of = neighbours.get(piece)
+                if of is None:
+                    of = neighbours[piece] = {}
+                known.append(of)
             previous = word
             path, at = [], len(word)
             while at:
-                piece = last[at - 1]
+                piece = last[at]
                 path.append(piece)
                 at -= len(piece)
+            path.reverse()
+            out[word] = self.numbers(path)
+        return out
+
+    def _unigram(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        out: dict[str, tuple[int, ...]] = {}
+        score, sizes, unknown, alone = self.score, self.sizes, self.unknown, (1,)
+        best, last = [0.0], [""]  # by characters read: sum of scores, piece that ends the best path
+        previous = ""
+        for word in sorted(words):
+            shared = 0
+            for x, y in zip(word, previous, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del best[shared + 1 :], last[shared + 1 :]
+            for i in range(shared, len(word)):
+                top, end = -np.inf, word[i]
+                for n in sizes.get(word[i - 1 : i + 1], alone) if i else alone:
+                    start = i + 1 - n
+                    if start < 0:
+                        continue
+                    piece = word[start : i + 1]
+                    own = score.get(piece, unknown if n == 1 else None)
+                    if own is not None and best[start] + own > top:
+                        top, end = best[start] + own, piece
+                best.append(top)
+                last.append(end)
+            previous = word
+            path, at = [], len(word)
+            while at:
+                path.append(last[at])
+                at -= len(last[at])
             out[word] = self.numbers(path[::-1])
         return out
 
-    def encode_texts(self, texts: list[str | None]) -> list[list[int]]:
-        cut = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        cache = self.cache
-        new = self.encode_words(list({w for ws in cut for w in ws} - cache.keys()))
-        out = []
-        for ws in cut:
-            ids: list[int] = []
-            for w in ws:
-                ids += new.get(w) or cache[w]
-            out.append(ids)
-        if len(cache) < WORDS:
-            cache.update((w, i) for w, i in new.items() if len(w) <= CACHED_CHARS)
+    def _units(self, text: str | None) -> list[str]:
+        """What a text is looked up by: its parts between single spaces, else its marked words behind a sign of their own."""
+        if not text:
+            return []
+        parts = text.split(" ")
+        if "" in parts or MARK in text:
+            return [MARK + "\0" + w for w in _WORD.findall(MARK + text.replace(" ", MARK))]
+        return parts
+
+    def _looked_up(self, units: list[str]) -> list[bytes]:
+        """Pieces of distinct units, as packed 32-bit numbers."""
+        young, old = self.young, self.old
+        out = [young.get(u) or old.get(u) for u in units]
+        new = [u for u, f in zip(units, out, strict=True) if f is None]
+        words = [(u[2:],) if u.startswith(MARK) else _WORD.findall(MARK + u) for u in new]
+        ids = self.encode_words(list(set(chain.from_iterable(words))))
+        made = {u: array("i", ids[w[0]] if len(w) == 1 else chain.from_iterable(map(ids.__getitem__, w))).tobytes() for u, w in zip(new, words, strict=True)}
+        for i, u in enumerate(units):
+            f = out[i]
+            if f is None:
+                f = out[i] = made[u]
+            if len(u) <= CACHED_CHARS:
+                if len(self.young) >= WORDS // 2:
+                    self.old, self.young = self.young, {}
+                self.young[u] = f
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of pieces; runs of byte pieces are read as UTF-8."""
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of all texts in a row, their number and whether decoding gives it back, by text."""
+        cut = [self._units(t) for t in texts]
+        index = {u: i for i, u in enumerate(set(chain.from_iterable(cut)))}
+        known = self._looked_up(list(index))
+        own = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), np.int32)
+        units = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(cut)), np.int64, int(units.sum()))
+        n, bounds = own[at], np.concatenate(([0], np.cumsum(units)))
+        before = np.concatenate(([0], np.cumsum(n)))
+        flat = ids[np.repeat((np.cumsum(own) - own)[at] - before[:-1], n) + np.arange(before[-1])]
+        n = np.diff(before[bounds])
+        return flat, n, self._gives_back(flat, n, texts)
+
+    def _gives_back(self, flat: np.ndarray, n: np.ndarray, texts: list[str | None]) -> np.ndarray:
+        """Whether the pieces of each text decode to its marked form."""
+        want = [(MARK + t.replace(" ", MARK)).encode() if t else b"" for t in texts]
+        size = self.size_of[flat]
+        before, bounds = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(n)))
+        got = self.bytes_of[np.repeat((np.cumsum(self.size_of) - self.size_of)[flat] - before[:-1], size) + np.arange(before[-1])].tobytes()
+        ends = before[bounds].tolist()
+        return np.array([got[a:b] == w for a, b, w in zip(ends[:-1], ends[1:], want, strict=True)], bool)
+
+    def encode_texts(self, texts: list[str | None]) -> list[list[int]]:
+        flat, n, _ = self.encode_batch(texts)
+        return [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] if len(texts) else []
+
+    def _joined(self, ids: tuple[int, ...] | list[int]) -> str:
+        """Pieces side by side; runs of byte pieces are read as UTF-8."""
         names, values = self.names, self.values
         if values.keys().isdisjoint(ids):
-            text = "".join(map(names.__getitem__, ids))
-        else:
-            out, run = [], bytearray()
-            for i in ids:
-                if i in values:
-                    run.append(values[i])
-                    continue
-                if run:
-                    out.append(run.decode(errors="replace"))
-                    run.clear()
-                out.append(names[i])
-            out.append(run.decode(errors="replace"))
-            text = "".join(out)
-        text = text.replace(MARK, " ")
-        return text.removeprefix(" ")
+            return "".join(map(names.__getitem__, ids))
+        out, run = [], bytearray()
+        for i in ids:
+            if i in values:
+                run.append(values[i])
+                continue
+            if run:
+                out.append(run.decode(errors="replace"))
+                run.clear()
+            out.append(names[i])
+        out.append(run.decode(errors="replace"))
+        return "".join(out)
+
+    def decode(self, ids: list[int]) -> str:
+        return self._joined(ids).replace(MARK, " ").removeprefix(" ")
 
 
 @lru_cache(maxsize=2)
@@ -211,10 +353,9 @@ def _encode(path: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            ids = model.encode_texts(texts)
-            same = [model.decode(i) == (t or "").replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
-            made = [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())]
+            flat, n, same = model.encode_batch(batch.column(at).to_pylist())
+            offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+            made = [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(n, pa.int64()), pa.array(same)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "ids", "n_tokens", "round_trip"])
 
     return run
