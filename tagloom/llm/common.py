@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Arrow's own allocator keeps what it has freed; workers share an executor's memory
 pa.set_memory_pool(pa.system_memory_pool())
 
-#: Rows in one Arrow batch; keeps a worker's batch of documents to some tens of MB.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch; a row of more bytes is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Bytes of text hashed at once by a worker.
 CHUNK_BYTES = 1 << 20
 
@@ -25,8 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Documents can be long, so Arrow batches hold few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Documents can be long, so Arrow batches hold few rows, and few bytes where rows are large.
+
+    Both are limits of the session's, read when a result runs; they are lowered, never raised.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    now = spark.conf.get(size).lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +54,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
+def materialize(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by materialize that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 # --- vectorised hashing of UTF-8 text -------------------------------------------------
