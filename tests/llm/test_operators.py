@@ -390,3 +390,15 @@ def test_suffix_lm_symbols_do_not_depend_on_partitions(spark):
 
     word = int(next(suffix_lm.tokens(pa.array(["seldom"])))[1][0])
     assert known[0] == known[1] and word in known[0]
+
+
+def test_suffix_lm_does_not_depend_on_partitions(spark):
+    rnd = random.Random(13)
+    vocabulary = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(6000)]
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(80)) + (" " + " ".join(passage[i % 30 :][:9]) if i % 3 == 0 else "")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.score for r in suffix_lm.score(df.coalesce(1)).collect()}
+    for parts in (4, 40):
+        got = {r.doc_id: r.score for r in suffix_lm.score(df.repartition(parts, "doc_id")).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
