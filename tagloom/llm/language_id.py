@@ -7,7 +7,7 @@ other characters being one space. Landmarks from the learning rows span the Nyst
 features K(x, L) K(L, L)^(-1/2); a one-versus-rest kernel ridge regression on them
 gives a value per language. Texts are scored many at once: presence of the landmarks'
 n-grams as a matrix, times the landmarks' own, times the regression's weights.
-N-grams that no landmark has are not looked at.
+N-grams that no landmark has count in a text's own number only.
 
 Learnt from a bounded sample of the learning rows: at most about PER_LANGUAGE of each
 language (by hash of doc_id), LANDMARKS of them as landmarks. Every text is scored
@@ -61,6 +61,28 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
 
 
+def _runs(text: str) -> Iterator[np.ndarray]:
+    """Code points of the letters, every run of others one space, in pieces that repeat the last two before them."""
+    points, tail = _points(text), np.zeros(0, np.uint32)
+    for a in range(0, len(points), CHARS):
+        p = points[a : a + CHARS]
+        p = np.concatenate((tail, np.where(_letters()[p], p, np.uint32(32))))
+        p = p[np.concatenate(([True], (p[1:] != 32) | (p[:-1] != 32)))]
+        yield p
+        tail = p[-2:]
+
+
+def distinct_grams(text: str) -> int:
+    """Number of different n-grams of a text; a space alone is none."""
+    found: list[list[np.ndarray]] = [[], [], []]
+    for p in _runs(text):
+        p = p.astype(np.uint64)
+        two = (p[:-1] << np.uint64(21)) | p[1:]
+        for of, keys in zip(found, (p[p != 32], two, (two[:-1] << np.uint64(21)) | p[2:]), strict=True):
+            of.append(np.unique(keys))
+    return sum(len(of[0]) if len(of) == 1 else len(np.unique(np.concatenate(of))) for of in found if of)
+
+
 @dataclass
 class Kernel:
     """N-grams of the landmarks, found through tables: character, then pairs, then pair and character."""
@@ -83,10 +105,9 @@ class Kernel:
         out = np.zeros((len(texts), width), np.uint8)
         table = self._table()
         for i, text in enumerate(texts):
-            row, points = out[i], _points(text)
-            for a in range(0, len(points), CHARS):
-                c = table[points[max(0, a - 2) : a + CHARS]]
-                c = c[np.concatenate(([True], (c[1:] != 1) | (c[:-1] != 1)))]  # a run of other characters is one
+            row = out[i]
+            for points in _runs(text):
+                c = table[points]
                 row[c] = 1
                 p = self.pairs[c[:-1], c[1:]]
                 row[k - 1 + p[p > 0]] = 1
@@ -103,7 +124,7 @@ class Kernel:
     def against(self, texts: list[str]) -> np.ndarray:
         """Kernel values of texts with every landmark."""
         x = self.presence(texts).astype(np.float32)
-        own = np.maximum(x.sum(1), 1)
+        own = np.maximum(np.array([distinct_grams(t) for t in texts]), 1)
         return (x @ self.grams) / np.sqrt(own[:, None] * self.sizes[None, :])
 
 

@@ -5,7 +5,9 @@ other; a clause ends at . ; : ! ? , or a line break. Five small transducers each
 one relation (in the scope of a negation; after a verb of reporting; near a target;
 after an intention; which hit it is), and their composition is one machine over the
 classes whose output names the pattern that a hit completes, such as a targeted insult
-or a negated threat. A clause weighs what its patterns weigh times its words; a text
+or a negated threat. A second machine reads those patterns and the targets and marks a
+target that follows a hit which nothing cancels (the hit is aimed at it). A colon ends a
+clause but not the reporting in front of it. A clause weighs what its patterns weigh times its words; a text
 is scored by its clauses, so an insult that is denied or quoted counts for what such
 clauses are worth in the labelled rows, not for the word.
 
@@ -110,11 +112,18 @@ def compose(*parts: Transducer) -> Transducer:
     return Transducer(0, tuple(rows))
 
 
+def _aim(reach: int) -> Transducer:
+    """Over the patterns of the first machine: marks the first target up to reach words after a hit that stands."""
+    rows = [{"hit": (reach, ""), "target": (0, "aimed" if left else ""), "other": (max(0, left - 1), "")} for left in range(reach + 1)]
+    return Transducer(0, tuple(rows))
+
+
+AIM = _aim(TARGET_REACH)
 GRAMMAR = compose(_hits(), _countdown("negation", NEGATION_REACH, "negated"), _latch("report", "reported"), _countdown("target", TARGET_REACH, "targeted"), _countdown("intent", INTENT_REACH, "intended"))
 PATTERNS = tuple(sorted({out for row in GRAMMAR.step for _, out in row.values() if out}))
 #: Groups of patterns that share a weight: the hit, whether it is cancelled, whether it has a target or (a threat) an intention.
-FEATURES = ("insult", "insult targeted", "insult negated", "insult reported", "threat", "threat intended", "threat negated", "threat reported", "learnt", "learnt cancelled", "clauses", "any")
-_PRIOR = np.array([1.5, 2.0, -0.5, -0.5, 0.2, 1.0, -0.3, -0.3, 0.5, 0.1, 0.5, 0.5])
+FEATURES = ("insult", "insult targeted", "insult negated", "insult reported", "threat", "threat intended", "threat negated", "threat reported", "learnt", "learnt cancelled", "aimed", "clauses", "any")
+_PRIOR = np.array([1.5, 2.0, -0.5, -0.5, 0.2, 1.0, -0.3, -0.3, 0.5, 0.1, 1.0, 0.5, 0.5])
 _PRIOR_BIAS = -3.0
 #: Groups of clauses that count as an attack of a known kind.
 _LIVE = [f in ("insult", "insult targeted", "threat intended") for f in FEATURES]
@@ -146,6 +155,9 @@ class Lexicon:
         self.sizes = sorted({len(x) for x in self.stems})
         self.heads = frozenset(x[: STEMS[0]] for x in self.stems)
         self.next = [[row[s][0] for s in SYMBOLS] for row in GRAMMAR.step]
+        self.reports = ["reported" in row["insult"][1].split() for row in GRAMMAR.step]
+        self.after_report = GRAMMAR.step[0]["report"][0]
+        self.stands = [[row[s][1] != "" and not {"negated", "reported"} & set(row[s][1].split()) for s in SYMBOLS] for row in GRAMMAR.step]
         self.out = [[_group(row[s][1]) if row[s][1] else -1 for s in SYMBOLS] for row in GRAMMAR.step]
 
     def symbol(self, token: str) -> int:
@@ -156,10 +168,17 @@ class Lexicon:
 
     def clauses(self, tokens: list[str]) -> list[tuple[int, int]]:
         """(pattern group, its hits) of each clause's heaviest match."""
+        return self.read(tokens)[0]
+
+    def read(self, tokens: list[str]) -> tuple[list[tuple[int, int]], int]:
+        """(pattern group, its hits) of each clause's heaviest match, and the hits that are aimed at a target behind them."""
         got, state, best, step, out = [], 0, None, self.next, self.out
+        aim, aimed, target = 0, 0, SYMBOLS.index("target")
         for t in tokens:
             c = self.symbol(t)
             g = out[state][c]
+            aim, mark = AIM.step[aim]["hit" if self.stands[state][c] else "target" if c == target else "other"]
+            aimed += mark != ""
             if g >= 0:
                 if best is None or _PRIOR[g] > _PRIOR[best[0]]:
                     best = (g, 1)
@@ -169,12 +188,12 @@ class Lexicon:
                 if best is not None:
                     got.append(best)
                     best = None
-                state = 0
+                state, aim = self.after_report if t == ":" and self.reports[state] else 0, 0
             else:
                 state = step[state][c]
         if best is not None:
             got.append(best)
-        return got
+        return got, aimed
 
     def features(self, text: str | None) -> np.ndarray:
         x = np.zeros(len(FEATURES))
@@ -184,9 +203,10 @@ class Lexicon:
         different = set(tokens)
         if self.hits.isdisjoint(different) and self.heads.isdisjoint({t[: STEMS[0]] for t in different}):
             return x
-        found = self.clauses(tokens)
+        found, aimed = self.read(tokens)
         for g, n in found:
             x[g] += n
+        x[FEATURES.index("aimed")] = aimed
         x = np.log1p(x)
         live = sum(1 for g, _ in found if _LIVE[g])
         x[-2] = math.log1p(live)

@@ -402,3 +402,59 @@ def test_suffix_lm_does_not_depend_on_partitions(spark):
     for parts in (4, 40):
         got = {r.doc_id: r.score for r in suffix_lm.score(df.repartition(parts, "doc_id")).collect()}
         assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_language_kernel_against_sets(monkeypatch):
+    def grams(text):
+        s = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)} - {" "}
+
+    landmarks, long = ["abc def", "xyz éa, b"], "ab   --- cd é " * 50
+    kernel = language_id.kernel_of(landmarks)
+    for text in ("abc def zzzzqqqqxxxxwwww vvvv", "abc def", "éa  -- xyz1", "", long):
+        g = grams(text)
+        assert kernel.against([text])[0] == pytest.approx([len(g & grams(x)) / max(1, len(g) * len(grams(x))) ** 0.5 for x in landmarks])
+    for chars in (3, 5, 7):  # runs and n-grams over the ends of pieces
+        monkeypatch.setattr(language_id, "CHARS", chars)
+        assert language_id.distinct_grams(long) == len(grams(long))
+
+
+def test_toxicity_grammar_reads_targets_behind_hits_and_reports_before_colons():
+    model = toxicity.Model(toxicity.Lexicon(), toxicity._PRIOR, toxicity._PRIOR_BIAS)
+    score = lambda text: float(model.score([text])[0])
+    assert score("I will kill you.") > score("kill the process")
+    assert score("I will not hurt you.") < score("I will hurt you.")
+    assert score("he said: you are an idiot") == score("she said you are an idiot") < score("you are an idiot")
+
+
+def test_pieces_of_a_unigram_model(tmp_path):
+    import struct
+
+    import sentencepiece
+
+    def field(number, value):
+        if isinstance(value, int):
+            return varint(number << 3) + varint(value)
+        if isinstance(value, float):
+            return varint(number << 3 | 5) + struct.pack("<f", value)
+        return varint(number << 3 | 2) + varint(len(value)) + value
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    rnd = random.Random(14)
+    names = sorted({"".join(rnd.choice("abc▁")[:1] for _ in range(1)) + "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 4))) for _ in range(60)} | set("abc▁"))
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] + [(n, -float(rnd.randint(10, 4000)) / 64, 1) for n in names]
+    raw = b"".join(field(1, field(1, n.encode()) + field(2, s) + field(3, k)) for n, s, k in rows)
+    trainer, normal = field(3, 1) + field(35, 1), field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(raw + field(2, trainer) + field(3, normal))
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.Pieces(str(path))
+    texts = ["".join(rnd.choice("aabbcc  é\n") for _ in range(30)) for _ in range(300)]
+    assert model.kind == pieces.UNIGRAM and model.encode_texts(texts) == lib.encode(texts)
+    path.write_bytes(raw + field(2, trainer) + field(3, field(3, 1)))  # drops spaces
+    with pytest.raises(ValueError, match="changes texts"):
+        pieces.Pieces(str(path))
