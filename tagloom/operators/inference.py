@@ -96,8 +96,11 @@ class Batch:
         per, at = _lists(batch.column(2))
         self.at = at.to_numpy().astype(np.int64) + self.begin.repeat(per)
         self.obs = _lists(batch.column(3))[1].to_numpy()
-        self.gold = _lists(batch.column(4))[1].to_numpy().astype(np.int64)
         self.size = int(self.n.sum())
+        labelled, gold = _lists(batch.column(4))
+        fits = labelled == self.n
+        self.gold = np.full(self.size, -1)  # also where there is not a label for each position
+        self.gold[fits.repeat(self.n)] = pc.fill_null(gold, -1).to_numpy().astype(np.int64)[fits.repeat(labelled)]
         self.w, size = w, self.y_size
         self.u_rows = np.flatnonzero(w.uoff[self.obs] >= 0)
         self.b_rows = np.flatnonzero(w.boff[self.obs] >= 0)
@@ -164,14 +167,15 @@ class Batch:
         return single, pair, z
 
     def gold_scores(self) -> np.ndarray:
-        """Score of the gold labels by lane."""
-        own = self.u[np.arange(self.size), self.gold]
+        """Score of the gold labels by lane, nan where one is not known."""
+        gold, unknown = np.maximum(self.gold, 0), np.concatenate(([0], np.cumsum(self.gold < 0)))
+        own = self.u[np.arange(self.size), gold]
         inner = np.ones(self.size, bool)
         inner[self.start] = False
         at = np.flatnonzero(inner)
-        own[at] += self.b[at, self.gold[at - 1], self.gold[at]]
-        sums = np.concatenate(([0.0], np.cumsum(own)))
-        return sums[self.start + self.length] - sums[self.start]
+        own[at] += self.b[at, gold[at - 1], gold[at]]
+        sums, end = np.concatenate(([0.0], np.cumsum(own))), self.start + self.length
+        return np.where(unknown[end] > unknown[self.start], np.nan, sums[end] - sums[self.start])
 
     def expected(self, size: int) -> tuple[np.ndarray, float]:
         """Expected counts of all weights, and the negative log-likelihood."""
@@ -230,7 +234,7 @@ def posteriors(encoded: DataFrame, weights: Weights) -> DataFrame:
 
 
 def losses(encoded: DataFrame, weights: Weights) -> DataFrame:
-    """(sent_id, loss): negative log-likelihood of the gold labels."""
+    """(sent_id, loss): negative log-likelihood of the gold labels, null where one is null or not known."""
     small_batches(encoded)
     sent = encoded.sparkSession.sparkContext.broadcast(weights)
 
@@ -238,7 +242,7 @@ def losses(encoded: DataFrame, weights: Weights) -> DataFrame:
         for batch in batches:
             b = Batch(batch, sent.value)
             _, _, z = b.forward_backward()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_lane_values(b, z - b.gold_scores(), batch.num_rows))], names=["sent_id", "loss"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_lane_values(b, z - b.gold_scores(), batch.num_rows), from_pandas=True)], names=["sent_id", "loss"])
 
     return encoded.mapInArrow(run, "sent_id long, loss double")
 

@@ -41,6 +41,19 @@ def paths(b, s):
         yield p, sum(b.u[a + t, p[t]] + (b.b[a + t, p[t - 1], p[t]] if t else 0) for t in range(n))
 
 
+def test_unknown_labels_have_no_score():
+    rng = np.random.default_rng(1)
+    rows, weights = batch_of([3, 2, 4], rng), weights_of(rng)
+    whole = Batch(rows, weights)
+    want = {int(s): x for s, x in zip(whole.lanes, whole.gold_scores(), strict=True)}
+    gold = rows.column(4).to_pylist()
+    for changed in ([-1, *gold[0][1:]], [], None, [None, *gold[0][1:]]):
+        column = pa.array([changed, *gold[1:]], rows.column(4).type)
+        b = Batch(pa.RecordBatch.from_arrays([*rows.columns[:4], column], names=rows.schema.names), weights)
+        got = {int(s): x for s, x in zip(b.lanes, b.gold_scores(), strict=True)}
+        assert np.isnan(got[0]) and got[1] == pytest.approx(want[1]) and got[2] == pytest.approx(want[2])
+
+
 def test_inference_matches_enumeration():
     rng = np.random.default_rng(0)
     for _ in range(5):
