@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 #: Fixed point: components are floor(SCALE * x).
 SCALE = 1024
@@ -178,13 +178,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v"))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    small_batches(spark)
     blocks = materialize(rows.mapInArrow(_pack(BLOCK), _BLOCKS), "va")
     queries = asked.coalesce(1) if asked.count() <= QUERIES * 8 else asked
     queries = queries.mapInArrow(_pack(QUERIES), _BLOCKS).select("dim", F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact")).withColumn("qb", F.monotonically_increasing_id())
     queries = materialize(queries, "queries")
     size = queries.agg(F.sum(F.octet_length("q_exact") + F.octet_length("q_ids"))).first()[0] or 0
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is a block from here on
 
     numbers = queries.groupBy("dim").agg(F.collect_list("qb").alias("qbs"))
     meets = blocks.join(F.broadcast(numbers), "dim").withColumn("qb", F.explode("qbs")).drop("qbs")
