@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.storage import materialize
+from tagloom.operators.templates import Template, distinct
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -33,6 +34,12 @@ def observations(exploded: DataFrame) -> DataFrame:
     return first_seen(exploded, "obs", ["sent_id", "t", "k"], "obs_id")
 
 
+def observations_in(sequences: DataFrame, templates: list[Template]) -> DataFrame:
+    """(obs_id, obs) of sequences(sent_id, cols, labels), by first place (sent_id, position, template)."""
+    first = distinct(sequences, templates).groupBy("obs").agg(F.min("first").alias("_first"))
+    return numbered(first, ["_first"], "obs_id").select("obs_id", "obs")
+
+
 def labels(sequences: DataFrame) -> DataFrame:
     """(label_id, label) over sequences."""
     rows = sequences.select("sent_id", F.posexplode_outer("labels").alias("t", "label"))
@@ -62,8 +69,3 @@ def layout(dictionary: DataFrame, n_labels: int, span: int = 65_536) -> DataFram
         F.when(kind != "b", F.col("off")).alias("uoff"),
         F.when(kind == "b", F.col("off")).when(kind == "*", F.col("off") + n_labels).alias("boff"),
     )
-
-
-def known(exploded: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Rows whose observation is in the (locked) dictionary, with its id."""
-    return exploded.join(dictionary, "obs")

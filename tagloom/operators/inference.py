@@ -2,8 +2,9 @@
 
 Sequences are encoded once (observation ids and label ids as arrays). A task then takes
 many sequences at a time: all of them step through their positions together, the
-longest first, so each step is one array operation over sequences and labels. Sums run
-in log space and cannot overflow.
+longest first, so each step is one array operation over sequences and labels. Sums are
+scaled at every position; a batch whose potentials lie too far apart for that takes
+them in log space, so nothing overflows or vanishes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ BATCH_ROWS = 400
 #: Observations (some tens of bytes each) up to which the dictionary is broadcast; beyond, sequences are joined to it.
 BROADCAST_OBSERVATIONS = 2_000_000
 
+#: Spread of a position's potentials up to which scaled sums keep every term (exp(-2 * 300) is still a double).
+SCALED_SPREAD = 300.0
+
 ENCODED = "sent_id long, n int, at array<int>, obs array<long>, y array<int>"
 
 
@@ -100,7 +104,8 @@ class Batch:
         labelled, gold = _lists(batch.column(4))
         fits = labelled == self.n
         self.gold = np.full(self.size, -1)  # also where there is not a label for each position
-        self.gold[fits.repeat(self.n)] = pc.fill_null(gold, -1).to_numpy().astype(np.int64)[fits.repeat(labelled)]
+        self.fits = fits.repeat(self.n)
+        self.gold[self.fits] = pc.fill_null(gold, -1).to_numpy().astype(np.int64)[fits.repeat(labelled)]
         self.w, size = w, self.y_size
         self.u_rows = np.flatnonzero(w.uoff[self.obs] >= 0)
         self.b_rows = np.flatnonzero(w.boff[self.obs] >= 0)
@@ -123,8 +128,9 @@ class Batch:
             c = int(self.live[t])
             at = self.start[:c] + t
             score = value[:c, :, None] + (self.u[at][:, None, :] + self.b[at])
-            back[at] = score.argmax(1)
-            value[:c] = score.max(1)
+            best = score.argmax(1)
+            back[at] = best
+            value[:c] = np.take_along_axis(score, best[:, None, :], 1)[:, 0]
         best = value.argmax(1) if len(value) else np.zeros(0, np.int64)
         state = best.copy()
         for t in range(len(self.live) - 1, -1, -1):
@@ -153,17 +159,57 @@ class Batch:
             backward[at] = _log_sum(self.b[at + 1] + (self.u[at + 1] + backward[at + 1])[:, None, :], 2)
         return forward, backward, _log_sum(forward[self.start + self.length - 1], 1)
 
+    def _scaled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """exp of u and b over their largest value at each position, and those values' logs; None where they lie too far apart."""
+        if not self.size:
+            return None
+        u_top, b_top = self.u.max(1), self.b.max((1, 2))
+        if (u_top - self.u.min(1)).max() > SCALED_SPREAD or (b_top - self.b.min((1, 2))).max() > SCALED_SPREAD:
+            return None
+        return np.exp(self.u - u_top[:, None]), np.exp(self.b - b_top[:, None, None]), u_top, b_top
+
+    def _scaled_forward(self, u: np.ndarray, b: np.ndarray, u_top: np.ndarray, b_top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward shares by position (they sum to one), and log Z by lane."""
+        forward, total = np.empty((self.size, self.y_size)), np.empty(self.size)
+        for t in range(len(self.live)):
+            at = self.start[: int(self.live[t])] + t
+            now = np.einsum("ci,cij->cj", forward[at - 1], b[at]) * u[at] if t else u[at]
+            total[at] = now.sum(1)
+            forward[at] = now / total[at][:, None]
+        logs = np.log(total) + u_top + b_top
+        logs[self.start] -= b_top[self.start]
+        sums = np.concatenate(([0.0], np.cumsum(logs)))
+        return forward, sums[self.start + self.length] - sums[self.start]
+
+    def log_z(self) -> np.ndarray:
+        """Log Z by lane."""
+        scaled = self._scaled()
+        return self._scaled_forward(*scaled)[1] if scaled else self.forward_backward()[2]
+
     def marginals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(label) by position, P(previous, label) by position (0 at the first), log Z by lane."""
+        inner = np.ones(self.size, bool)
+        inner[self.start] = False
+        inner = np.flatnonzero(inner)
+        pair = np.zeros((self.size, self.y_size, self.y_size))
+        scaled = self._scaled()
+        if scaled:
+            u, b = scaled[:2]
+            forward, z = self._scaled_forward(*scaled)
+            backward = np.ones((self.size, self.y_size))
+            for t in range(len(self.live) - 2, -1, -1):
+                at = self.start[: int(self.live[t + 1])] + t
+                now = np.einsum("cij,cj->ci", b[at + 1], u[at + 1] * backward[at + 1])
+                backward[at] = now / now.max(1)[:, None]
+            single = forward * backward
+            pair[inner] = forward[inner - 1][:, :, None] * b[inner] * (u[inner] * backward[inner])[:, None, :]
+            pair[inner] /= pair[inner].sum((1, 2))[:, None, None]
+            return single / single.sum(1)[:, None], pair, z
         forward, backward, z = self.forward_backward()
         of = np.empty(self.size)
         of[np.concatenate([np.arange(s, s + n) for s, n in zip(self.start, self.length, strict=True)]) if len(self.start) else np.zeros(0, int)] = z.repeat(self.length)
         single = np.exp(forward + backward - of[:, None])
-        pair = np.zeros((self.size, self.y_size, self.y_size))
-        inner = np.ones(self.size, bool)
-        inner[self.start] = False
-        at = np.flatnonzero(inner)
-        pair[at] = np.exp(forward[at - 1][:, :, None] + self.b[at] + (self.u[at] + backward[at])[:, None, :] - of[at][:, None, None])
+        pair[inner] = np.exp(forward[inner - 1][:, :, None] + self.b[inner] + (self.u[inner] + backward[inner])[:, None, :] - of[inner][:, None, None])
         return single, pair, z
 
     def gold_scores(self) -> np.ndarray:
@@ -177,16 +223,25 @@ class Batch:
         sums, end = np.concatenate(([0.0], np.cumsum(own))), self.start + self.length
         return np.where(unknown[end] > unknown[self.start], np.nan, sums[end] - sums[self.start])
 
+    def add_expected(self, total: np.ndarray) -> float:
+        """Adds the expected counts of all weights to total; returns the negative log-likelihood."""
+        single, pair, z = self.marginals()
+        y = np.arange(self.y_size)
+        np.add.at(total, (self.u_index[:, None] + y).ravel(), single[self.u_rows_at].ravel())
+        np.add.at(total, (self.b_index[:, None] + np.arange(self.y_size**2)).ravel(), pair[self.b_rows_at].ravel())
+        return float((z - self.gold_scores()).sum())
+
     def expected(self, size: int) -> tuple[np.ndarray, float]:
         """Expected counts of all weights, and the negative log-likelihood."""
-        single, pair, z = self.marginals()
         out = np.zeros(size)
-        for y in range(self.y_size):
-            out += np.bincount(self.u_index + y, weights=single[self.u_rows_at, y], minlength=size)
-        flat = pair.reshape(self.size, -1)
-        for d in range(self.y_size**2):
-            out += np.bincount(self.b_index + d, weights=flat[self.b_rows_at, d], minlength=size)
-        return out, float((z - self.gold_scores()).sum())
+        return out, self.add_expected(out)
+
+    def errors(self) -> np.ndarray:
+        """Wrong and all labelled positions, wrong and all sequences with them, of the best labels against the gold ones."""
+        path = self.viterbi()[0]
+        wrong = np.concatenate(([0], np.cumsum((path != self.gold) & self.fits)))
+        bad = wrong[self.begin + self.n] - wrong[self.begin]
+        return np.array([bad.sum(), self.fits.sum(), np.count_nonzero(bad), len(self.n)], float)
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -200,6 +255,21 @@ def _lane_values(b: Batch, values: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def potentials(encoded: DataFrame, weights: Weights) -> DataFrame:
+    """(sent_id, u, b): summed weights of each label, and of each pair (previous, label) in rows of labels, at each position."""
+    small_batches(encoded)
+    sent = encoded.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = Batch(batch, sent.value)
+            cuts = np.concatenate(([0], np.cumsum(b.n))).astype(np.int32)
+            inner = [pa.ListArray.from_arrays(np.arange(b.size + 1, dtype=np.int32) * wide, pa.array(x.ravel())) for x, wide in ((b.u, b.y_size), (b.b, b.y_size**2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(cuts, x) for x in inner]], names=["sent_id", "u", "b"])
+
+    return encoded.mapInArrow(run, "sent_id long, u array<array<double>>, b array<array<double>>")
+
+
 def decode(encoded: DataFrame, weights: Weights) -> DataFrame:
     """(sent_id, score, path): the best label sequence with each position's own score."""
     small_batches(encoded)
@@ -241,34 +311,43 @@ def losses(encoded: DataFrame, weights: Weights) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = Batch(batch, sent.value)
-            _, _, z = b.forward_backward()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_lane_values(b, z - b.gold_scores(), batch.num_rows), from_pandas=True)], names=["sent_id", "loss"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_lane_values(b, b.log_z() - b.gold_scores(), batch.num_rows), from_pandas=True)], names=["sent_id", "loss"])
 
     return encoded.mapInArrow(run, "sent_id long, loss double")
 
 
-def expectation(encoded: DataFrame, weights: Weights) -> tuple[np.ndarray, float]:
-    """Expected counts of all weights and the loss, summed over all sequences; tasks send sparse partial sums."""
+def measured(encoded: DataFrame, weights: Weights, gradient: bool = True) -> tuple[np.ndarray, float, tuple[float, float]]:
+    """Expected counts of all weights, the loss, and the token and sentence error of decoding, over all sequences in one pass.
+
+    Tasks send sparse partial sums. Without gradient the counts and the loss stay zero.
+    """
     small_batches(encoded)
     size = len(weights.theta)
     sent = encoded.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, loss = np.zeros(size), 0.0
+        total, loss, errors = np.zeros(size if gradient else 0), 0.0, np.zeros(4)
         for batch in batches:
             if batch.num_rows:
-                g, x = Batch(batch, sent.value).expected(size)
-                total += g
-                loss += x
+                b = Batch(batch, sent.value)
+                errors += b.errors()
+                if gradient:
+                    loss += b.add_expected(total)
         at = np.flatnonzero(total)
         for a in range(0, len(at), 100_000):
             part = at[a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["f", "v"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([loss])], names=["f", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, -6, -1)), pa.array(np.concatenate(([loss], errors)))], names=["f", "v"])
 
     got = encoded.mapInArrow(run, "f long, v double").groupBy("f").agg(F.sum("v").alias("v")).toPandas()
     sent.unpersist()
     f, v = got["f"].to_numpy(), got["v"].to_numpy()
     out = np.zeros(size)
     out[f[f >= 0]] = v[f >= 0]
-    return out, float(v[f < 0].sum())
+    loss, bad, tokens, bad_sequences, sequences = np.bincount(-1 - f[f < 0], weights=v[f < 0], minlength=5)
+    return out, float(loss), (float(bad / tokens) if tokens else 0.0, float(bad_sequences / sequences) if sequences else 0.0)
+
+
+def expectation(encoded: DataFrame, weights: Weights) -> tuple[np.ndarray, float]:
+    """Expected counts of all weights and the loss, summed over all sequences."""
+    return measured(encoded, weights)[:2]

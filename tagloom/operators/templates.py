@@ -151,38 +151,62 @@ def _shifted(rows: Column, m: Macro) -> Column:
     return F.slice(F.concat(values, F.array(*[F.lit(_mark("+", d)) for d in range(1, m.offset + 1)])), F.lit(m.offset + 1), n)
 
 
-def observations_of(rows: Column, templates: list[Template]) -> Column:
-    """Observations of each position of a sequence's rows, in the order of the templates.
+def _windows(rows: Column, templates: list[Template]) -> tuple[Column, dict]:
+    """The cells that templates read, as a struct for each position, and the names of its fields.
 
-    Every cell becomes an array of its own, so that the lambda reads its element only.
+    Every cell becomes an array of its own, so that a lambda reads its element only.
     """
     cells = sorted({(m.absolute, m.offset, m.column): m for t in templates for m in t.items if isinstance(m, Macro)}.items())
     names = {key: f"c{k}" for k, (key, _) in enumerate(cells)}
-    zipped = F.arrays_zip(F.transform(rows, lambda r: F.size(r)).alias("n"), *[_shifted(rows, m).alias(names[key]) for key, m in cells])
+    return F.arrays_zip(F.transform(rows, lambda r: F.size(r)).alias("n"), *[_shifted(rows, m).alias(names[key]) for key, m in cells]), names
+
 
-    def observation(template: Template, z: Column) -> Column:
-        parts = []
-        for item in template.items:
-            if isinstance(item, str):
-                parts.append(F.lit(item))
-                continue
-            value = z[names[item.absolute, item.offset, item.column]]
-            if item.type != "x":
-                java = to_java_pattern(item.pattern or "")
-                value = value.rlike(java).cast("string") if item.type == "t" else F.coalesce(F.regexp_extract(value, java, 0), F.lit(""))
-            parts.append(ascii_lower(value) if item.lower else value)
-        return F.concat(*parts)
+def _observation(template: Template, z: Column, names: dict) -> Column:
+    parts = []
+    for item in template.items:
+        if isinstance(item, str):
+            parts.append(F.lit(item))
+            continue
+        value = z[names[item.absolute, item.offset, item.column]]
+        if item.type != "x":
+            java = to_java_pattern(item.pattern or "")
+            value = value.rlike(java).cast("string") if item.type == "t" else F.coalesce(F.regexp_extract(value, java, 0), F.lit(""))
+        parts.append(ascii_lower(value) if item.lower else value)
+    return F.concat(*parts)
 
-    return F.transform(zipped, lambda z: F.array(*[observation(t, z) for t in templates]))
+
+def observations_of(rows: Column, templates: list[Template]) -> Column:
+    """Observations of each position of a sequence's rows, in the order of the templates."""
+    zipped, names = _windows(rows, templates)
+    return F.transform(zipped, lambda z: F.array(*[_observation(t, z, names) for t in templates]))
+
+
+def _checked(sequences: DataFrame, templates: list[Template]) -> DataFrame:
+    wide = max((t.columns for t in templates), default=0)
+    if wide <= 1:
+        return sequences
+    short = F.exists("cols", lambda r: F.size(r) < wide)
+    return sequences.withColumn("cols", F.when(short, F.raise_error(F.lit(f"templates read {wide} columns"))).otherwise(F.col("cols")))
+
+
+def distinct(sequences: DataFrame, templates: list[Template]) -> DataFrame:
+    """(k, obs, n, first): observations of distinct windows, with the number of positions that have the window.
+
+    Positions with equal cells have equal observations, so they are grouped before the
+    templates are expanded. first grows with (sent_id, t, k); it is a decimal, which an
+    aggregate keeps in place.
+    """
+    zipped, names = _windows(F.col("cols"), templates)
+    rows = _checked(sequences, templates).select(F.col("sent_id").cast("decimal(19,0)").alias("s"), F.posexplode_outer(zipped).alias("t", "z"))
+    place = (F.col("s") * F.lit(1_000_000_000).cast("decimal(10,0)") + F.col("t")).cast("decimal(30,0)")
+    grouped = rows.groupBy("z").agg(F.count("*").alias("n"), F.min(place).alias("p"))
+    wide = grouped.select("n", "p", F.posexplode_outer(F.array(*[_observation(t, F.col("z"), names) for t in templates])).alias("k", "obs"))
+    return wide.select("k", "obs", "n", (F.col("p") * F.lit(10_000).cast("decimal(5,0)") + F.col("k")).cast("decimal(36,0)").alias("first"))
 
 
 def features(sequences: DataFrame, templates: list[Template]) -> DataFrame:
     """sequences with obs: the observations of each position in the order of the templates."""
-    wide = max((t.columns for t in templates), default=0)
-    if wide > 1:
-        short = F.exists("cols", lambda r: F.size(r) < wide)
-        sequences = sequences.withColumn("cols", F.when(short, F.raise_error(F.lit(f"templates read {wide} columns"))).otherwise(F.col("cols")))
-    return sequences.withColumn("obs", observations_of(F.col("cols"), templates))
+    return _checked(sequences, templates).withColumn("obs", observations_of(F.col("cols"), templates))
 
 
 def exploded(featured: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators.inference import Batch, Weights, expectation, small_batches
+from tagloom.operators.inference import Batch, Weights, measured, small_batches
 
 # fixed values: constants of the line search
 _ARMIJO, _WOLFE = 1e-4, 0.9
@@ -146,15 +146,22 @@ def lbfgs(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.nda
     return x
 
 
-def objective_of(encoded: DataFrame, weights: Weights, p: Params) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
-    """Penalised negative log-likelihood over all sequences, a Spark job an evaluation."""
-    seen = empirical(encoded, weights)
+class Objective:
+    """Penalised negative log-likelihood over all sequences, a Spark job an evaluation; errors are those of the last one."""
 
-    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
-        expected, loss = expectation(encoded, Weights(weights.labels, weights.uoff, weights.boff, x))
-        return loss + p.l1 * np.abs(x).sum() + p.l2 * (x @ x) / 2, expected - seen + p.l2 * x
+    def __init__(self, encoded: DataFrame, weights: Weights, p: Params):
+        self.encoded, self.weights, self.p = encoded, weights, p
+        self.seen = empirical(encoded, weights)
+        self.errors = (0.0, 0.0)
 
-    return evaluate
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, p = self.weights, self.p
+        expected, loss, self.errors = measured(self.encoded, Weights(w.labels, w.uoff, w.boff, x))
+        return loss + p.l1 * np.abs(x).sum() + p.l2 * (x @ x) / 2, expected - self.seen + p.l2 * x
+
+
+def objective_of(encoded: DataFrame, weights: Weights, p: Params) -> Objective:
+    return Objective(encoded, weights, p)
 
 
 def sgd_epoch(encoded: DataFrame, weights: Weights, p: Params, epoch: int, n: int) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tagloom.functions.storage import materialize
 from tagloom.functions.text import characters, joined_by_tags
 from tagloom.operators import dictionary as D
-from tagloom.operators import inference, metrics
+from tagloom.operators import inference
 from tagloom.operators import templates as Tpl
 from tagloom.operators.training import Log, Params, lbfgs, objective_of, sgd_epoch
 
@@ -40,6 +40,21 @@ class CrfModel:
         theta[w["f"].to_numpy(np.int64)] = w["w"].to_numpy()
         return inference.Weights(names, rows["uoff"].fillna(-1).to_numpy(np.int64), rows["boff"].fillna(-1).to_numpy(np.int64), theta)
 
+    def cells(self) -> DataFrame:
+        """(f, obs, previous, label): what each weight belongs to; previous is null for a weight of one label."""
+        names = F.broadcast(self.labels.agg(F.array_sort(F.collect_list(F.struct("label_id", "label")))["label"].alias("names")))
+        rows, y = self.layout.join(names), F.size("names")
+        single = F.transform(F.sequence(F.lit(0), y - 1), lambda i: F.struct((F.col("uoff") + i).alias("f"), F.lit(None).cast("string").alias("previous"), F.get("names", i).alias("label")))
+        pair = F.transform(F.sequence(F.lit(0), y * y - 1), lambda i: F.struct((F.col("boff") + i).alias("f"), F.get("names", F.floor(i / y).cast("int")).alias("previous"), F.get("names", i % y).alias("label")))
+        none = F.slice(single, 1, 0)
+        own = F.concat(F.when(F.col("uoff").isNull(), none).otherwise(single), F.when(F.col("boff").isNull(), none).otherwise(pair))
+        return rows.select("obs", F.explode(own).alias("c")).select("c.f", "obs", "c.previous", "c.label")
+
+    def by_cell(self, values: np.ndarray, name: str) -> DataFrame:
+        """Cells with their entry of a vector of the weights' size."""
+        table = self.labels.sparkSession.createDataFrame(pd.DataFrame({"f": np.arange(len(values)), name: values}))
+        return self.cells().join(table, "f")
+
     def encode(self, sequences: DataFrame) -> DataFrame:
         return inference.encode(Tpl.features(sequences, self.templates), self.layout.select("obs_id", "obs"), self.labels)
 
@@ -129,7 +144,7 @@ class CrfEstimator:
         spark = sequences.sparkSession
         featured = Tpl.features(sequences, self.templates)
         labels = materialize(D.labels(sequences), "labels")
-        layout = materialize(D.layout(D.observations(Tpl.exploded(featured)), labels.count()), "layout")
+        layout = materialize(D.layout(D.observations_in(sequences, self.templates), labels.count()), "layout")
         size = layout.agg(F.sum(D.width(F.col("obs"), labels.count()))).first()[0] or 0
         model = CrfModel(self.templates, labels, layout, spark.createDataFrame([], "f long, w double"), int(size))
         return model, materialize(inference.encode(featured, layout.select("obs_id", "obs"), labels), "encoded")
@@ -143,20 +158,20 @@ class CrfEstimator:
             arrays.theta = start.arrays().theta
         log, errors = Log(), []
 
-        def report(k: int, f: float | None, x: np.ndarray) -> bool:
-            got = training_error(encoded, inference.Weights(arrays.labels, arrays.uoff, arrays.boff, x))
+        def report(k: int, f: float | None, x: np.ndarray, got: tuple[float, float]) -> bool:
             errors.append(got[0])
             log.rows.append((k, None if f is None else float(f), int(np.count_nonzero(x)), got[0], got[1]))
             last = errors[-p.stop_window :]
             return len(last) == p.stop_window and (max(last) - min(last)) * 100 < p.stop_eps
 
         if p.algorithm == "l-bfgs":
-            x = lbfgs(objective_of(encoded, arrays, p), arrays.theta, p, report)
+            objective = objective_of(encoded, arrays, p)  # the last evaluation is of the accepted x, so it has the errors to report
+            x = lbfgs(objective, arrays.theta, p, lambda k, f, x: report(k, f, x, objective.errors))
         else:
             n, x = encoded.count(), arrays.theta
             for epoch in range(p.max_iter):
                 x = sgd_epoch(encoded, inference.Weights(arrays.labels, arrays.uoff, arrays.boff, x), p, epoch, n)
-                if report(epoch, None, x):
+                if report(epoch, None, x, training_error(encoded, inference.Weights(arrays.labels, arrays.uoff, arrays.boff, x))):
                     break
         spark, at = sequences.sparkSession, np.flatnonzero(x)
         model.weights = materialize(spark.createDataFrame(list(zip(at.tolist(), x[at].tolist(), strict=True)), "f long, w double"), "weights")
@@ -166,8 +181,4 @@ class CrfEstimator:
 
 def training_error(encoded: DataFrame, weights: inference.Weights) -> tuple[float, float]:
     """Token and sentence error of decoding against the gold labels."""
-    names = F.array(*[F.lit(n) for n in weights.labels])
-    found = inference.decode(encoded, weights).select("sent_id", F.col("path.label").alias("predicted"))
-    pairs = found.join(encoded.select("sent_id", F.transform("y", lambda y: F.get(names, y)).alias("labels")), "sent_id")
-    r = metrics.error_rates(pairs).first()
-    return r.token_error, r.sentence_error
+    return inference.measured(encoded, weights, gradient=False)[2]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.storage import materialize
@@ -12,9 +12,9 @@ from tagloom.functions.text import joined_by_tags
 from tagloom.operators import dictionary as D
 from tagloom.operators import metrics
 from tagloom.operators import templates as Tpl
-from tagloom.operators.inference import losses, posteriors
+from tagloom.operators.inference import encode, losses, posteriors, potentials
 from tagloom.operators.segmentation import with_spans, words
-from tagloom.operators.training import Params
+from tagloom.operators.training import Params, empirical, lbfgs, objective_of, pseudo_gradient
 from tagloom.plans.crf import CrfEstimator
 from tagloom.sources import sequences as S
 
@@ -59,7 +59,9 @@ def _by_template(rows: DataFrame) -> DataFrame:
 
 
 def q04_default_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_template(_exploded(spark, sf_dir))
+    rows = Tpl.distinct(_sequences(spark, sf_dir), TEMPLATES)
+    per = rows.groupBy("k", "obs").agg(F.sum("n").alias("n"))
+    return per.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"), F.sum(F.col("n") * F.char_length("obs")).alias("n_chars"))
 
 
 def q05_absolute_and_far(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +73,7 @@ def q06_patterns_and_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.observations(_exploded(spark, sf_dir))
+    return D.observations_in(_sequences(spark, sf_dir), TEMPLATES)
 
 
 def q07_observation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,19 +90,28 @@ def q09_feature_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.coalesce(c, F.lit(-1)).cast("long") for c in ("uoff", "boff")})
 
 
-def _with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(obs, label, previous) of every position and template."""
-    seqs = Tpl.features(_sequences(spark, sf_dir), TEMPLATES)
-    rows = seqs.select(F.posexplode_outer(F.arrays_zip("obs", "labels")).alias("t", "z"), F.col("labels").alias("ls"))
-    return rows.select(F.explode_outer("z.obs").alias("obs"), F.col("z.labels").alias("label"), F.get("ls", F.col("t") - 1).alias("previous"))
+def _prepared(spark: SparkSession, sf_dir: str):
+    """A model with zero weights of all lines, its encoded sequences, and its arrays."""
+    model, encoded = CrfEstimator().prepare(materialize(_sequences(spark, sf_dir), "sequences"))
+    return model, encoded, model.arrays()
+
+
+def _cells(model, values, name: str) -> DataFrame:
+    return model.by_cell(values, name).withColumn("previous", F.coalesce("previous", F.lit("")))
 
 
 def q10_empirical_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_labels(spark, sf_dir).where("obs like 'u%'").groupBy("obs", "label").agg(F.count("*").alias("n"))
+    """Gold counts of all weights, those of label pairs included."""
+    model, encoded, arrays = _prepared(spark, sf_dir)
+    return _cells(model, empirical(encoded, arrays), "n").where("n <> 0").select("obs", "previous", "label", F.col("n").cast("long").alias("n"))
 
 
 def q11_label_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_labels(spark, sf_dir).where("obs like 'b%' and previous is not null").groupBy("obs", "previous", "label").agg(F.count("*").alias("n"))
+    """Counts of (observation, previous label, label), of the templates that read label pairs."""
+    seqs = Tpl.features(_sequences(spark, sf_dir), [t for t in TEMPLATES if t.kind != "u"])
+    rows = seqs.select(F.posexplode_outer(F.arrays_zip("obs", "labels")).alias("t", "z"), F.col("labels").alias("ls")).where("t > 0")
+    rows = rows.select(F.explode_outer("z.obs").alias("obs"), F.get("ls", F.col("t") - 1).alias("previous"), F.col("z.labels").alias("label"))
+    return rows.groupBy("obs", "previous", "label").agg(F.count("*").alias("n"))
 
 
 def q12_objective_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,26 +121,31 @@ def q12_objective_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q13_gradient_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient of the unigram weights with all weights at zero: share of the count less the gold count."""
-    counts = q10_empirical_counts(spark, sf_dir)
-    names = q08_label_ids(spark, sf_dir).select("label")
-    y = names.count()
-    total = counts.groupBy("obs").agg(F.sum("n").alias("m"))
-    cells = total.join(F.broadcast(names)).join(counts, ["obs", "label"], "left")
-    return cells.select("obs", "label", F.round(F.col("m") / y - F.coalesce("n", F.lit(0)), 6).alias("g"))
+    """Gradient of all weights at zero, by the distributed backward pass: expected less gold counts."""
+    model, encoded, arrays = _prepared(spark, sf_dir)
+    _, g = objective_of(encoded, arrays, Params())(arrays.theta)
+    return _cells(model, g, "g").select("obs", "previous", "label", F.round("g", 6).alias("g"))
 
 
-def q14_pseudo_gradient(spark: SparkSession, sf_dir: str, l1: float = 0.5) -> DataFrame:
-    g = q13_gradient_at_zero(spark, sf_dir)
-    low, high = F.col("g") - l1, F.col("g") + l1
-    return g.select("obs", "label", F.round(F.when(high < 0, high).when(low > 0, low).otherwise(0.0), 6).alias("pg"))
+def q14_pseudo_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, encoded, arrays = _prepared(spark, sf_dir)
+    p = Params()
+    _, g = objective_of(encoded, arrays, p)(arrays.theta)
+    return _cells(model, pseudo_gradient(arrays.theta, g, p.l1), "pg").select("obs", "previous", "label", F.round("pg", 6).alias("pg"))
 
 
 def q15_first_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First step of the line search: against the pseudo-gradient, of length one."""
-    pg = materialize(q14_pseudo_gradient(spark, sf_dir), "pg")
-    norm = pg.agg(F.sqrt(F.sum(F.col("pg") * F.col("pg"))).alias("norm"))
-    return pg.where("pg <> 0").join(F.broadcast(norm)).select("obs", "label", F.round(-F.col("pg") / F.col("norm"), 7).alias("x"))
+    """First point that the optimiser's line search tries."""
+    model, encoded, arrays = _prepared(spark, sf_dir)
+    p, tried = Params(max_iter=1, max_line_search=1), []
+    objective = objective_of(encoded, arrays, p)
+
+    def seen(x):
+        tried.append(x)
+        return objective(x)
+
+    lbfgs(seen, arrays.theta, p, lambda k, f, x: True)
+    return _cells(model, tried[-1], "x").where("x <> 0").select("obs", "previous", "label", F.round("x", 7).alias("x"))
 
 
 def q16_unigram_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +156,23 @@ def q16_unigram_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(names).select("sent_id", "label", ((F.col("a") - F.col("b") * F.char_length("label") + F.ascii("label") % 3) / 8.0).alias("score"))
 
 
+def q31_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed potentials by sequence and label, under weights that are multiples of 1/8 made from observations and labels: score of the label's own, into of the pairs that end in it."""
+    model, encoded, _ = _prepared(spark, sf_dir)
+    own = (F.char_length("obs") % 7 - (F.octet_length("obs") % 5) * (F.ascii("label") % 3)) / 8.0
+    pair = (F.ascii("previous") * 3 + F.ascii("label")) % 11 / 8.0
+    model.weights = model.cells().select("f", F.when(F.col("previous").isNull(), own).otherwise(pair).alias("w"))
+    arrays = model.arrays()
+    y = len(arrays.labels)
+    rows = potentials(encoded, arrays).select("sent_id", F.array(*[F.lit(x) for x in arrays.labels]).alias("names"), "u", F.slice("b", F.lit(2), F.greatest(F.size("b") - 1, F.lit(0))).alias("b"))
+
+    def total(column: str, at) -> Column:
+        return F.aggregate(column, F.lit(0.0), lambda a, x: a + at(x))
+
+    parts = [F.struct(F.lit(k).alias("k"), total("u", lambda x, k=k: x[k]).alias("score"), total("b", lambda x, k=k: sum((x[p * y + k] for p in range(1, y)), x[k])).alias("into")) for k in range(y)]
+    return rows.select("sent_id", "names", F.explode(F.array(*parts)).alias("c")).select("sent_id", F.get("names", F.col("c.k")).alias("label"), "c.score", "c.into")
+
+
 def _by_character(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences with a baseline's labels: each character's most frequent tag (the first in order of ties)."""
     seqs = materialize(_sequences(spark, sf_dir), "sequences")
@@ -185,7 +218,7 @@ def q21_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q22_model_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = q08_label_ids(spark, sf_dir).count()
-    return metrics.model_statistics(_exploded(spark, sf_dir).select("obs").distinct(), n)
+    return metrics.model_statistics(Tpl.distinct(_sequences(spark, sf_dir), TEMPLATES).select("obs").distinct(), n)
 
 
 def q23_stopping_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,11 +245,14 @@ def q25_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q26_locked_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many observations of conversations are in the dictionary of documents, by template."""
-    known = _exploded(spark, sf_dir).select("obs").distinct().withColumn("hit", F.lit(1))
+    dictionary = materialize(_dictionary(spark, sf_dir), "dictionary")
     talks = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    rows = Tpl.exploded(Tpl.features(S.from_segmented(S.lines_of(talks, "id", "text"), "sent_id", "line"), TEMPLATES))
-    counts = rows.groupBy("k", "obs").agg(F.count("*").alias("n"))
-    return counts.join(known, "obs", "left").groupBy("k").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("n_known"))
+    featured = Tpl.features(S.from_segmented(S.lines_of(talks, "id", "text"), "sent_id", "line"), TEMPLATES)
+    found = encode(featured, dictionary, q08_label_ids(spark, sf_dir)).select(F.explode("obs").alias("obs_id")).groupBy("obs_id").agg(F.count("*").alias("n"))
+    names = F.array(*[F.lit(t.source.split(":")[0]) for t in TEMPLATES])
+    known = found.join(dictionary, "obs_id").groupBy((F.array_position(names, F.substring_index("obs", ":", 1)) - 1).cast("int").alias("k")).agg(F.sum("n").alias("n_known"))
+    every = featured.agg(F.sum(F.size("obs")).alias("n"), F.lit(len(TEMPLATES)).alias("m")).select("n", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"))
+    return every.join(F.broadcast(known), "k", "left").select("k", "n", F.coalesce("n_known", F.lit(0)).alias("n_known"))
 
 
 def q27_first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,15 +305,20 @@ _FIRST = _OBS + """,
     ids AS (SELECT row_number() OVER (ORDER BY f) - 1 AS obs_id, obs FROM (SELECT obs, min((sent_id, t, k)) AS f FROM obs GROUP BY obs))"""
 _LABELS = """
     label_ids AS (SELECT row_number() OVER (ORDER BY f) - 1 AS label_id, label FROM (SELECT tags[t + 1] AS label, min((sent_id, t)) AS f FROM cells GROUP BY 1))"""
-_GRADIENT = _OBS + """,
-    counts AS (SELECT obs, label, count(*) AS n FROM obs WHERE obs LIKE 'u%' GROUP BY 1, 2),
+_COUNTS = _OBS + """,
+    counts AS (
+        SELECT obs, '' AS previous, label, count(*) AS n FROM obs WHERE obs LIKE 'u%' GROUP BY 1, 2, 3
+        UNION ALL SELECT obs, previous, label, count(*) AS n FROM obs WHERE obs LIKE 'b%' AND previous IS NOT NULL GROUP BY 1, 2, 3
+    )"""
+_GRADIENT = _COUNTS + """,
     names AS (SELECT DISTINCT label FROM obs),
     total AS (SELECT obs, sum(n) AS m FROM counts GROUP BY 1),
+    places AS (SELECT '' AS previous, label, 'u' AS kind FROM names UNION ALL SELECT p.label, y.label, 'b' FROM names p CROSS JOIN names y),
     gradient AS (
-        SELECT total.obs, names.label, round(m / (SELECT count(*) FROM names) - coalesce(n, 0), 6) AS g
-        FROM total CROSS JOIN names LEFT JOIN counts ON counts.obs = total.obs AND counts.label = names.label
+        SELECT total.obs, places.previous, places.label, round(m / (SELECT count(*) FROM places p WHERE p.kind = places.kind) - coalesce(n, 0), 6) AS g
+        FROM total JOIN places ON total.obs[1] = places.kind LEFT JOIN counts ON counts.obs = total.obs AND counts.label = places.label AND counts.previous = places.previous
     ),
-    pseudo AS (SELECT obs, label, round(CASE WHEN g + 0.5::DOUBLE < 0 THEN g + 0.5::DOUBLE WHEN g - 0.5::DOUBLE > 0 THEN g - 0.5::DOUBLE ELSE 0 END, 6) AS pg FROM gradient)"""
+    pseudo AS (SELECT obs, previous, label, round(CASE WHEN g + 0.5::DOUBLE < 0 THEN g + 0.5::DOUBLE WHEN g - 0.5::DOUBLE > 0 THEN g - 0.5::DOUBLE ELSE 0 END, 6) AS pg FROM gradient)"""
 _GUESS = _CELLS + """,
     tally AS (SELECT c[t + 1] AS ch, tags[t + 1] AS label, count(*) AS n FROM cells GROUP BY 1, 2),
     best AS (SELECT ch, label FROM tally QUALIFY row_number() OVER (PARTITION BY ch ORDER BY n DESC, label) = 1),
@@ -326,16 +367,21 @@ ORACLE_SQL: dict[str, str] = {
         placed AS (SELECT obs_id, obs, coalesce(sum(w) OVER (ORDER BY obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM wide)
         SELECT obs_id, obs, CASE WHEN obs LIKE 'u%' THEN 1 ELSE 2 END AS kind, CASE WHEN obs LIKE 'u%' THEN o ELSE -1 END AS uoff, CASE WHEN obs LIKE 'b%' THEN o ELSE -1 END AS boff FROM placed
     """,
-    "q10_empirical_counts": f"WITH {_OBS} SELECT obs, label, count(*) AS n FROM obs WHERE obs LIKE 'u%' GROUP BY 1, 2",
+    "q10_empirical_counts": f"WITH {_COUNTS} SELECT obs, previous, label, n FROM counts",
     "q11_label_transitions": f"WITH {_OBS} SELECT obs, previous, label, count(*) AS n FROM obs WHERE obs LIKE 'b%' AND previous IS NOT NULL GROUP BY 1, 2, 3",
     "q12_objective_at_zero": f"WITH {_CELLS} SELECT count(DISTINCT sent_id) AS n_sent, round(count(*) * ln(count(DISTINCT tags[t + 1])), 2) AS loss FROM cells",
-    "q13_gradient_at_zero": f"WITH {_GRADIENT} SELECT obs, label, g FROM gradient",
-    "q14_pseudo_gradient": f"WITH {_GRADIENT} SELECT obs, label, pg FROM pseudo",
-    "q15_first_trial": f"WITH {_GRADIENT} SELECT obs, label, round(-pg / (SELECT sqrt(sum(pg * pg)) FROM pseudo), 7) AS x FROM pseudo WHERE pg <> 0",
+    "q13_gradient_at_zero": f"WITH {_GRADIENT} SELECT obs, previous, label, g FROM gradient",
+    "q14_pseudo_gradient": f"WITH {_GRADIENT} SELECT obs, previous, label, pg FROM pseudo",
+    "q15_first_trial": f"WITH {_GRADIENT} SELECT obs, previous, label, round(-pg / (SELECT sqrt(sum(pg * pg)) FROM pseudo), 7) AS x FROM pseudo WHERE pg <> 0",
     "q16_unigram_potentials": f"""
         WITH {_OBS}, p AS (SELECT sent_id, sum(length(obs) % 7) AS a, sum(strlen(obs) % 5) AS b FROM obs WHERE obs LIKE 'u%' GROUP BY 1), names AS (SELECT DISTINCT label FROM obs)
         SELECT sent_id, label, ((a - b * length(label) + ascii(label) % 3) / 8.0)::DOUBLE AS score FROM p CROSS JOIN names
     """,
+    "q31_potentials": f"""
+        WITH {_OBS}, p AS (SELECT sent_id, sum(length(obs) % 7) AS a, sum(strlen(obs) % 5) AS b, max(t) AS steps FROM obs WHERE obs LIKE 'u%' GROUP BY 1), names AS (SELECT DISTINCT label FROM obs),
+        pairs AS (SELECT y.label, sum((ascii(x.label) * 3 + ascii(y.label)) % 11) AS w FROM names x CROSS JOIN names y GROUP BY 1)
+        SELECT sent_id, label, ((a - b * (ascii(label) % 3)) / 8.0)::DOUBLE AS score, (steps * w / 8.0)::DOUBLE AS "into" FROM p CROSS JOIN pairs
+    """,
     "q19_words_with_repair": f"WITH {_GUESS} SELECT sent_id, count(*) AS n_words, string_agg(w, ' ' ORDER BY a) AS text FROM found_words GROUP BY 1",
     "q20_error_rates": f"""
         WITH {_GUESS}, s AS (SELECT sent_id, count(*) AS n, count(*) FILTER (gold <> found) AS bad FROM guess GROUP BY 1)

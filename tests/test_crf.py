@@ -76,6 +76,22 @@ def test_inference_matches_enumeration():
                         assert pair[a + t, 1, y] == pytest.approx(sum(np.exp(x - total) for p, x in every if p[t] == y and p[t - 1] == 1))
 
 
+def test_scaled_sums_agree_with_log_space(monkeypatch):
+    from tagloom.operators import inference
+
+    rng = np.random.default_rng(4)
+    for wide in (1.0, 40.0, 120.0, 4000.0):
+        w = weights_of(rng)
+        w.theta *= wide
+        raw = batch_of([7, 0, 1, 60, 3], rng)
+        got = *Batch(raw, w).marginals(), Batch(raw, w).log_z()
+        with monkeypatch.context() as m:
+            m.setattr(inference, "SCALED_SPREAD", -1.0)
+            want = *Batch(raw, w).marginals(), Batch(raw, w).log_z()
+        for a, b in zip(got, want, strict=True):
+            assert np.isfinite(a).all() and np.allclose(a, b, rtol=1e-7, atol=1e-7)
+
+
 def test_viterbi_ties_go_to_lower_ids():
     rng = np.random.default_rng(1)
     w = weights_of(rng)

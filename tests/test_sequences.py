@@ -33,6 +33,17 @@ def test_default_features(spark, three):
     assert {r.label: r.label_id for r in dictionary.labels(three).collect()} == {"B": 0, "E": 1, "S": 2}
 
 
+def test_ids_from_distinct_windows_are_those_of_all_positions(spark):
+    rows = [(9_000_000_000_001, "aab"), (3, "ba"), (-4, "abab"), (7, "b"), (8, "abab")]
+    df = spark.createDataFrame([(i, [[c, c.upper()] for c in x], ["S"] * len(x)) for i, x in rows], "sent_id long, cols array<array<string>>, labels array<string>")
+    parsed = [templates.parse(t) for t in ("u0:%x[0,0]", "u1:%x[-1,0]/%x[1,1]", "u0:%x[0,0]", "*2:%x[@-1,1]", 'u3:%t[0,1,"A"]', "b")]
+    every = dictionary.observations(templates.exploded(templates.features(df, parsed))).collect()
+    assert {(r.obs_id, r.obs) for r in every} == {(r.obs_id, r.obs) for r in dictionary.observations_in(df, parsed).collect()}
+    counts = {r.k: r["sum(n)"] for r in templates.distinct(df, parsed).groupBy("k").sum("n").collect()}
+    assert counts == dict.fromkeys(range(6), 14)
+    assert dictionary.observations_in(df.limit(0), parsed).count() == 0
+
+
 def test_template_macros(spark):
     df = spark.createDataFrame([(0, [["Ab1", "x"], ["cD", "y"], ["ef", "z"]], None)], "sent_id long, cols array<array<string>>, labels array<string>")
     sources = ["u:%x[@1,0]", "u:%x[@-1,1]", "u:%x[@0,0]", "u:%x[-5,0]", "u:%x[7,0]", "u:%X[0,0]", 'u:%t[0,0,"\\\\d$"]', 'u:%m[0,0,"\\\\l\\\\a*"]', 'u:%M[-1,0,"^A."]', "*:%x[@5,0]", "U%x[0,0]/%x[0,1]"]
