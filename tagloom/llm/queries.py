@@ -1,4 +1,4 @@
-"""Queries op1 to op10 of the training-data operators and the SQL that states their results."""
+"""Queries op1 to op13 of the training-data operators and the SQL that states their results."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, mixing, ngram_join, pieces, secret_scan, suffix_lm, token_counts, toxicity, va_search
+from . import alignment, decontamination, fingerprints, language_id, max_sketch, mixing, ngram_join, pieces, secret_scan, suffix_lm, token_counts, toxicity, va_search
 from .common import table
 
 
@@ -52,6 +52,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_va_file_top_k": op1_va_file_top_k,
     "op2_toxicity_grammar": op2_toxicity_grammar,
@@ -63,8 +76,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_one_permutation_minhash": op9_one_permutation_minhash,
     "op10_token_counts": op10_token_counts,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_max_sketch_search": op12_max_sketch_search,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_va_file_top_k": """
         WITH v AS (
@@ -97,4 +115,32 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
     """,
+    "op12_max_sketch_search": f"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+        tf AS (SELECT doc_id, n, term, count(*) AS tf FROM t GROUP BY 1, 2, 3),
+        stats AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+        q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY 1, 2),
+        df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY 1),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, stats),
+        s AS (
+            SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM q JOIN w USING (term) JOIN tf USING (term), stats GROUP BY 1, 2
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY rank <= 10
+    """,
+    "op13_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), b AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS words FROM b WHERE len(w) > 0
+        ), sizes AS (SELECT DISTINCT size FROM windows), known AS (SELECT DISTINCT size, words FROM windows),
+        places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+        hits AS (SELECT p.doc_id, p.i, p.size, k.words FROM places p JOIN known k ON k.size = p.size AND k.words = array_to_string(p.w[p.i:p.i + p.size - 1], ' ')),
+        marked AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hits) GROUP BY 1),
+        items AS (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits JOIN windows USING (size, words) WHERE item_id IS NOT NULL),
+        listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM items GROUP BY 1)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """,
 }
