@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tagloom.functions.storage import discard, materialize, shared_dir  # noqa: F401  the operators take them from here
+
 # Arrow's own allocator keeps what it has freed; workers share an executor's memory
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -37,40 +37,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder serves a local session (as in tests) and
-    the warehouse, which a cluster's executors share, any other.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local["):
-        made = "file://" + tempfile.mkdtemp(prefix="tagloom-")
-    else:
-        made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tagloom"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialize(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._written_to = path
-    return made
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables made by materialize that nothing will read again."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 # --- vectorised hashing of UTF-8 text -------------------------------------------------
 
 _U = np.uint64
