@@ -7,19 +7,34 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made for applications whose session names none.
+_MADE: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a temporary folder for a local session and the warehouse for others."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    made = "file://" + tempfile.mkdtemp(prefix="tagloom-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tagloom"
-    spark.conf.set("spark.checkpoint.dir", made)
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        local = spark.sparkContext.master.startswith("local[")
+        _MADE[app] = "file://" + tempfile.mkdtemp(prefix="tagloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tagloom"
+    return _MADE[app]
+
+
+def materialize(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: lineage is cut, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
     return made
 
 
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by materialize that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.storage import materialize
+from tagloom.functions.storage import materialize, shared_dir
 from tagloom.functions.text import joined_by_tags
 from tagloom.operators import dictionary as D
 from tagloom.operators import metrics
@@ -273,6 +274,14 @@ def q30_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained(spark, sf_dir).segment(texts, "text").select("item_id", "segmented")
 
 
+def q32_column_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines written as column files with their tags, and read again by splits."""
+    path = f"{shared_dir(spark).rstrip('/')}/columns-{uuid.uuid4().hex}"
+    S.write_sequences(_sequences(spark, sf_dir), path)
+    chars = F.transform("cols", lambda r: F.get(r, F.lit(0)))
+    return S.read_sequences(spark, path, True).select("sent_id", F.array_join(chars, "").alias("chars"), F.array_join("labels", "").alias("tags"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 # --- oracle SQL ------------------------------------------------------------------------
@@ -419,4 +428,5 @@ ORACLE_SQL: dict[str, str] = {
         ) SELECT k::INT AS k, count(*) AS n, count(known.obs) AS n_known FROM talk LEFT JOIN known ON known.obs = talk.obs GROUP BY 1
     """,
     "q27_first_samples": f"WITH {_LINES} SELECT sent_id, tags FROM sents ORDER BY sent_id LIMIT 10",
+    "q32_column_file_scan": f"WITH {_LINES} SELECT row_number() OVER (ORDER BY sent_id) - 1 AS sent_id, array_to_string(c, '') AS chars, tags FROM sents",
 }

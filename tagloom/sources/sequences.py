@@ -6,12 +6,18 @@ where there are none). Order comes from keys, never from the order of files.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import characters, corpus_words, six_digits, split_fields, tagged, trim_line
+from tagloom.sources.splits import lines_of_files, sequences_of_lines
 
-#: Lines of one text that sent_id leaves room for.
+#: Lines of one text that sent_id leaves room for; a text of more raises an error.
 LINES = 1_000_000
 
 
@@ -22,13 +28,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def sequences_of(files: DataFrame) -> DataFrame:
-    """(file, seq, lines) from files(file, text): trimmed lines, a blank one ends a sequence.
+    """(file, seq, lines) from files(file, text), texts that are rows of a table: trimmed lines, a blank one ends a sequence.
 
-    Works inside one text by array functions, so a file is one row and needs no shuffle.
+    Works inside one text by array functions, without a shuffle. Every blank line is a
+    place to cut; what is left of others is filtered.
     """
-    lines = F.transform(F.split("text", "\n"), trim_line)
-    blocks = F.split(F.array_join(F.transform(lines, lambda x: F.when(x == "", F.lit("\x1e")).otherwise(x)), "\n"), "\n?\x1e\n?")
-    kept = F.filter(F.transform(blocks, lambda b: F.filter(F.split(b, "\n"), lambda x: x != "")), lambda b: F.size(b) > 0)
+    blocks = F.split("text", "\n[ \t\r]*+(?=\n)")
+    kept = F.filter(F.transform(blocks, lambda b: F.filter(F.transform(F.split(b, "\n"), trim_line), lambda x: x != "")), lambda b: F.size(b) > 0)
     return files.select("file", F.posexplode(kept).alias("seq", "lines"))
 
 
@@ -42,17 +48,9 @@ def parse_rows(sequences: DataFrame, labelled: bool) -> DataFrame:
     return sequences.withColumn("_rows", checked).withColumn("cols", F.transform("_rows", lambda r: F.slice(r, F.lit(1), F.size(r) - 1))).withColumn("labels", F.transform("_rows", lambda r: F.element_at(r, -1))).drop("_rows")
 
 
-def _ordered(files: DataFrame) -> DataFrame:
-    """(file, k): places of the files by name."""
-    names = files.select("file").distinct()
-    return names.join(names.withColumnRenamed("file", "other"), F.col("other") < F.col("file"), "left").groupBy("file").agg(F.count("other").alias("k"))
-
-
 def read_sequences(spark: SparkSession, path: str, labelled: bool) -> DataFrame:
-    """Sequences of column files under path; sent_id numbers them by file name and place."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    out = parse_rows(sequences_of(files), labelled).join(F.broadcast(_ordered(files)), "file")
-    return out.select((F.col("k") * LINES + F.col("seq")).alias("sent_id"), "cols", "labels")
+    """Sequences of column files under path; sent_id numbers them from 0 by file name and place. Large files are read by many tasks."""
+    return parse_rows(sequences_of_lines(lines_of_files(spark, path)), labelled).select("sent_id", "cols", "labels")
 
 
 def from_json_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -73,20 +71,14 @@ def from_segmented(lines: DataFrame, id_column: str, cut: str) -> DataFrame:
 def lines_of(texts: DataFrame, id_column: str, text: str) -> DataFrame:
     """(sent_id, line) of the lines of texts that are not blank; sent_id is id * LINES + the line's place."""
     rows = texts.select(F.col(id_column).alias("id"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    return rows.where(trim_line(F.col("line")) != "").select((F.col("id") * LINES + F.col("at")).alias("sent_id"), "line")
-
-
-def from_text(lines: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Unlabelled sequences of characters; white space is not part of them."""
-    rows = lines.select(F.col(id_column).alias("sent_id"), characters(F.regexp_replace(text, "\\s+", "")).alias("chars")).where(F.size("chars") > 0)
-    return rows.select("sent_id", F.transform("chars", lambda c: F.array(c)).alias("cols"), F.lit(None).cast("array<string>").alias("labels"))
+    at = F.when(F.col("at") >= LINES, F.raise_error(F.lit(f"a text has more than {LINES} lines")).cast("int")).otherwise(F.col("at"))
+    return rows.where(trim_line(F.col("line")) != "").select((F.col("id") * LINES + at).alias("sent_id"), "line")
 
 
 def read_sequences_of_results(spark: SparkSession, path: str) -> DataFrame:
     """(sent_id, predicted) of result files: score lines are skipped, the first field of a line is its label."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "(?m)^score=.*$\n?", "").alias("text"))
-    out = sequences_of(files).join(F.broadcast(_ordered(files)), "file")
-    return out.select((F.col("k") * LINES + F.col("seq")).alias("sent_id"), F.transform("lines", lambda x: F.element_at(split_fields(x), 1)).alias("predicted"))
+    lines = lines_of_files(spark, path).where(~F.col("line").startswith("score="))
+    return sequences_of_lines(lines).select("sent_id", F.transform("lines", lambda x: F.element_at(split_fields(x), 1)).alias("predicted"))
 
 
 def sequence_text(cols: Column, labels: Column | None = None) -> Column:
@@ -103,11 +95,26 @@ def write_sequences(sequences: DataFrame, path: str, labelled: bool = True) -> N
     sequences.orderBy("sent_id").select(text.alias("value")).write.text(path)
 
 
+def labelled_text(labelled: DataFrame) -> DataFrame:
+    """(sent_id, value) of labelled(sent_id, score, path): score=<score>, then a label and its own score a line.
+
+    Numbers have six significant digits. Each sequence is formatted where it is, a batch at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path = batch.column(2)
+            flat = pc.list_flatten(path)
+            own = pa.array(map(six_digits, flat.field("score").to_pylist()), pa.string())
+            lines = pc.binary_join_element_wise(flat.field("label"), own, " ", null_handling="replace", null_replacement="")
+            cuts = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(path), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            body = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts), lines), "\n")
+            head = pa.array([f"score={six_digits(x)}" for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_join_element_wise(head, body, "", "\n")], names=["sent_id", "value"])
+
+    return labelled.select("sent_id", "score", "path").mapInArrow(run, "sent_id long, value string")
+
+
 def write_labelled(labelled: DataFrame, path: str) -> None:
-    """score=<sequence score>, then a label and its own score a line, then a blank line."""
-    digits = F.udf(six_digits, "string")
-    flat = labelled.select("sent_id", F.col("score").alias("s"), F.posexplode("path").alias("t", "p"))
-    lines = flat.select("sent_id", "t", "s", F.concat_ws(" ", "p.label", digits("p.score")).alias("line"))
-    rows = lines.groupBy("sent_id", "s").agg(F.array_sort(F.collect_list(F.struct("t", "line"))).alias("l"))
-    out = rows.select("sent_id", F.concat(F.lit("score="), digits("s"), F.lit("\n"), F.array_join(F.col("l.line"), "\n"), F.lit("\n")).alias("value"))
-    out.orderBy("sent_id").select("value").write.text(path)
+    """Result files: labelled_text of each sequence and a blank line, in order of sent_id."""
+    labelled_text(labelled).orderBy("sent_id").select("value").write.text(path)
