@@ -41,8 +41,8 @@ def observations_in(sequences: DataFrame, templates: list[Template]) -> DataFram
 
 
 def labels(sequences: DataFrame) -> DataFrame:
-    """(label_id, label) over sequences."""
-    rows = sequences.select("sent_id", F.posexplode_outer("labels").alias("t", "label"))
+    """(label_id, label) over sequences; null labels have no id."""
+    rows = sequences.select("sent_id", F.posexplode_outer("labels").alias("t", "label")).where("label is not null")
     return first_seen(rows, "label", ["sent_id", "t"], "label_id")
 
 

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.functions.storage import materialize
+from tagloom.functions.storage import discard, materialize
 from tagloom.functions.text import characters, joined_by_tags
 from tagloom.operators import dictionary as D
 from tagloom.operators import inference
 from tagloom.operators import templates as Tpl
-from tagloom.operators.training import Log, Params, lbfgs, objective_of, sgd_epoch
+from tagloom.operators.training import Log, Params, SgdState, indexed, lbfgs, objective_of, sgd_epoch
 
 
 @dataclass
@@ -30,6 +30,7 @@ class CrfModel:
     weights: DataFrame  # f, w
     size: int
     log: DataFrame | None = None
+    left_out: int = 0
 
     def arrays(self) -> inference.Weights:
         """Dense weights and offsets, for broadcasting to tasks."""
@@ -140,19 +141,25 @@ class CrfEstimator:
         self.params = params or Params()
 
     def prepare(self, sequences: DataFrame) -> tuple[CrfModel, DataFrame]:
-        """A model with zero weights, and the encoded sequences."""
+        """A model with zero weights, and the encoded sequences, those of equal lengths together in each part."""
         spark = sequences.sparkSession
         featured = Tpl.features(sequences, self.templates)
         labels = materialize(D.labels(sequences), "labels")
         layout = materialize(D.layout(D.observations_in(sequences, self.templates), labels.count()), "layout")
         size = layout.agg(F.sum(D.width(F.col("obs"), labels.count()))).first()[0] or 0
         model = CrfModel(self.templates, labels, layout, spark.createDataFrame([], "f long, w double"), int(size))
-        return model, materialize(inference.encode(featured, layout.select("obs_id", "obs"), labels), "encoded")
+        return model, materialize(inference.encode(featured, layout.select("obs_id", "obs"), labels).sortWithinPartitions("n", "sent_id"), "encoded")
 
     def fit(self, sequences: DataFrame, start: CrfModel | None = None) -> CrfModel:
-        """Trains from zero, or (an extension) from the weights of a model with the same dictionaries."""
+        """Trains from zero, or (an extension) from the weights of a model with the same dictionaries.
+
+        Sequences that lack a label at some position are left out; the model's left_out counts them.
+        """
         p = self.params
-        model, encoded = self.prepare(sequences)
+        whole = F.coalesce((F.size("labels") == F.size("cols")) & ~F.exists("labels", lambda y: y.isNull()), F.lit(False))
+        left_out = sequences.where(~whole).count()
+        model, encoded = self.prepare(sequences.where(whole))
+        model.left_out = left_out
         arrays = model.arrays()
         if start is not None:
             arrays.theta = start.arrays().theta
@@ -168,11 +175,14 @@ class CrfEstimator:
             objective = objective_of(encoded, arrays, p)  # the last evaluation is of the accepted x, so it has the errors to report
             x = lbfgs(objective, arrays.theta, p, lambda k, f, x: report(k, f, x, objective.errors))
         else:
-            n, x = encoded.count(), arrays.theta
+            walked, n = materialize(indexed(encoded, arrays), "indexed"), encoded.count()
+            state = SgdState(arrays.theta, np.zeros(len(arrays.theta)))
             for epoch in range(p.max_iter):
-                x = sgd_epoch(encoded, inference.Weights(arrays.labels, arrays.uoff, arrays.boff, x), p, epoch, n)
-                if report(epoch, None, x, training_error(encoded, inference.Weights(arrays.labels, arrays.uoff, arrays.boff, x))):
+                state = sgd_epoch(walked, arrays, p, epoch, n, state)
+                if report(epoch, None, state.x, training_error(encoded, inference.Weights(arrays.labels, arrays.uoff, arrays.boff, state.x))):
                     break
+            x = state.x
+            discard(walked)
         spark, at = sequences.sparkSession, np.flatnonzero(x)
         model.weights = materialize(spark.createDataFrame(list(zip(at.tolist(), x[at].tolist(), strict=True)), "f long, w double"), "weights")
         model.log = spark.createDataFrame(log.rows, T.StructType.fromDDL("iter int, obj double, active long, token_error double, sentence_error double"))
