@@ -42,6 +42,8 @@ class Params:
     alpha: float = 0.85
     seed: int = 1
     history_order: str = "newest"
+    #: Weights up to which the optimiser's vectors (some 15 of 8 bytes a weight) are on the driver; beyond they are tables.
+    driver_weights: int = 50_000_000
 
     def __post_init__(self):
         self.algorithm = {"sgd": "sgd-l1", "lbfgs": "l-bfgs"}.get(self.algorithm, self.algorithm)
@@ -52,7 +54,7 @@ class Params:
         for name in ("l1", "l2"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} is negative")
-        for name in ("max_iter", "objective_window", "stop_window", "stop_eps", "history", "max_line_search", "eta0", "alpha"):
+        for name in ("max_iter", "objective_window", "stop_window", "stop_eps", "history", "max_line_search", "eta0", "alpha", "driver_weights"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
 

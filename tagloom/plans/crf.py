@@ -17,6 +17,7 @@ from tagloom.functions.text import characters, joined_by_tags
 from tagloom.operators import dictionary as D
 from tagloom.operators import inference
 from tagloom.operators import templates as Tpl
+from tagloom.operators.distributed import TableObjective, lbfgs_tables
 from tagloom.operators.training import Log, Params, SgdState, indexed, lbfgs, objective_of, sgd_epoch
 
 
@@ -160,6 +161,8 @@ class CrfEstimator:
         left_out = sequences.where(~whole).count()
         model, encoded = self.prepare(sequences.where(whole))
         model.left_out = left_out
+        if model.size > p.driver_weights:
+            return self._fit_tables(model, encoded, start)
         arrays = model.arrays()
         if start is not None:
             arrays.theta = start.arrays().theta
@@ -189,6 +192,28 @@ class CrfEstimator:
         return model
 
 
+    def _fit_tables(self, model: CrfModel, encoded: DataFrame, start: CrfModel | None) -> CrfModel:
+        """L-BFGS with the optimiser's vectors as tables, for models too large for the driver."""
+        p, spark = self.params, encoded.sparkSession
+        if p.algorithm != "l-bfgs":
+            raise ValueError(f"{p.algorithm} keeps its weights in one place: a model of {model.size} weights needs l-bfgs")
+        objective = TableObjective(encoded, model.layout, model.labels.count(), p)
+        x = spark.range(model.size).select(F.col("id").alias("f"))
+        begun = x.withColumn("w", F.lit(0.0)) if start is None else x.join(start.weights, "f", "left")
+        log, errors = Log(), []
+
+        def report(k: int, f: float, x: DataFrame) -> bool:
+            errors.append(objective.errors[0])
+            log.rows.append((k, float(f), x.where("x <> 0").count(), *objective.errors))
+            last = errors[-p.stop_window :]
+            return len(last) == p.stop_window and (max(last) - min(last)) * 100 < p.stop_eps
+
+        found = lbfgs_tables(objective, begun.select("f", F.coalesce("w", F.lit(0.0)).alias("x")), p, report)
+        model.weights = materialize(found.where("x <> 0").select("f", F.col("x").alias("w")), "weights")
+        model.log = spark.createDataFrame(log.rows, T.StructType.fromDDL("iter int, obj double, active long, token_error double, sentence_error double"))
+        return model
+
+
 def training_error(encoded: DataFrame, weights: inference.Weights) -> tuple[float, float]:
     """Token and sentence error of decoding against the gold labels."""
     return inference.measured(encoded, weights, gradient=False)[2]

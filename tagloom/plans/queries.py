@@ -13,7 +13,7 @@ from tagloom.functions.text import joined_by_tags
 from tagloom.operators import dictionary as D
 from tagloom.operators import metrics
 from tagloom.operators import templates as Tpl
-from tagloom.operators.inference import encode, losses, posteriors, potentials
+from tagloom.operators.inference import decode, encode, losses, posteriors, potentials
 from tagloom.operators.segmentation import with_spans, words
 from tagloom.operators.training import Params, empirical, lbfgs, objective_of, pseudo_gradient
 from tagloom.plans.crf import CrfEstimator
@@ -157,12 +157,18 @@ def q16_unigram_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(names).select("sent_id", "label", ((F.col("a") - F.col("b") * F.char_length("label") + F.ascii("label") % 3) / 8.0).alias("score"))
 
 
-def q31_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed potentials by sequence and label, under weights that are multiples of 1/8 made from observations and labels: score of the label's own, into of the pairs that end in it."""
+def _weighted(spark: SparkSession, sf_dir: str):
+    """A model of all lines under weights that are multiples of 1/8 made from observations and labels, and its encoded sequences."""
     model, encoded, _ = _prepared(spark, sf_dir)
     own = (F.char_length("obs") % 7 - (F.octet_length("obs") % 5) * (F.ascii("label") % 3)) / 8.0
     pair = (F.ascii("previous") * 3 + F.ascii("label")) % 11 / 8.0
     model.weights = model.cells().select("f", F.when(F.col("previous").isNull(), own).otherwise(pair).alias("w"))
+    return model, encoded
+
+
+def q31_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed potentials by sequence and label, under weights that are multiples of 1/8 made from observations and labels: score of the label's own, into of the pairs that end in it."""
+    model, encoded = _weighted(spark, sf_dir)
     arrays = model.arrays()
     y = len(arrays.labels)
     rows = potentials(encoded, arrays).select("sent_id", F.array(*[F.lit(x) for x in arrays.labels]).alias("names"), "u", F.slice("b", F.lit(2), F.greatest(F.size("b") - 1, F.lit(0))).alias("b"))
@@ -282,6 +288,22 @@ def q32_column_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_sequences(spark, path, True).select("sent_id", F.array_join(chars, "").alias("chars"), F.array_join("labels", "").alias("tags"))
 
 
+def q33_viterbi_of_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best labels of every line and their score under the weights of q31; there are ties, which go to the lower label ids."""
+    model, encoded = _weighted(spark, sf_dir)
+    return decode(encoded, model.arrays()).select("sent_id", "score", F.array_join("path.label", "").alias("tags"))
+
+
+def q34_marginals_of_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log Z of every line and the probability of each label at its middle position, under the weights of q31."""
+    model, encoded = _weighted(spark, sf_dir)
+    arrays = model.arrays()
+    middle = F.get("p", F.floor(F.size("p") / 2).cast("int"))
+    rows = posteriors(encoded, arrays).select("sent_id", "log_z", F.posexplode(middle).alias("k", "p"))
+    names = F.array(*[F.lit(x) for x in arrays.labels])
+    return rows.select("sent_id", F.get(names, F.col("k")).alias("label"), F.round("log_z", 3).alias("log_z"), F.round("p", 4).alias("p"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 # --- oracle SQL ------------------------------------------------------------------------
@@ -344,6 +366,18 @@ _GUESS = _CELLS + """,
     gold_words AS (SELECT sent_id, gold_word, min(t) AS a, max(t) AS b FROM numbered GROUP BY 1, 2)"""
 
 
+#: Lists of a line's label scores by position under the weights of q31, and the pairs' weights w[previous][label], labels in order of their ids.
+_SCORES = _OBS + "," + _LABELS + """,
+    names AS (SELECT list(label ORDER BY label_id) AS names FROM label_ids),
+    w AS (SELECT names, list_transform(names, lambda x: list_transform(names, lambda y: (ascii(x) * 3 + ascii(y)) % 11 / 8.0)) AS w FROM names),
+    sums AS (SELECT sent_id, t, sum(length(obs) % 7)::INT AS a, sum(strlen(obs) % 5)::INT AS b FROM obs WHERE obs LIKE 'u%' GROUP BY 1, 2)"""
+
+
+def _log_sums(x: str) -> str:
+    """Log of the sum of exponentials of a list."""
+    return f"list_max({x}) + ln(list_sum(list_transform({x}, lambda z: exp(z - list_max({x})))))"
+
+
 def _absolute(row: str) -> str:
     return f"CASE WHEN {row} < 0 THEN '_x-' || (-({row}))::VARCHAR WHEN {row} >= n THEN '_x+' || ({row} - n + 1)::VARCHAR ELSE c[{row} + 1] END"
 
@@ -429,4 +463,33 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "q27_first_samples": f"WITH {_LINES} SELECT sent_id, tags FROM sents ORDER BY sent_id LIMIT 10",
     "q32_column_file_scan": f"WITH {_LINES} SELECT row_number() OVER (ORDER BY sent_id) - 1 AS sent_id, array_to_string(c, '') AS chars, tags FROM sents",
+    "q33_viterbi_of_weights": f"""
+        WITH {_SCORES},
+        lists AS (
+            SELECT sent_id, any_value(w) AS w, list({{'v': list_transform(names, lambda y: ((a - b * (ascii(y) % 3)) / 8.0)::DOUBLE), 'p': names}} ORDER BY t) AS l
+            FROM sums, w GROUP BY 1
+        ),
+        last AS (
+            SELECT sent_id, list_reduce(l, lambda r, x: {{
+                'v': list_transform(x.v, lambda e, j: e + list_max(list_transform(r.v, lambda z, i: z + w[i][j]))),
+                'p': list_transform(x.p, lambda e, j: r.p[list_position(list_transform(r.v, lambda z, i: z + w[i][j]), list_max(list_transform(r.v, lambda z, i: z + w[i][j])))] || e)
+            }}) AS r FROM lists
+        )
+        SELECT sent_id, list_max(r.v) AS score, r.p[list_position(r.v, list_max(r.v))] AS tags FROM last
+    """,
+    "q34_marginals_of_weights": f"""
+        WITH {_SCORES},
+        lists AS (
+            SELECT sent_id, any_value(names) AS names, any_value(w) AS w, list(list_transform(names, lambda y: ((a - b * (ascii(y) % 3)) / 8.0)::DOUBLE) ORDER BY t) AS l FROM sums, w GROUP BY 1
+        ),
+        halves AS (
+            SELECT sent_id, names, l[len(l) // 2 + 1] AS u,
+                list_reduce(l[1:len(l) // 2 + 1], lambda r, x: list_transform(x, lambda e, j: e + {_log_sums("list_transform(r, lambda z, i: z + w[i][j])")})) AS f,
+                list_reduce(list_reverse(l[len(l) // 2 + 1:]), lambda r, x: list_transform(x, lambda e, i: e + {_log_sums("list_transform(r, lambda z, j: z + w[i][j])")})) AS g
+            FROM lists
+        ),
+        both_ AS (SELECT sent_id, names, list_transform(f, lambda z, i: z + g[i] - u[i]) AS s FROM halves),
+        total AS (SELECT sent_id, names, s, {_log_sums("s")} AS log_z FROM both_)
+        SELECT sent_id, unnest(names) AS label, round(log_z, 3) AS log_z, round(unnest(list_transform(s, lambda z: exp(z - log_z))), 4) AS p FROM total
+    """,
 }

@@ -134,3 +134,40 @@ def test_long_and_short_sequences_share_a_task(spark, prepared):
     got = {r.sent_id: r.score for r in inference.decode(encoded, w).collect()}
     z = {r.sent_id: r.log_z for r in inference.posteriors(encoded, w).collect()}
     assert len(got) == 400 and all(z[k] >= got[k] for k in got) and got[5] == pytest.approx(got[10]) and z[5] == pytest.approx(z[10])
+
+
+@pytest.mark.parametrize(("l1", "order"), [(0.3, "newest"), (0.0, "oldest")])
+def test_vectors_as_tables_are_those_of_the_driver(spark, monkeypatch, l1, order):
+    """The same training with the vectors on the driver and as tables, switched by the bound on the driver's memory only."""
+    from tagloom.operators import distributed
+
+    monkeypatch.setattr(distributed, "BLOCK_POSITIONS", 70)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(["ab", "c", "defg", "hi"], n))) for i, n in enumerate(rng.integers(1, 12, 25).tolist())]
+    seqs = S.from_segmented(spark.createDataFrame(rows, "id long, cut string"), "id", "cut").cache()
+    params = {"l1": l1, "history_order": order, "max_iter": 5, "history": 3, "stop_eps": 1e-9}
+    one = CrfEstimator(TEMPLATES, Params(**params)).fit(seqs)
+    two = CrfEstimator(TEMPLATES, Params(**params, driver_weights=1)).fit(seqs)
+    assert one.size == two.size > 1
+    want, got = ({r.f: r.w for r in m.weights.collect()} for m in (one, two))
+    assert all(abs(want.get(f, 0.0) - got.get(f, 0.0)) < 1e-7 for f in {*want, *got}) and (not l1 or set(want) == set(got))
+    for a, b in zip(one.log.orderBy("iter").collect(), two.log.orderBy("iter").collect(), strict=True):
+        assert (a.iter, a.active) == (b.iter, b.active) and (a.obj, a.token_error, a.sentence_error) == pytest.approx((b.obj, b.token_error, b.sentence_error), abs=1e-7)
+    assert len(want) > 10
+    with pytest.raises(ValueError):
+        CrfEstimator(TEMPLATES, Params(algorithm="sgd", driver_weights=1)).fit(seqs)
+
+
+def test_blocks_cover_all_sequences_once(spark, monkeypatch):
+    from tagloom.operators import distributed
+
+    monkeypatch.setattr(distributed, "BLOCK_POSITIONS", 10)
+    rows = [(i * 7 % 101, i % 6) for i in range(101)]
+    df = spark.createDataFrame(rows, "sent_id long, n int").repartition(5)
+    got = distributed.blocked(df).collect()
+    assert sorted((r.sent_id, r.n) for r in got) == sorted(rows)
+    at, want = 0, {}
+    for i, n in sorted(rows):
+        want[i] = at // 10
+        at += n
+    assert {r.sent_id: r.block for r in got} == want
