@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators import metrics
+from tagloom.operators.local import LocalModel
 from tagloom.operators.templates import parse_file
 from tagloom.operators.training import Params
 from tagloom.plans.crf import CrfEstimator, CrfModel
@@ -71,12 +72,12 @@ def main(argv: list[str]) -> int:
     elif a.mode == "segment" and a.paths:
         CrfModel.load(spark, a.model).segment(spark.read.text(a.paths[0]), "value").select("segmented").write.text(a.paths[1])
     elif a.mode == "segment":
-        model = CrfModel.load(spark, a.model)
+        model = LocalModel.of(CrfModel.load(spark, a.model))
         for line in map(str.strip, sys.stdin):
             if line in ENDS:
                 break
             if line:
-                print(model.segment(spark.createDataFrame([(line,)], "value string"), "value").first().segmented, flush=True)
+                print(model.segment([line])[0], flush=True)
     elif a.mode == "prepare":
         lines = spark.read.text(a.paths[0]).withColumn("id", F.monotonically_increasing_id())
         S.write_sequences(S.from_segmented(S.from_json_lines(lines), "id", "cut"), a.paths[1])

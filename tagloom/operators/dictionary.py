@@ -69,3 +69,12 @@ def layout(dictionary: DataFrame, n_labels: int, span: int = 65_536) -> DataFram
         F.when(kind != "b", F.col("off")).alias("uoff"),
         F.when(kind == "b", F.col("off")).when(kind == "*", F.col("off") + n_labels).alias("boff"),
     )
+
+
+def strings_of(ids: DataFrame, dictionary: DataFrame, id_column: str = "obs_id", value: str = "obs") -> DataFrame:
+    """ids with the strings that their ids stand for; an id that is not in the dictionary gets null.
+
+    Distinct ids are joined in ranges of ids, so that a frequent one is looked up once.
+    """
+    found = ids.select(id_column).distinct().join(dictionary.select(id_column, value), id_column)
+    return ids.join(found, id_column, "left")

@@ -16,6 +16,7 @@ s u w, upper case for the complement) or quotes. All else stands for itself.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,11 @@ _NEAR = 4
 
 def to_java_pattern(pattern: str) -> str:
     """The pattern as a regular expression of the JVM."""
+    return to_pattern(pattern, "\\z", lambda c: "\\Q" + c + "\\E")
+
+
+def to_pattern(pattern: str, last: str = "\\Z", quoted: Callable[[str], str] = re.escape) -> str:
+    """The pattern as a regular expression: of Python, or with another mark of the end and other quotes."""
     out, i, end = [], 0, len(pattern)
     if pattern.startswith("^"):
         out.append("\\A")
@@ -53,7 +59,7 @@ def to_java_pattern(pattern: str) -> str:
     while i < end:
         c = pattern[i]
         if c == "$" and i == end - 1:
-            out.append("\\z")
+            out.append(last)
             break
         if c == "\\" and i + 1 < end:
             i += 1
@@ -61,11 +67,11 @@ def to_java_pattern(pattern: str) -> str:
             if kind.lower() in _CLASSES:
                 unit = f"[{'^' if kind.isupper() else ''}{_CLASSES[kind.lower()]}]"
             else:
-                unit = "\\Q" + kind + "\\E"
+                unit = quoted(kind)
         elif c == ".":
             unit = "(?s:.)"
         else:
-            unit = "\\Q" + c + "\\E"
+            unit = quoted(c)
         i += 1
         if i < end and pattern[i] in "*?":
             unit += "*?" if pattern[i] == "*" else "?"
@@ -126,7 +132,8 @@ def parse_file(text: str) -> list[Template]:
     return [parse(line) for line in lines if line]
 
 
-def _mark(sign: str, distance: int) -> str:
+def mark(sign: str, distance: int) -> str:
+    """What stands for a cell this far outside a sequence."""
     return f"_x{sign}" + ("#" if distance > _NEAR else str(distance))
 
 
@@ -136,7 +143,7 @@ def _shifted(rows: Column, m: Macro) -> Column:
     n = F.size(rows)
     if m.absolute:
         if m.offset == 0:
-            one = F.lit(_mark("-", 1))
+            one = F.lit(mark("-", 1))
         elif m.offset > 0:
             after = F.lit(m.offset) - n
             one = F.when(after > 0, F.concat(F.lit("_x+"), F.when(after > _NEAR, "#").otherwise(after.cast("string")))).otherwise(F.get(values, F.lit(m.offset - 1)))
@@ -147,8 +154,8 @@ def _shifted(rows: Column, m: Macro) -> Column:
     if m.offset == 0:
         return values
     if m.offset < 0:
-        return F.slice(F.concat(F.array(*[F.lit(_mark("-", d)) for d in range(-m.offset, 0, -1)]), values), F.lit(1), n)
-    return F.slice(F.concat(values, F.array(*[F.lit(_mark("+", d)) for d in range(1, m.offset + 1)])), F.lit(m.offset + 1), n)
+        return F.slice(F.concat(F.array(*[F.lit(mark("-", d)) for d in range(-m.offset, 0, -1)]), values), F.lit(1), n)
+    return F.slice(F.concat(values, F.array(*[F.lit(mark("+", d)) for d in range(1, m.offset + 1)])), F.lit(m.offset + 1), n)
 
 
 def _windows(rows: Column, templates: list[Template]) -> tuple[Column, dict]:

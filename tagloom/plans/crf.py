@@ -7,7 +7,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,7 @@ from tagloom.operators import dictionary as D
 from tagloom.operators import inference
 from tagloom.operators import templates as Tpl
 from tagloom.operators.distributed import TableObjective, lbfgs_tables
+from tagloom.operators.local import LocalModel
 from tagloom.operators.training import Log, Params, SgdState, indexed, lbfgs, objective_of, sgd_epoch
 
 
@@ -73,7 +73,8 @@ class CrfModel:
         The text is cut at white space, the parts are labelled as sequences of their own,
         and put together again. Works on batches and streams: rows are not shuffled.
         """
-        sent = df.sparkSession.sparkContext.broadcast((self.arrays(), self.layout.orderBy("obs_id").select("obs").toPandas()["obs"].tolist()))
+        rows = self.layout.orderBy("obs_id").select("obs_id", "obs").toPandas()
+        sent = df.sparkSession.sparkContext.broadcast((self.arrays(), inference.Lookup(rows["obs"].tolist(), rows["obs_id"].to_numpy(np.int64))))
         templates = [Tpl.parse(t.source) for t in self.templates]
         parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\\s+"), lambda p: p != "")
         rows = df.withColumn("_chars", F.transform(parts, characters))
@@ -88,12 +89,12 @@ class CrfModel:
                 return pd.Series([[] for _ in obs])
             n = np.array([len(p) for p in flat])
             per = [len(o) for p in flat for o in p]
-            at = pc.index_in(pa.array([x for p in flat for o in p for x in o], pa.string()), value_set=pa.array(known, pa.string()))
-            ok = at.is_valid().to_numpy(zero_copy_only=False)
+            at = known(pa.array([x for p in flat for o in p for x in o], pa.string()))
+            ok = at >= 0
             place = np.concatenate([np.arange(k) for k in n]).repeat(per)[ok]
             part = np.arange(len(n)).repeat(n).repeat(per)[ok]
             cuts = np.concatenate(([0], np.cumsum(np.bincount(part, minlength=len(n))))).astype(np.int32)
-            ids = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[ok].astype(np.int64)
+            ids = at[ok]
             none = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), pa.array(np.zeros(n.sum(), np.int32)))
             batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(ids)), none], names=["sent_id", "n", "at", "obs", "y"])
             path, _, _ = inference.Batch(batch, weights).viterbi()
@@ -107,6 +108,17 @@ class CrfModel:
         words = F.zip_with("_chars", "_tags", joined_by_tags)
         return rows.withColumn(out, F.array_join(words, " ")).drop("_chars", "_obs", "_tags")
 
+    def register(self, name: str = "segment") -> None:
+        """Registers the model's segmentation as a function of SQL: SELECT segment(text). Null gives null."""
+        spark = self.labels.sparkSession
+        sent = spark.sparkContext.broadcast(LocalModel.of(self))
+
+        @F.pandas_udf("string")
+        def segmented(texts: pd.Series) -> pd.Series:
+            return pd.Series(sent.value.segment([t if isinstance(t, str) else None for t in texts]), dtype=object).where(texts.notna(), None)
+
+        spark.udf.register(name, segmented)
+
     def compact(self) -> CrfModel:
         """Without observations all of whose weights are zero; ids and offsets are given anew."""
         y = self.labels.count()

@@ -304,6 +304,18 @@ def q34_marginals_of_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sent_id", F.get(names, F.col("k")).alias("label"), F.round("log_z", 3).alias("log_z"), F.round("p", 4).alias("p"))
 
 
+def q35_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by their numbers of characters, and the longest ones."""
+    return metrics.lengths(_sequences(spark, sf_dir))
+
+
+def q36_decoded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observations of all lines encoded to ids, and the ids back to text."""
+    _, encoded = CrfEstimator().prepare(_sequences(spark, sf_dir))
+    ids = encoded.select(F.explode("obs").alias("obs_id")).groupBy("obs_id").agg(F.count("*").alias("n"))
+    return D.strings_of(ids, _dictionary(spark, sf_dir)).select("obs", "n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 # --- oracle SQL ------------------------------------------------------------------------
@@ -492,4 +504,8 @@ ORACLE_SQL: dict[str, str] = {
         total AS (SELECT sent_id, names, s, {_log_sums("s")} AS log_z FROM both_)
         SELECT sent_id, unnest(names) AS label, round(log_z, 3) AS log_z, round(unnest(list_transform(s, lambda z: exp(z - log_z))), 4) AS p FROM total
     """,
+    "q35_lengths": f"""
+        WITH {_LINES} SELECT (floor(log2(len(c))) + 1)::INT AS step, count(*) AS n_seq, sum(len(c))::BIGINT AS n_pos, max(len(c))::INT AS longest FROM sents GROUP BY 1
+    """,
+    "q36_decoded_ids": f"WITH {_OBS} SELECT obs, count(*) AS n FROM obs GROUP BY 1",
 }
