@@ -3,9 +3,11 @@
 Base kinds are patterns alone: an assignment to a name such as password or token, an
 access key id, a long run of hex digits. Structural kinds are reported only where a
 candidate decodes and its inside holds together: a signed token whose first two parts
-are JSON objects and whose header names an algorithm, a DER key whose nested lengths
-fill the data exactly, an SSH key whose length-prefixed fields do. Candidates may be
-base64 (either alphabet, also wrapped in lines of a PEM block) or hex.
+are JSON objects (white space in front allowed) and whose header names an algorithm, a
+DER key whose nested lengths fill the data exactly, an SSH key whose length-prefixed
+fields do, a PEM block that holds one of the two or, behind headers that name a cipher
+and its start value, whole blocks of that cipher. Candidates may be base64 (either
+alphabet, also wrapped in lines, with or without armour; once more around a PEM block) or hex.
 
 Spans are (kind, start, end) in code points of the whole text, end exclusive.
 
@@ -38,8 +40,14 @@ _NAMES = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
-_KEY64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|AAAA|b3Bl)[A-Za-z0-9+/_-]{30,}={0,2}")
+# a header that begins with { or with white space, at every place where a part can begin
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([CDIe][A-Za-z0-9_-]{7,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}))")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n(?:[ \t]+[^\s][^\n]*\n)*)*)([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+_CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Z0-9]+(?:-[A-Z0-9]+)*,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})[ \t]*\r?\n")
+_KEY64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|AAAA|b3Bl|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{30,}={0,2}")
+_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?=[ \t\r]*(?:\n|\Z))")
+#: Lines that a wrapped key without armour goes on for at most; a longer one is no key.
+_LINES = 400
 _HEXKEY = re.compile(r"(?<![0-9A-Za-z])(?:30|0000|6f70)(?:[0-9a-f]{2}|[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
 _MAGIC = b"openssh-key-v1\0"
 
@@ -109,32 +117,64 @@ def is_jwt(token: str) -> bool:
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
 
+def is_pem(headers: str, body: str) -> bool:
+    """Whether a PEM block holds a key, or behind the headers of an encrypted one whole blocks of its cipher."""
+    try:
+        data = _decode64(body)
+    except (ValueError, binascii.Error):
+        return False
+    sealed = _CIPHER.search(headers)
+    if sealed and "ENCRYPTED" in headers:
+        return len(data) >= 16 and len(data) % (len(sealed[1]) // 2) == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
+def _kind(data: bytes) -> str | None:
+    if is_der_key(data):
+        return "der"
+    if is_ssh_key(data):
+        return "ssh"
+    if data.startswith(b"-----BEGIN "):
+        found = _PEM.search(data.decode("latin-1"))
+        return "pem" if found and is_pem(found[2], found[3]) else None
+    return None
+
+
+def _wrapped(text: str, m: re.Match) -> Iterator[int]:
+    """Ends of a base64 candidate: of its first line, or behind further lines that hold nothing else, the longest first."""
+    ends, at = [m.end()], m.end()
+    while text[at - 1] != "=" and len(ends) < _LINES and (line := _LINE.match(text, at)):
+        at = line.end()
+        ends.append(at)
+    return reversed(ends)
+
+
 def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
-    if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            if is_jwt(m[0]):
-                yield "jwt", m.start(), m.end()
+    if "." in text:
+        for m in _TOKEN.finditer(text):
+            if is_jwt(m[1]):
+                yield "jwt", m.start(), m.end(1)
+        if "eyJ" in text:
+            for m in _JWT.finditer(text):
+                if is_jwt(m[0]):
+                    yield "jwt", m.start(), m.end()
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            try:
-                data = _decode64(m[2])
-            except (ValueError, binascii.Error):
-                continue
-            if is_der_key(data) or is_ssh_key(data):
+            if is_pem(m[2], m[3]):
                 yield "pem", m.start(), m.end()
-    candidates = []
-    if "AAAA" in text or "b3Bl" in text or "M" in text:
-        candidates += [(m, _decode64) for m in _KEY64.finditer(text)]
-    candidates += [(m, bytes.fromhex) for m in _HEXKEY.finditer(text)]
-    for m, decode in candidates:
-        try:
-            data = decode(m[0])
-        except (ValueError, binascii.Error):
-            continue
-        if is_der_key(data):
-            yield "der", m.start(), m.end()
-        elif is_ssh_key(data):
-            yield "ssh", m.start(), m.end()
+    if "AAAA" in text or "b3Bl" in text or "M" in text or "LS0t" in text:
+        for m in _KEY64.finditer(text):
+            for end in _wrapped(text, m):
+                try:
+                    kind = _kind(_decode64(text[m.start() : end]))
+                except (ValueError, binascii.Error):
+                    continue
+                if kind:
+                    yield kind, m.start(), end
+                    break
+    for m in _HEXKEY.finditer(text):
+        if kind := _kind(bytes.fromhex(m[0])):
+            yield kind, m.start(), m.end()
 
 
 def spans(text: str | None) -> list[tuple[str, int, int]]:
