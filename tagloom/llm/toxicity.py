@@ -6,8 +6,10 @@ one relation (in the scope of a negation; after a verb of reporting; near a targ
 after an intention; which hit it is), and their composition is one machine over the
 classes whose output names the pattern that a hit completes, such as a targeted insult
 or a negated threat. A second machine reads those patterns and the targets and marks a
-target that follows a hit which nothing cancels (the hit is aimed at it). A colon ends a
-clause but not the reporting in front of it. A clause weighs what its patterns weigh times its words; a text
+target that follows a hit which nothing cancels: the hit is aimed at it, and counts as one
+with a target in front. A colon ends a clause but not the reporting in front of it; a
+clause that begins with a reporting verb (behind one word at most) and follows a comma,
+a ! or a ? reports the clause before it. A clause weighs what its patterns weigh times its words; a text
 is scored by its clauses, so an insult that is denied or quoted counts for what such
 clauses are worth in the labelled rows, not for the word.
 
@@ -143,6 +145,10 @@ def _group(pattern: str) -> int:
     return FEATURES.index("insult targeted" if "targeted" in marks else "insult")
 
 
+#: Groups as they are where the clause is reported.
+_REPORTED = [FEATURES.index("learnt cancelled" if f.startswith("learnt") else f"{f.split()[0]} reported") if f.split()[0] in _HITS else k for k, f in enumerate(FEATURES)]
+
+
 @dataclass
 class Lexicon:
     """Classes of the words that are not `other`, and the learnt word beginnings."""
@@ -159,6 +165,7 @@ class Lexicon:
         self.after_report = GRAMMAR.step[0]["report"][0]
         self.stands = [[row[s][1] != "" and not {"negated", "reported"} & set(row[s][1].split()) for s in SYMBOLS] for row in GRAMMAR.step]
         self.out = [[_group(row[s][1]) if row[s][1] else -1 for s in SYMBOLS] for row in GRAMMAR.step]
+        self.out_aimed = [[_group(row[s][1] + " targeted") if row[s][1] else -1 for s in SYMBOLS] for row in GRAMMAR.step]
 
     def symbol(self, token: str) -> int:
         c = self.words.get(token, 0)
@@ -172,28 +179,47 @@ class Lexicon:
 
     def read(self, tokens: list[str]) -> tuple[list[tuple[int, int]], int]:
         """(pattern group, its hits) of each clause's heaviest match, and the hits that are aimed at a target behind them."""
-        got, state, best, step, out = [], 0, None, self.next, self.out
-        aim, aimed, target = 0, 0, SYMBOLS.index("target")
+        got, state, step, out = [], 0, self.next, self.out
+        aim, aimed, target, report = 0, 0, SYMBOLS.index("target"), SYMBOLS.index("report")
+        hits, at, mine, upgrade = [], 0, 0, -1  # of the clause: groups of its hits, words, aimed hits; the group that the last standing hit gets with a target
+        before = None  # the clause before, where this one may report it: its place in got (None without hits) and its aimed hits
+
+        def close():
+            """The clause's heaviest match, and how many hits have it."""
+            if not hits:
+                return None
+            best = max(hits, key=_PRIOR.__getitem__)
+            got.append((best, hits.count(best)))
+            return len(got) - 1
+
         for t in tokens:
             c = self.symbol(t)
             g = out[state][c]
-            aim, mark = AIM.step[aim]["hit" if self.stands[state][c] else "target" if c == target else "other"]
-            aimed += mark != ""
+            stands = self.stands[state][c]
+            aim, mark = AIM.step[aim]["hit" if stands else "target" if c == target else "other"]
+            if mark:
+                mine += 1
+                hits[standing] = upgrade
             if g >= 0:
-                if best is None or _PRIOR[g] > _PRIOR[best[0]]:
-                    best = (g, 1)
-                elif g == best[0]:
-                    best = (g, best[1] + 1)
+                hits.append(g)
+            if stands:
+                standing, upgrade = len(hits) - 1, self.out_aimed[state][c]
+            if c == report and at < 2 and before is not None and not hits:
+                place, n = before
+                got[place] = (_REPORTED[got[place][0]], got[place][1])
+                aimed -= n
+                before = None
             if c == 0 and t in _ENDS:
-                if best is not None:
-                    got.append(best)
-                    best = None
+                place = close()
+                aimed += mine
+                before = (place, mine) if place is not None and t in ",!?" else None
                 state, aim = self.after_report if t == ":" and self.reports[state] else 0, 0
+                hits, at, mine = [], 0, 0
             else:
                 state = step[state][c]
-        if best is not None:
-            got.append(best)
-        return got, aimed
+                at += 1
+        close()
+        return got, aimed + mine
 
     def features(self, text: str | None) -> np.ndarray:
         x = np.zeros(len(FEATURES))

@@ -104,7 +104,11 @@ def test_toxicity_grammar_reads_clauses():
     assert group("you are an idiot") == ["insult targeted"]
     assert group("that is not an idiot") == ["insult negated"]
     assert group("he said some idiot. the clown") == ["insult reported", "insult"]
-    assert group("i will hurt you") == ["threat"] and group("you know i will hurt") == ["threat intended"]
+    # a target behind the hit counts as one in front (the older reading took the commonest form of a threat for a plain one)
+    assert group("i will hurt you") == ["threat intended"] and group("you know i will hurt") == ["threat intended"]
+    assert group("i will hurt it") == ["threat"] == group("kill the process") and group("idiot that you are") == ["insult targeted"]
+    assert group('"you are an idiot", he said') == ["insult reported"] == group("you idiot! shouted the man") and group("you are an idiot, the man we know said") == ["insult targeted"]
+    assert group("an idiot. he said so") == ["insult"] and group("he said, you are an idiot") == ["insult targeted"]
     assert group("a quiet day") == []
 
 
@@ -425,6 +429,93 @@ def test_toxicity_grammar_reads_targets_behind_hits_and_reports_before_colons():
     assert score("I will kill you.") > score("kill the process")
     assert score("I will not hurt you.") < score("I will hurt you.")
     assert score("he said: you are an idiot") == score("she said you are an idiot") < score("you are an idiot")
+    assert score('"you are an idiot", he said') == score("she said you are an idiot")
+
+
+def test_toxicity_matcher_against_brute_force():
+    """Each hit's marks found by looking back and ahead over the clause."""
+    rnd = random.Random(15)
+    lexicon = toxicity.Lexicon(frozenset(["zor"]))
+    pool = ["idiot", "kill", "zork", "you", "not", "said", "will", "tree", "house", ".", ",", ":", "!"]
+    kind = lambda t: toxicity.SYMBOLS[lexicon.symbol(t)]
+
+    def brute(tokens):
+        clauses, now = [], []
+        for t in [*tokens, "."]:
+            if t in toxicity._ENDS:
+                clauses.append((now, t))
+                now = []
+            else:
+                now.append(kind(t))
+        found, total, carried, last = [], 0, False, None
+        for k, (words, end) in enumerate(clauses):
+            hits, own = [], 0
+            reported = lambda i, words=words, carried=carried: carried or "report" in words[:i]
+            near = lambda i, what, reach, words=words: what in words[max(0, i - reach) : i]
+            stands = [w in toxicity._HITS and not near(i, "negation", 3) and not reported(i) for i, w in enumerate(words)]
+            taken = set()
+            for i, w in enumerate(words):
+                if w == "target":
+                    before = [j for j in range(max(0, i - 4), i) if stands[j]]
+                    if before and not any(words[j] == "target" for j in range(before[-1] + 1, i)):
+                        taken.add(before[-1])
+            for i, w in enumerate(words):
+                if w not in toxicity._HITS:
+                    continue
+                cancelled = "negated" if near(i, "negation", 3) else "reported" if reported(i) else ""
+                aim = near(i, "target", 4) or i in taken
+                if w == "learnt":
+                    hits.append("learnt cancelled" if cancelled else "learnt")
+                elif cancelled:
+                    hits.append(f"{w} {cancelled}")
+                elif w == "threat":
+                    hits.append("threat intended" if aim and near(i, "intent", 3) else "threat")
+                else:
+                    hits.append("insult targeted" if aim else "insult")
+            first = next((i for i, w in enumerate(words) if w == "report"), 9)
+            if last is not None and first < 2 and not any(w in toxicity._HITS for w in words[:first]):
+                group, n = found[last[0]]
+                found[last[0]] = ("learnt cancelled" if group.startswith("learnt") else group.split()[0] + " reported", n)
+                total -= last[1]
+            last = None
+            if hits:
+                best = max(hits, key=lambda f: toxicity._PRIOR[toxicity.FEATURES.index(f)])
+                found.append((best, hits.count(best)))
+                if end in ",!?":
+                    last = (len(found) - 1, len(taken))
+            total += len(taken)
+            carried = end == ":" and (carried or "report" in words)
+        return found, total
+
+    for _ in range(4000):
+        tokens = [rnd.choice(pool) for _ in range(rnd.randint(0, 14))]
+        got, aimed = lexicon.read(tokens)
+        assert ([(toxicity.FEATURES[g], n) for g, n in got], aimed) == brute(tokens), tokens
+
+
+def test_secrets_in_other_forms():
+    """Headers behind white space, keys wrapped without armour, encrypted blocks, base64 around a block, dotted names in front."""
+    import base64
+
+    der = _der()
+    jwt = lambda head: ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (head, b'{"sub":"12345"}', b"signature-bytes"))
+    kinds = lambda text: [(k, text[a:b]) for k, a, b in secret_scan.spans(text) if k in ("jwt", "der", "ssh", "pem")]
+    for head in (b'{ "alg":"HS256"}', b'{\n "alg": "none"}', b' {"alg":"RS256"}', b'\r\n\t{"alg":"ES256"}'):
+        token = jwt(head)
+        assert ("jwt", token) in kinds(f"Bearer {token} end") and ("jwt", token) in kinds(f"example.something.{token}")
+    assert kinds(f"see {jwt(b'[1, 2, 3, 4, 5]')} and example.something.elsewhere.org") == []
+    lines = [der[i : i + 32] for i in range(0, len(der), 32)]
+    wrapped = "\n".join(lines)
+    assert kinds(f"the key:\n{wrapped}\nThen the text goes on\n") == [("der", wrapped)]
+    assert ("der", "\r\n".join(lines)) in kinds("key\r\n" + "\r\n".join(lines) + "\r\nword\r\n")
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{wrapped}\n-----END RSA PRIVATE KEY-----"
+    twice = base64.b64encode(block.encode()).decode()
+    assert ("pem", block) in kinds(block) and ("pem", twice) in kinds(f"x {twice} y")
+    sealed = base64.b64encode(bytes(range(48))).decode()
+    for head, ok in (("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n", True), ("Proc-Type: 4,ENCRYPTED\nDEK-Info: none\n\n", False), ("Comment: key\n", False)):
+        text = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{sealed}\n-----END RSA PRIVATE KEY-----"
+        assert (kinds(text) == [("pem", text)]) == ok
+    assert kinds("MAjority" + "a" * 40 + "\n" + "\n".join(["word"] * 50)) == []
 
 
 def test_pieces_of_a_unigram_model(tmp_path):
