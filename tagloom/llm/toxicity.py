@@ -124,8 +124,11 @@ AIM = _aim(TARGET_REACH)
 GRAMMAR = compose(_hits(), _countdown("negation", NEGATION_REACH, "negated"), _latch("report", "reported"), _countdown("target", TARGET_REACH, "targeted"), _countdown("intent", INTENT_REACH, "intended"))
 PATTERNS = tuple(sorted({out for row in GRAMMAR.step for _, out in row.values() if out}))
 #: Groups of patterns that share a weight: the hit, whether it is cancelled, whether it has a target or (a threat) an intention.
+#: The first one weighs every attack; targeted insults and intended threats weigh their own group besides, so that rarer kinds share what is learnt of all.
 FEATURES = ("insult", "insult targeted", "insult negated", "insult reported", "threat", "threat intended", "threat negated", "threat reported", "learnt", "learnt cancelled", "aimed", "clauses", "any")
-_PRIOR = np.array([1.5, 2.0, -0.5, -0.5, 0.2, 1.0, -0.3, -0.3, 0.5, 0.1, 1.0, 0.5, 0.5])
+_PRIOR = np.array([1.5, 0.5, -0.5, -0.5, 0.2, 0.0, -0.3, -0.3, 0.5, 0.1, 1.0, 0.5, 0.5])
+#: What a clause's match is chosen by: the weights of its groups together.
+_RANK = _PRIOR + np.array([f in ("insult targeted", "threat intended") for f in FEATURES]) * _PRIOR[0]
 _PRIOR_BIAS = -3.0
 #: Groups of clauses that count as an attack of a known kind.
 _LIVE = [f in ("insult", "insult targeted", "threat intended") for f in FEATURES]
@@ -188,7 +191,7 @@ class Lexicon:
             """The clause's heaviest match, and how many hits have it."""
             if not hits:
                 return None
-            best = max(hits, key=_PRIOR.__getitem__)
+            best = max(hits, key=_RANK.__getitem__)
             got.append((best, hits.count(best)))
             return len(got) - 1
 
@@ -232,6 +235,8 @@ class Lexicon:
         found, aimed = self.read(tokens)
         for g, n in found:
             x[g] += n
+            if g and _LIVE[g]:
+                x[0] += n  # the more special groups add to what any attack weighs
         x[FEATURES.index("aimed")] = aimed
         x = np.log1p(x)
         live = sum(1 for g, _ in found if _LIVE[g])

@@ -479,7 +479,7 @@ def test_toxicity_matcher_against_brute_force():
                 total -= last[1]
             last = None
             if hits:
-                best = max(hits, key=lambda f: toxicity._PRIOR[toxicity.FEATURES.index(f)])
+                best = max(hits, key=lambda f: toxicity._RANK[toxicity.FEATURES.index(f)])
                 found.append((best, hits.count(best)))
                 if end in ",!?":
                     last = (len(found) - 1, len(taken))
