@@ -4,10 +4,12 @@ Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and s
 as many words as there are; no target exceeds three times its source's size, and the
 excess is shared out again by weight. Blocks of equal length go to sources by the
 highest quotients target / (2 * seats + 1), and each source's blocks to its shards by
-the same rule with the shards' sizes. A shard is an even part of a source by hash;
-its documents stand in a seeded order, and its quota of words is read along that
-order, from the start again after the end. So quotas are whole blocks, a rerun takes
-the same words, and no task ever needs more than a shard.
+the same rule with the shards' sizes. A shard is an even part of a source by hash; its
+documents stand one after the other by doc_id, and its words are cut into blocks. A quota
+takes the whole shard as often as it can, and for the rest the blocks with the smallest
+seeded hashes, up to the quota: the last one in part, if the shard's own last block is
+short. So quotas are whole blocks, a rerun takes the same words, another seed other
+blocks, and no task ever needs more than a shard.
 
 Gathered on the driver: one row per source and one per shard (at most SHARDS and the
 number of sources), never documents.
@@ -88,7 +90,7 @@ def sainte_lague(weights: list[float], seats: int) -> list[int]:
 def _sized(docs: DataFrame, seed: int, keep: list[str]) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), *(F.col(c).alias(f"_{c}") for c in keep),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), F.xxhash64("text").alias("content"), *(F.col(c).alias(f"_{c}") for c in keep),
     )
 
 
@@ -119,23 +121,43 @@ def mix(docs: DataFrame, seed: int = SEED, keep: list[str] | None = None) -> Dat
         for (shard, size), q in zip(own, sainte_lague([float(s) for _, s in own], seats[i]), strict=True):
             quotas.append((i, shard, size, min(q * block, MOST_TIMES * size)))
     quota = spark.createDataFrame(quotas, "src int, shard long, shard_size long, words long")
-    w = Window.partitionBy("src", "shard").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed(_sized(docs, seed, keep) if keep else sized).join(F.broadcast(quota), ["src", "shard"]).withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    rows = placed(_sized(docs, seed, keep) if keep else sized).join(F.broadcast(quota), ["src", "shard"])
+    # equal rows of a shard stand in any order: they have the same words
+    w = Window.partitionBy("src", "shard").orderBy("doc_id", "content").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0).cast("long")
-    rest = F.col("words") - rounds * F.col("shard_size")
-    part = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))
-    return out.select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + part).alias("taken"), *(f"_{c}" for c in keep or ()))
+    rows = rows.withColumn("rounds", rounds).withColumn("row", F.row_number().over(Window.partitionBy("src", "shard").orderBy("doc_id", "content")))
+    chosen = _chosen(quota.withColumn("rest", F.col("words") - rounds * F.col("shard_size")), block, seed)
+    # a document's blocks, and what of them is taken: ranges of its words
+    last = F.floor((F.col("before") + F.col("size") - 1) / block)
+    parts = rows.where("size > 0").select("src", "shard", "row", "before", "size", F.explode(F.sequence(F.floor(F.col("before") / block), last)).alias("block")).join(chosen, ["src", "shard", "block"])
+    begin, end = F.greatest(F.col("block") * block, F.col("before")), F.least(F.col("block") * block + F.col("take"), F.col("before") + F.col("size"))
+    parts = parts.select("src", "shard", "row", (begin - F.col("before")).alias("start"), (end - F.col("before")).alias("end")).where("start < end")
+    taken = parts.groupBy("src", "shard", "row").agg(F.sum(F.col("end") - F.col("start")).alias("part"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_ranges"))
+    out = rows.join(taken, ["src", "shard", "row"], "left").withColumn("taken", F.col("rounds") * F.col("size") + F.coalesce("part", F.lit(0)))
+    return out.select("doc_id", "size", "source_size", "target", "taken", *(("_ranges",) if keep else ()), *(f"_{c}" for c in keep or ()))
+
+
+def _chosen(quota: DataFrame, block: int, seed: int) -> DataFrame:
+    """(src, shard, block, take): blocks of each shard with the smallest seeded hashes, as many as its rest of words asks for, and the words taken of each."""
+    blocks = quota.where("rest > 0").select("src", "shard", "shard_size", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shard_size") - 1) / block))).alias("block"))
+    own = F.least(F.lit(block).cast("long"), F.col("shard_size") - F.col("block") * block)
+    w = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "src", "shard", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.sum("own").over(w), F.lit(0))
+    blocks = blocks.withColumn("own", own).withColumn("take", F.least(F.col("own"), F.col("rest") - upto))
+    return blocks.where("take > 0").select("src", "shard", "block", "take")
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time a document is taken.
 
-    The last copy of a document that is taken in part has its first words, joined by
-    single spaces. Documents without words are not taken.
+    The last copy of a document that is taken in part has the words of its chosen blocks,
+    joined by single spaces. Documents without words are not taken.
     """
     took = mix(docs, seed, docs.columns).where("taken > 0")
     took = took.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
     rest = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     words = F.split(F.btrim("_text", F.lit(" \t\n\x0b\f\r")), "[\\x20\\x09-\\x0D]+")
-    text = F.when(rest >= F.col("size"), F.col("_text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest), " "))
+    parts = F.flatten(F.transform("_ranges", lambda r: F.slice(words, (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))))
+    text = F.when(rest >= F.col("size"), F.col("_text")).otherwise(F.array_join(parts, " "))
     return took.withColumn("_text", text).select(*(F.col(f"_{c}").alias(c) for c in docs.columns))

@@ -220,6 +220,35 @@ def test_mixing(spark, docs, texts, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
+def test_mixing_selects_seeded_blocks(spark):
+    """Of one shard, whole blocks by seed: another seed takes others; parts of documents are the words of their blocks."""
+    rnd = random.Random(16)
+    rows = [(i if i % 11 else None, " ".join(f"w{i}_{k}" for k in range(rnd.randint(0, 90))), "ab"[i % 2]) for i in range(400)]
+    rows += [rows[5], rows[5], (7, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {}
+    for seed in (1, 2):
+        got = mixing.mix(docs, seed, ["doc_id", "text", "source"]).collect()
+        assert len(got) == len(rows)
+        sizes, placed = Counter(), Counter()
+        for r in got:
+            sizes[r._source] += r["size"]
+            placed[r._source] += r.taken
+            inner = r.taken - sum(x.end - x.start for x in r._ranges or ())
+            assert inner % max(r["size"], 1) == 0 and all(0 <= x.start < x.end <= r["size"] for x in r._ranges or ())
+        # total is 18,000 words, a block is one word; source a takes all of its own and some once more
+        assert placed["a"] > sizes["a"] and placed["b"] < sizes["b"]
+        part = [r for r in sorted(got, key=lambda r: (r._doc_id is None, r._doc_id or 0)) if r._source == "b" and r["size"]]
+        half = len(part) // 2
+        first, second = (sum(r.taken for r in x) / sum(r["size"] for r in x) for x in (part[:half], part[half:]))
+        assert abs(first - second) < 0.15  # blocks of all places, not those that come first
+        taken[seed] = sorted((r._doc_id or -1, r.taken, str(r._ranges)) for r in got)
+        mix = mixing.mixed(docs, seed).collect()
+        assert Counter(w for r in mix for w in words(r.text)) == Counter(w for r in got for w in [*(words(r._text) * ((r.taken - sum(x.end - x.start for x in r._ranges or ())) // max(r["size"], 1))), *[x for y in r._ranges or () for x in words(r._text)[y.start : y.end]]])
+    assert taken[1] != taken[2]
+    assert taken[1] == sorted((r._doc_id or -1, r.taken, str(r._ranges)) for r in mixing.mix(docs.repartition(5), 1, ["doc_id", "text", "source"]).collect())
+
+
 def test_sainte_lague_is_by_highest_quotient():
     rnd = random.Random(5)
     for _ in range(200):
