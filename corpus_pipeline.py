@@ -5,7 +5,7 @@ Parquet and read again as the next one's docs. All but the last return the colum
 documents; the last returns doc_id, lang, source, ids, n_tokens and round_trip.
 
 Defined cases, beside those of the operators: rows with a null doc_id are in no group
-of near copies and stay; of rows with equal doc_id one stays; n_chars follows the text
+of near copies and stay; of rows with equal doc_id the first by content stays; n_chars follows the text
 where the table has it.
 """
 
@@ -42,7 +42,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti")
     if repeated.isEmpty():
         return kept
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    # of rows with equal doc_id the same one in every run: the first by its whole content
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("r")).select("r.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,24 @@ def test_redaction_leaves_clean_texts(spark, docs):
 def test_stages_on_nothing(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_repeated_and_null_ids_and_clashing_columns(spark, docs):
+    """The same row of equal doc_id stays in every run; rows without a doc_id stay; columns named like the operators' own do no harm."""
+    from pyspark.sql import functions as F
+
+    few = docs.limit(40).withColumns({"component_id": F.lit("x"), "r": F.lit(1), "row": F.lit(2.5), "taken": F.lit(None).cast("string"), "spans": F.lit("y")})
+    other = few.limit(6).withColumn("text", F.concat(F.lit("another text altogether, with words of its own "), F.col("doc_id").cast("string")))
+    null = few.limit(3).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = few.union(other).union(null)
+    seen = []
+    for parts in (1, 6):
+        kept = corpus_pipeline.one_of_each_group(spark, rows.repartition(parts, "text"), SF)
+        assert kept.columns == rows.columns
+        seen.append(sorted(map(str, kept.collect())))
+        assert kept.where("doc_id is null").count() == 3 and kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count() == 0
+    assert seen[0] == seen[1]
+    at = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = corpus_pipeline.materialize(stage(spark, at, SF), name)
+        assert at.columns == rows.columns, name
