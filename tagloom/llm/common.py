@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system: idle workers share an executor's memory with those at work."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own rules
+        pass
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with freed memory given back at its end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 # --- vectorised hashing of UTF-8 text -------------------------------------------------
 
 _U = np.uint64
