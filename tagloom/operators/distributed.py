@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.storage import discard, materialize
 from tagloom.operators.inference import Batch, Weights, counters, sized, sparse
-from tagloom.operators.training import _ARMIJO, _FLAT, _GROW, _SHRINK, _SHRINK_FIRST, _WOLFE, Params
+from tagloom.operators.training import _ARMIJO, _FLAT, _GROW, _SHRINK, _SHRINK_FIRST, _WOLFE, Params, slow
 
 #: Positions of a block of sequences; a longer sequence is a block of its own.
 BLOCK_POSITIONS = 200_000
@@ -198,8 +198,7 @@ def lbfgs_tables(objective: TableObjective, x: DataFrame, p: Params, report: Cal
         discard(before, tried)
         past.append(f)
         flat = turn["g"] / max(1.0, turn["x"]) <= _FLAT
-        slow = k >= p.objective_window and abs(past[-p.objective_window] - f) / abs(f) < p.stop_eps if f else True
-        if stop or flat or slow:
+        if stop or flat or slow(past, p):
             break
     return now.select("f", "x")
 

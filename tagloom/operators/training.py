@@ -66,6 +66,18 @@ class Log:
     rows: list[tuple[int, float | None, int, float | None]] = field(default_factory=list)
 
 
+def steady(errors: list[float], p: Params) -> bool:
+    """Whether the last stop_window errors lie within stop_eps percent, as metrics.stopping tells from a log."""
+    last = errors[-p.stop_window :]
+    return len(last) == p.stop_window and (max(last) - min(last)) * 100 < p.stop_eps
+
+
+def slow(objectives: list[float], p: Params) -> bool:
+    """Whether the objective moved by less than stop_eps of itself over objective_window iterations, as metrics.stopping tells from a log."""
+    now = objectives[-1]
+    return len(objectives) > p.objective_window and (now == 0 or abs(objectives[-p.objective_window] - now) / abs(now) < p.stop_eps)
+
+
 def empirical(encoded: DataFrame, weights: Weights) -> np.ndarray:
     """Counts of all weights in the gold labels: a grouped count of (observation, label) and (observation, previous, label)."""
     size, y = len(weights.theta), len(weights.labels)
@@ -143,8 +155,7 @@ def lbfgs(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.nda
             steps, changes = [*steps, s][-p.history :], [*changes, y][-p.history :]
         past.append(f)
         flat = np.linalg.norm(pseudo_gradient(x, g, p.l1) if p.l1 else g) / max(1.0, np.linalg.norm(x)) <= _FLAT
-        slow = k >= p.objective_window and abs(past[-p.objective_window] - f) / abs(f) < p.stop_eps if f else True
-        if stop or flat or slow:
+        if stop or flat or slow(past, p):
             break
     return x
 

@@ -18,7 +18,7 @@ from tagloom.operators import inference
 from tagloom.operators import templates as Tpl
 from tagloom.operators.distributed import TableObjective, lbfgs_tables
 from tagloom.operators.local import LocalModel
-from tagloom.operators.training import Log, Params, SgdState, indexed, lbfgs, objective_of, sgd_epoch
+from tagloom.operators.training import Log, Params, SgdState, indexed, lbfgs, objective_of, sgd_epoch, steady
 
 
 @dataclass
@@ -183,8 +183,7 @@ class CrfEstimator:
         def report(k: int, f: float | None, x: np.ndarray, got: tuple[float, float]) -> bool:
             errors.append(got[0])
             log.rows.append((k, None if f is None else float(f), int(np.count_nonzero(x)), got[0], got[1]))
-            last = errors[-p.stop_window :]
-            return len(last) == p.stop_window and (max(last) - min(last)) * 100 < p.stop_eps
+            return steady(errors, p)
 
         if p.algorithm == "l-bfgs":
             objective = objective_of(encoded, arrays, p)  # the last evaluation is of the accepted x, so it has the errors to report
@@ -217,8 +216,7 @@ class CrfEstimator:
         def report(k: int, f: float, x: DataFrame) -> bool:
             errors.append(objective.errors[0])
             log.rows.append((k, float(f), x.where("x <> 0").count(), *objective.errors))
-            last = errors[-p.stop_window :]
-            return len(last) == p.stop_window and (max(last) - min(last)) * 100 < p.stop_eps
+            return steady(errors, p)
 
         found = lbfgs_tables(objective, begun.select("f", F.coalesce("w", F.lit(0.0)).alias("x")), p, report)
         model.weights = materialize(found.where("x <> 0").select("f", F.col("x").alias("w")), "weights")

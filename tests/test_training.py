@@ -171,3 +171,17 @@ def test_blocks_cover_all_sequences_once(spark, monkeypatch):
         want[i] = at // 10
         at += n
     assert {r.sent_id: r.block for r in got} == want
+
+
+def test_stopping_rules_of_training_are_those_of_a_log(spark):
+    from tagloom.operators import metrics
+    from tagloom.operators.training import slow, steady
+
+    rng = np.random.default_rng(11)
+    p = Params(stop_eps=0.05, stop_window=3, objective_window=4)
+    for _ in range(3):
+        errors = np.round(0.3 + 0.0004 * rng.integers(0, 3, 25).cumsum() * rng.integers(0, 2, 25), 6).tolist()
+        objectives = (1000 * (1 + 0.05 * rng.random(25)) / np.arange(1, 26) ** 0.2).tolist()
+        log = spark.createDataFrame([(k, e, o) for k, (e, o) in enumerate(zip(errors, objectives, strict=True), 1)], "iter int, err double, obj double")
+        want = {r.iter: r.stop for r in metrics.stopping(log, p.stop_window, p.objective_window, p.stop_eps).collect()}
+        assert want == {k: steady(errors[:k], p) or slow(objectives[:k], p) for k in range(1, 26)} and len(set(want.values())) == 2
