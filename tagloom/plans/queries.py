@@ -149,23 +149,28 @@ def q15_first_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(model, tried[-1], "x").where("x <> 0").select("obs", "previous", "label", F.round("x", 7).alias("x"))
 
 
-def q16_unigram_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed weights by sequence and label, with weights that are multiples of 1/8 made from the observations."""
-    rows = _exploded(spark, sf_dir).where("obs like 'u%'")
-    names = F.broadcast(q08_label_ids(spark, sf_dir))
-    parts = rows.groupBy("sent_id").agg(F.sum(F.char_length("obs") % 7).alias("a"), F.sum(F.octet_length("obs") % 5).alias("b"))
-    return parts.join(names).select("sent_id", "label", ((F.col("a") - F.col("b") * F.char_length("label") + F.ascii("label") % 3) / 8.0).alias("score"))
-
-
-def _weighted(spark: SparkSession, sf_dir: str):
+def _weighted(spark: SparkSession, sf_dir: str, of_label: Column | None = None):
     """A model of all lines under weights that are multiples of 1/8 made from observations and labels, and its encoded sequences."""
     model, encoded, _ = _prepared(spark, sf_dir)
-    own = (F.char_length("obs") % 7 - (F.octet_length("obs") % 5) * (F.ascii("label") % 3)) / 8.0
+    own = (F.char_length("obs") % 7 - (F.octet_length("obs") % 5) * (F.ascii("label") % 3 if of_label is None else of_label)) / 8.0
     pair = (F.ascii("previous") * 3 + F.ascii("label")) % 11 / 8.0
     model.weights = model.cells().select("f", F.when(F.col("previous").isNull(), own).otherwise(pair).alias("w"))
     return model, encoded
 
 
+def q16_unigram_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed potentials by sequence and label, with weights that are multiples of 1/8 made from the observations, and an eighth of the label's own."""
+    model, encoded = _weighted(spark, sf_dir, F.char_length("label"))
+    arrays = model.arrays()
+    rows = potentials(encoded, arrays).select("sent_id", "u")
+
+    def total(k: int) -> Column:
+        return F.aggregate("u", F.lit(0.0), lambda a, u: a + u[k])
+
+    parts = [F.struct(F.lit(x).alias("label"), (total(k) + ord(x[0]) % 3 / 8.0).alias("score")) for k, x in enumerate(arrays.labels)]
+    return rows.select("sent_id", F.explode(F.array(*parts)).alias("c")).select("sent_id", "c.label", "c.score")
+
+
 def q31_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summed potentials by sequence and label, under weights that are multiples of 1/8 made from observations and labels: score of the label's own, into of the pairs that end in it."""
     model, encoded = _weighted(spark, sf_dir)
@@ -304,6 +309,22 @@ def q34_marginals_of_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sent_id", F.get(names, F.col("k")).alias("label"), F.round("log_z", 3).alias("log_z"), F.round("p", 4).alias("p"))
 
 
+def q37_first_trial_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objective with its penalties at zero and at the first point that the line search tries, and that point's weights that are not zero."""
+    model, encoded, arrays = _prepared(spark, sf_dir)
+    p, seen = Params(max_iter=1, max_line_search=1), []
+    objective = objective_of(encoded, arrays, p)
+
+    def valued(x):
+        f, g = objective(x)
+        seen.append((f, int((x != 0).sum())))
+        return f, g
+
+    lbfgs(valued, arrays.theta, p, lambda k, f, x: True)
+    (start, _), (trial, n) = seen[0], seen[-1]
+    return spark.createDataFrame([(float(round(start)), float(round(trial)), n)], "start double, trial double, n_active long")
+
+
 def q35_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by their numbers of characters, and the longest ones."""
     return metrics.lengths(_sequences(spark, sf_dir))
@@ -508,4 +529,22 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_LINES} SELECT (floor(log2(len(c))) + 1)::INT AS step, count(*) AS n_seq, sum(len(c))::BIGINT AS n_pos, max(len(c))::INT AS longest FROM sents GROUP BY 1
     """,
     "q36_decoded_ids": f"WITH {_OBS} SELECT obs, count(*) AS n FROM obs GROUP BY 1",
+    "q37_first_trial_value": f"""
+        WITH {_GRADIENT},
+        x AS (SELECT obs, previous, label, -pg / (SELECT sqrt(sum(pg * pg)) FROM pseudo) AS x FROM pseudo WHERE pg <> 0),
+        ns AS (SELECT list(label ORDER BY label) AS ns FROM names),
+        own AS (SELECT obs, [{", ".join(f"coalesce(max(x) FILTER (label = ns[{k}]), 0)" for k in range(1, 5))}] AS v FROM x, ns WHERE obs LIKE 'u%' GROUP BY obs),
+        pairs AS (SELECT list(row_ ORDER BY previous) AS w FROM (
+            SELECT a.label AS previous, list(coalesce(x.x, 0) ORDER BY b.label) AS row_ FROM names a CROSS JOIN names b LEFT JOIN x ON x.obs = 'b' AND x.previous = a.label AND x.label = b.label GROUP BY 1)),
+        u AS (
+            SELECT sent_id, t, any_value(label) AS label, any_value(previous) AS previous, [{", ".join(f"coalesce(sum(v[{k}]), 0)" for k in range(1, 5))}] AS u
+            FROM obs LEFT JOIN own ON own.obs = obs.obs WHERE obs.obs LIKE 'u%' GROUP BY 1, 2
+        ),
+        gold AS (SELECT sum(u[list_position(ns, label)] + CASE WHEN t > 0 THEN w[list_position(ns, previous)][list_position(ns, label)] ELSE 0 END) AS g FROM u, ns, pairs),
+        lists AS (SELECT sent_id, any_value(w) AS w, list(u ORDER BY t) AS l FROM u, pairs GROUP BY 1),
+        last AS (SELECT list_reduce(l, lambda r, x: list_transform(x, lambda e, j: e + {_log_sums("list_transform(r, lambda z, i: z + w[i][j])")})) AS f FROM lists),
+        z AS (SELECT sum({_log_sums("f")}) AS z FROM last)
+        SELECT round((SELECT count(*) FROM cells) * ln((SELECT count(*) FROM names))) AS start,
+            round(z - g + (SELECT 0.5 * sum(abs(x)) + 0.0001 * sum(x * x) / 2 FROM x)) AS trial, (SELECT count(*) FROM x) AS n_active FROM z, gold
+    """,
 }
