@@ -3,28 +3,33 @@
 Tokens are the lower-cased words of a text and then one end; words that no learning
 text has are one symbol, unknown. The root of the tree gives a known token its share
 of the learning tokens and unknown the share that new words had, that of the
-words seen once. A longer context, one or two tokens, is a node if it makes up
-LEAST_SHARE of all tokens and its next symbols diverge from those of its suffix: count
-times log ratio, summed over the symbols worth keeping, each of which costs half of
-log N. A node keeps discounted probabilities of those symbols and hands the rest of its
-mass to its suffix in the suffix's own proportions, so each distribution sums to one.
-Scoring starts at the longest suffix of the history that is a node.
-
-That much is broadcast. All other contexts, up to DEPTH tokens, are nodes by counts alone:
-a symbol seen LEAST_DEEP times that diverges from the suffix by the same cost. Each position
-is sent once, to the range of hash values of the shortest context of its history that is
-not broadcast, so a range holds all of the longer ones too, and their counts, and no
-context with LEAST_SHARE is a group of a range. Words travel as their rank in the table of
-the most frequent ones, which is broadcast; only others, and the shortest contexts, as
-hashes. A range does not know the root's value of a symbol outside that table:
-divergence is tested against the table's least share, its upper bound, and what such symbols
-have in the suffix is not handed on, so these distributions sum to one at most. Ranges return
-sums for each text, and the symbols that they have settled, whose share of the root
-is taken off again.
-
-All counts cover all learning texts. Words are counted exactly, then pairs of frequent
-words, then triples on frequent pairs, so nothing depends on how the table is cut; what is broadcast is bounded by
-1 / LEAST_SHARE contexts and symbols, and TABLE words with their counts. The root needs the
+words seen once. One rule makes the nodes, for all contexts of up to DEPTH tokens and all
+known tokens after them: a context keeps a token that follows it LEAST_DEEP times
+and whose count times log ratio to what the suffix gives it is above half of log N. It gives
+those discounted probabilities and hands the rest of its mass to its suffix in the
+suffix's own proportions, so each distribution sums to one. Scoring starts at the longest
+suffix of the history that is a node.
+
+Two shares decide where this is worked out, never what comes out. Contexts with
+LEAST_SHARE of all tokens are broadcast with what they keep of the symbols, words with a quarter of
+that. For all other contexts each position is sent once, to the range of hash values of the
+shortest context of its history that is not broadcast, so a range holds all of the longer
+ones too, and their counts, and no context with LEAST_SHARE is a group of a range. Words travel as
+their rank in the table of the most frequent ones, which is broadcast; only others, and the
+shortest contexts, as hashes.
+
+Broadcast contexts are hot, so what they keep of words that are no symbols is counted by ranges of
+those words: once for each word and key of a context (of a word outside the table, wherever it
+stands, so that its count is known). Length by length, these ranges return what such words
+take of each broadcast context, which its factor for the rest needs. Then they tell
+the ranges of contexts what is kept of which word, and the root's values of words outside
+the table. Words whose contexts are all broadcast are sent there under a key of their own.
+Ranges of contexts return sums for each text, and the symbols that they have settled, whose
+share of the root is taken off again.
+
+All counts cover all learning texts. Words are counted exactly, then pairs of symbols,
+then triples and quadruples on frequent contexts, so nothing depends on how the table is cut; what is broadcast is
+bounded by 1 / LEAST_SHARE contexts of a length and four times as many symbols, and TABLE words with their counts. The root needs the
 count of every token of every text. Those of the table, and of words frequent in held-out texts alone (which
 have no part in the tree), are settled where the text is read. Other words are sent hashed and packed: for
 each range of hash values one array of distinct hashes and the texts they occur in, with
@@ -51,13 +56,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hashed_words, materialize, mix64, small_batches
+from .common import discard, give_back, giving_back, hashed_words, materialize, mix64, small_batches
 
 _U = np.uint64
 FOLDS, HELD_OUT = 7, 2
-#: A context is a node, and a symbol a node's own, only with this share of all tokens, and counts of this much.
+#: Share of all tokens, and count, from which a context is broadcast; a word is a symbol from a quarter of it.
 LEAST_SHARE, LEAST_COUNT = 5e-4, 16
-#: Tokens of the longest context, and times that a symbol must follow a context that is not broadcast.
+#: Tokens of the longest context, and times that a symbol which a context keeps must follow it.
 DEPTH, LEAST_DEEP = 3, 2
 #: Taken off each count of a node for the symbols it does not keep.
 DISCOUNT = 0.75
@@ -222,46 +227,48 @@ def _count(known: np.ndarray, pairs: np.ndarray | None, triples: np.ndarray | No
     return run
 
 
+@dataclass
+class Level:
+    """Broadcast contexts of one length, by place."""
+
+    lower: np.ndarray  # place of the context without its first token
+    times: np.ndarray  # times it occurs in learning texts
+    rest: np.ndarray  # log10 factor for the symbols that it does not keep
+    kept: np.ndarray  # sorted place * symbols + symbol, of the symbols alone
+    logp: np.ndarray
+
+
 @dataclass
 class Tree:
-    """Nodes of one and of two tokens with the probabilities they keep (log10) and the factor for the others."""
+    """Frequent contexts of up to three tokens with the symbols they keep; what they keep of other words is told to the ranges of contexts."""
 
     known: np.ndarray  # hashes of the symbols, sorted
     unknown: float  # probability of the unknown symbol
-    rest1: np.ndarray  # by symbol: log10 factor of its node, nan if it has none
-    kept1: np.ndarray  # sorted context * symbols + symbol
-    logp1: np.ndarray
-    pairs: np.ndarray  # sorted first * symbols + second of the nodes of two
-    rest2: np.ndarray
-    kept2: np.ndarray
-    logp2: np.ndarray
-    root: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by symbol: log10 of its share
-    often: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # by symbol: its contexts of one token are broadcast
-    often2: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted contexts of two that are
+    total: int
+    count: np.ndarray  # by symbol: times in learning texts
+    often2: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted contexts of two, first * symbols + second
     often3: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of three: place in often2 * symbols + symbol
-    rest3: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by place in often3, nan if it is no node
-    kept3: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    logp3: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    cost: float = 0.0
-    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes of the table, sorted; the symbols are in it
-    learnt: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by word of the table: times in learning texts
-    total: int = 0
+    times: list[np.ndarray] = field(default_factory=list)  # by length and place
+    levels: list[Level] = field(default_factory=list)
 
     def __post_init__(self):
-        self.set_table(self.words, self.learnt, self.total, np.ones(len(self.words), bool))
-
-    def set_table(self, words: np.ndarray, learnt: np.ndarray, total: int, member: np.ndarray) -> None:
-        """member: of the words, those that are in the table (or symbols); the others only have their counts broadcast."""
-        self.words, self.learnt, self.total, self.member = words, learnt, total, member
+        self.cost, self.least = 0.5 * np.log(max(self.total, 2)), least_of(self.total)
+        self.root = np.log10(np.maximum(self.count / max(self.total, 1), 1e-12) * (1 - self.unknown))
+        self.often = self.count >= self.least  # by symbol: it is a context of one token
+        self.set_table(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def set_table(self, words: np.ndarray, learnt: np.ndarray) -> None:
+        """Words whose counts are broadcast, the symbols among them; no result depends on which they are."""
+        self.words, self.learnt = words, learnt
         self.by_rank = np.argsort(-learnt, kind="stable").astype(np.uint32)
         self.rank = np.zeros(len(words), np.uint32)
         self.rank[self.by_rank] = np.arange(len(words), dtype=np.uint32)
-        at = _numbers(words, self.known)
-        self.symbol = np.append(at, -1)  # by word of the table: its number among the symbols; the last is for words outside
-        # log10 of the root's value; of words outside the table, the least that a word of it has
-        share = np.log10(np.maximum(learnt, 1) / max(total, 1) * (1 - self.unknown))
-        self.word_root = share
-        self.outside = float(share[member].min()) if member.any() else 0.0
+        self.symbol = np.append(_numbers(words, self.known), -1)  # by word of the table: its number among the symbols; the last is for words outside
+        self.word_root = self.root_of(learnt)
+
+    def root_of(self, learnt: np.ndarray) -> np.ndarray:
+        """log10 of the root's value for words of these counts."""
+        return np.log10(np.maximum(learnt, 1) / max(self.total, 1) * (1 - self.unknown))
 
     def contexts(self, two: np.ndarray, one: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the last two and of the last three tokens among the broadcast contexts, -1 for others."""
@@ -277,132 +284,87 @@ class Tree:
         now, one, two = _histories(t, counts, self.known, self.symbol[number] if len(self.words) else None)
         return number, now, one, two, *self.contexts(two, one, counts)
 
+    def after_often(self, one: np.ndarray) -> np.ndarray:
+        return (one >= 0) & self.often[one] if len(self.often) else np.zeros(len(one), bool)
+
     def read(self, t: np.ndarray, counts: np.ndarray, histories: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log10 of what nodes say about each token, and whether they settle it (else the root's value is to be added)."""
-        _, now, one, two, _, third = histories or self.histories(t, counts)
+        _, now, one, _, pair, third = histories or self.histories(t, counts)
         out, settled, m = np.zeros(len(t)), np.zeros(len(t), bool), len(self.known)
-        if not m:
-            return out, settled
-
-        def take(at, context, symbol, kept, logp, rest):
-            found = _numbers(context * m + symbol, kept)
-            found[symbol < 0] = -1
-            out[at] += np.where(found >= 0, logp[np.maximum(found, 0)] if len(logp) else 0.0, rest)
-            settled[at] = found >= 0
-
-        at = np.flatnonzero((two >= 0) & (one >= 0))
-        node = _numbers(two[at] * m + one[at], self.pairs)
-        at, node = at[node >= 0], node[node >= 0]
-        if len(at):
-            take(at, node, now[at], self.kept2, self.logp2, self.rest2[node])
-        at = np.flatnonzero(~settled & (one >= 0))
-        at = at[~np.isnan(self.rest1[one[at]])]
-        if len(at):
-            take(at, one[at], now[at], self.kept1, self.logp1, self.rest1[one[at]])
-        if len(self.often3):
-            at = np.flatnonzero(third >= 0)
-            at = at[~np.isnan(self.rest3[third[at]])]
-            found = _numbers(third[at] * m + now[at], self.kept3)
-            found[now[at] < 0] = -1
+        for of, place in zip(self.levels, (np.where(self.after_often(one), one, -1), pair, third), strict=False):
+            at = np.flatnonzero(place >= 0)
+            if not len(at):
+                continue
+            place, symbol = place[at], now[at]
+            found = np.where(symbol >= 0, _numbers(place * m + symbol, of.kept), -1)
             have = found >= 0
-            out[at] = np.where(have, self.logp3[np.maximum(found, 0)] if len(self.logp3) else 0.0, out[at] + self.rest3[third[at]])
+            out[at] += of.rest[place]
+            out[at[have]] = of.logp[found[have]]
             settled[at[have]] = True
         return out, settled
 
-    def below(self, pair: int, symbols: np.ndarray) -> np.ndarray:
-        """Probabilities of known symbols after two tokens."""
-        m, out, open_ = len(self.known), np.zeros(len(symbols)), np.ones(len(symbols), bool)
-        node = int(_numbers(np.array([pair]), self.pairs)[0])
-        levels = [(node, self.kept2, self.logp2, self.rest2)] if node >= 0 else []
-        if not np.isnan(self.rest1[pair % m]):
-            levels.append((pair % m, self.kept1, self.logp1, self.rest1))
-        for context, kept, logp, rest in levels:
-            found = _numbers(context * m + symbols, kept)
-            have = found >= 0
-            out += np.where(open_, np.where(have, logp[np.maximum(found, 0)] if len(logp) else 0.0, rest[context]), 0.0)
-            open_ &= ~have
-        return 10 ** (out + np.where(open_, self.root[symbols], 0.0))
-
-    def add_third(self, counts: np.ndarray, quads: tuple) -> None:
-        """Nodes of three tokens from counts of the contexts in often3 and of the symbols after them."""
-        m, kept, logp = len(self.known), [np.zeros(0, np.int64)], [np.zeros(0)]
-        self.rest3 = np.full(len(self.often3), np.nan)
-        c, s = quads[0].astype(np.int64) // m, quads[0].astype(np.int64) % m
-        for i in np.unique(c).tolist():
-            a, b = np.searchsorted(c, [i, i + 1])
-            last = self.often2[self.often3[i] // m] % m * m + self.often3[i] % m
-            got = _node(s[a:b], quads[1][a:b], float(counts[i]), self.below(int(last), s[a:b]), self.cost)
-            if got is not None:
-                kept.append(i * m + got[0])
-                logp.append(np.log10(got[1]))
-                self.rest3[i] = np.log10(got[2])
-        self.kept3, self.logp3 = np.concatenate(kept), np.concatenate(logp)
-
-
-def _node(symbols: np.ndarray, n: np.ndarray, total: float, below: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Symbols a node keeps, their probabilities and the factor for the rest; None if it does not diverge."""
-    gain = n * np.log(np.maximum(n, 1e-9) / (total * below))
-    keep = (n >= LEAST_COUNT) & (gain > cost)
-    if not keep.any() or gain[keep].sum() <= cost:
-        return None
-    p = (n[keep] - DISCOUNT) / total
-    return symbols[keep], p, (1 - p.sum()) / max(1e-12, 1 - below[keep].sum())
+    def value(self, length: int, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 probability of symbols after contexts of this length."""
+        if not length:
+            return self.root[symbol]
+        of = self.levels[length - 1]
+        found = _numbers(place * len(self.known) + symbol, of.kept)
+        out = self.value(length - 1, of.lower[place], symbol) + of.rest[place]
+        out[found >= 0] = of.logp[found[found >= 0]]
+        return out
+
+    def telling(self, lower: np.ndarray, times: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which symbols after contexts of the next length (place * symbols + symbol, n times) are the node's own, and what they have below it."""
+        c, s = key // max(len(self.known), 1), key % max(len(self.known), 1)
+        below = 10 ** self.value(len(self.levels), lower[c], s)
+        return (times[c] >= self.least) & _own(n, times[c], below, self.cost), below
+
+    def add(self, lower: np.ndarray, times: np.ndarray, key: np.ndarray, n: np.ndarray, others: tuple = (0.0, 0.0)) -> None:
+        """The nodes of the next length; others: by place, what its words that are no symbols take, and have below it."""
+        key = key.astype(np.int64)
+        keep, below = self.telling(lower, times, key, n)
+        key, n, below = key[keep], n[keep], below[keep]
+        c = key // max(len(self.known), 1)
+        p = (n - DISCOUNT) / times[c]
+        own, given = np.bincount(c, p, len(times)) + others[0], np.bincount(c, below, len(times)) + others[1]
+        self.levels.append(Level(lower, times, _rest(own, given), key, np.log10(p)))
+
+    @property
+    def rest1(self) -> np.ndarray:
+        return self.levels[0].rest
+
+    @property
+    def kept1(self) -> np.ndarray:
+        return self.levels[0].kept
+
+    @property
+    def logp1(self) -> np.ndarray:
+        return self.levels[0].logp
+
+
+def least_of(total: int) -> float:
+    """Times from which a context is broadcast."""
+    return max(LEAST_COUNT, LEAST_SHARE * total)
+
+
+def _own(n: np.ndarray, times: np.ndarray, below: np.ndarray, cost: float) -> np.ndarray:
+    """The one rule for all contexts: a symbol is the node's own if it is repeated and diverges from the suffix."""
+    return (n >= LEAST_DEEP) & (n * np.log(np.maximum(n, 1e-9) / (np.maximum(times, 1) * below)) > cost)
+
+
+def _rest(own: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """log10 factor for what a node does not keep: its own symbols take own, and have given below it."""
+    return np.where(own > 0, np.log10(np.maximum(1 - own, 1e-12) / np.maximum(1e-12, 1 - given)), 0.0)
 
 
 def build(words: tuple, pairs: tuple, triples: tuple, contexts: np.ndarray, total: int, unknown: float, known: np.ndarray) -> Tree:
     """Tree from counts of words, of pairs (first * symbols + second) and of the symbols after contexts (context * symbols + symbol)."""
-    m = len(known)
-    root = np.full(m, 1e-12)
-    root[words[0].astype(np.int64)] = words[1] / max(total, 1) * (1 - unknown)
-    cost = 0.5 * np.log(max(total, 2))
-    count = np.zeros(m)
+    count, contexts = np.zeros(len(known)), contexts.astype(np.int64)
     count[words[0].astype(np.int64)] = words[1]
-    least = max(LEAST_COUNT, LEAST_SHARE * total)
-
-    def groups(key, n):
-        c, s = key.astype(np.int64) // max(m, 1), key.astype(np.int64) % max(m, 1)
-        for x in np.unique(c).tolist():
-            a, b = np.searchsorted(c, [x, x + 1])
-            yield x, s[a:b], n[a:b]
-
-    rest1, kept1, logp1 = np.full(m, np.nan), [np.zeros(0, np.int64)], [np.zeros(0)]
-    one: dict[int, np.ndarray] = {}  # distributions of the nodes of one token
-    followed = dict((c, (s, n)) for c, s, n in groups(*pairs))
-    triple = {c: (s, n) for c, s, n in groups(*triples)}
-    needed = set()
-    two = {}
-    for i, pair in enumerate(contexts.astype(np.int64).tolist()):
-        first, last = divmod(pair, m)
-        if i in triple:
-            two.setdefault(last, []).append((i, first, *triple[i]))
-    for c, (s, n) in followed.items():
-        if count[c] < least:
-            continue
-        node = _node(s, n, count[c], root[s], cost)
-        below, factor = root.copy(), 1.0
-        if node is not None:
-            factor = node[2]
-            below *= factor
-            below[node[0]] = node[1]
-            one[c] = below
-        found = []
-        for i, first, s2, n2 in two.get(c, ()):
-            got = _node(s2, n2, float(pairs[1][np.searchsorted(pairs[0], first * m + c)]), below[s2], cost)
-            if got is not None:
-                found.append((i, *got))
-        if node is not None or found:  # the suffix of a node is a node
-            rest1[c] = np.log10(factor)
-            if node is not None:
-                kept1.append(c * m + node[0])
-                logp1.append(np.log10(node[1]))
-            needed.update((i, tuple(k.tolist()), tuple(p.tolist()), r) for i, k, p, r in found)
-    nodes = sorted(needed)
-    rest2 = np.array([np.log10(r) for *_, r in nodes])
-    kept2 = np.array([j * m + k for j, (_, ks, _, _) in enumerate(nodes) for k in ks], np.int64)
-    logp2 = np.log10(np.array([p for _, _, ps, _ in nodes for p in ps], float)) if len(nodes) else np.zeros(0)
-    k1, l1 = np.concatenate(kept1), np.concatenate(logp1)
-    o1, o2 = np.argsort(k1), np.argsort(kept2)
-    return Tree(known, unknown, rest1, k1[o1], l1[o1], contexts.astype(np.int64)[[i for i, *_ in nodes]], rest2, kept2[o2], logp2[o2])
+    tree = Tree(known, unknown, total, count, contexts)
+    tree.add(np.zeros(len(known), np.int64), count, *pairs)
+    tree.add(contexts % max(len(known), 1), pairs[1][np.searchsorted(pairs[0].astype(np.int64), contexts)], *triples)
+    return tree
 
 
 def _collected(df: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -414,14 +376,24 @@ def _collected(df: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
 
 def learn(docs: DataFrame) -> tuple[Tree, int]:
     """The tree, and the number of learning tokens."""
+    tree, others, _, _ = grow(docs)
+    discard(others)
+    return tree, tree.total
+
+
+def grow(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
+    """The tree, what it keeps of words that are no symbols (see _summed_others), and the numbers of ranges of words and of contexts."""
     schema = "kind byte, key long, n long"
+    spark = docs.sparkSession
     texts = docs.where(~held_out()).select(F.coalesce("text", F.lit("")).alias("text"))
 
-    def summed(part: DataFrame, least: float = 0) -> DataFrame:
-        return part.groupBy("kind", "key").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("kind") != 2))
+    def summed(count) -> DataFrame:
+        part = texts.mapInArrow(count, schema).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+        return materialize(part.where((F.col("n") >= LEAST_DEEP) | (F.col("kind") == 1)), "contexts")
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(RANGES, int(size / 6 / RANGE_WORDS) + 1)
+    deep = max(RANGES, int(size / 6 / RANGE_CONTEXTS) + 1)
 
     def counted(part: DataFrame, kept: np.ndarray, least: int) -> DataFrame:
         return materialize(part.mapInArrow(_word_counts(ranges), "range long, data binary").groupBy("range").applyInArrow(_summed_words(kept, least), schema), "words", "zstd")
@@ -452,22 +424,195 @@ def learn(docs: DataFrame) -> tuple[Tree, int]:
     times = np.zeros(len(words_of), np.int64)
     for key, n in (table, own):
         times[np.searchsorted(words_of, key)] = n
-    pairs = materialize(summed(texts.mapInArrow(_count(known, None), schema), LEAST_COUNT), "pairs")
-    words, two = _collected(pairs, 1), _collected(pairs, 2)
-    contexts = two[0][two[1] >= least].astype(np.int64)
-    triples = _collected(summed(texts.mapInArrow(_count(known, contexts), schema)).where(F.col("n") >= LEAST_COUNT), 3) if len(contexts) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    tree = build(words, two, triples, contexts, total, unknown, known)
-    tree.set_table(words_of, times, total, np.isin(words_of, known) | np.isin(words_of, table[0]))
-    share = np.zeros(len(known))
-    share[words[0].astype(np.int64)] = words[1] / max(total, 1)
-    tree.root, tree.often, tree.often2 = np.log10(np.maximum(share, 1e-12) * (1 - unknown)), share * total >= least, contexts
-    tree.cost = 0.5 * np.log(max(total, 2))
-    many = triples[1] >= least
-    tree.often3, tree.rest3 = triples[0][many].astype(np.int64), np.full(np.count_nonzero(many), np.nan)
-    if many.any():
-        tree.add_third(triples[1][many], _collected(summed(texts.mapInArrow(_count(known, contexts, tree.often3), schema)).where(F.col("n") >= LEAST_COUNT), 4))
-    discard(first, rest, pairs)
-    return tree, total
+    pairs = summed(_count(known, None))
+    tables = [pairs]
+    words = _collected(pairs, 1)
+    count = np.zeros(len(known))
+    count[words[0].astype(np.int64)] = words[1]
+    two = _collected(pairs.where(F.col("n") >= least), 2)
+    tree = Tree(known, unknown, total, count, two[0].astype(np.int64))
+    tree.set_table(words_of, times)
+    m = max(len(known), 1)
+    lower, tree.times = [np.zeros(len(known), np.int64), tree.often2 % m], [count, two[1]]
+    if len(tree.often2):
+        tables.append(summed(_count(known, tree.often2)))
+        three = _collected(tables[1].where(F.col("n") >= least), 3)
+        tree.often3 = three[0].astype(np.int64)
+        if len(tree.often3):
+            tree.times.append(three[1])
+            lower.append(_numbers(tree.often2[tree.often3 // m] % m * m + tree.often3 % m, tree.often2))
+            tables.append(summed(_count(known, tree.often2, tree.often3)))
+    shared = spark.sparkContext.broadcast(tree)
+    every = docs.select(held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    sent = every.mapInArrow(giving_back(_others(max(RANGES, deep // 4 + 1), deep, shared)), "range long, data binary")
+    others = materialize(sent.groupBy("range").applyInArrow(_summed_others(shared), "data binary"), "others", "zstd")
+    for length, table in enumerate(tables, 1):
+        shared = spark.sparkContext.broadcast(tree)
+        key, n = _collected(table.where(F.col("kind") == length + 1).mapInArrow(_telling(lower[length - 1], tree.times[length - 1], shared), schema), length + 1)
+        sums = others.mapInArrow(_others_take(shared), "place long, own double, given double").groupBy("place").agg(F.sum("own"), F.sum("given")).toArrow()
+        taken = np.zeros((2, len(tree.times[length - 1])))
+        taken[:, sums[0].to_numpy()] = sums[1].to_numpy(), sums[2].to_numpy()
+        tree.add(lower[length - 1], tree.times[length - 1], key, n, tuple(taken))
+        shared.unpersist()
+    discard(first, rest, *tables)
+    return tree, others, ranges, deep
+
+
+def _telling(lower: np.ndarray, times: np.ndarray, sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.telling(lower, times, batch.column(1).to_numpy(), batch.column(2).to_numpy())[0]))
+
+    return run
+
+
+def _others(ranges: int, deep: int, sent):
+    """Words that are no symbols, with the broadcast contexts before them and the key by which ranges of contexts know them, and how often learning texts have them there; packed by range of the word's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = sent.value
+        kept, held, size = _key_mask(deep), [], 0
+
+        def flush():
+            word, key, places, n = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+            held.clear()
+            word, key, places, n = _distinct(word, key & kept, places, n)
+            to = (((word >> _U(32)) * _U(ranges)) >> _U(32)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(to, prepend=-1))
+            rows = {"range": to[cut].tolist(), "data": []}
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(to)][: len(cut)], strict=True):
+                used, times = np.unique(word[a:b], return_counts=True)
+                rows["data"].append(_packed(np.array([len(used), b - a]), *map(_planes, (used, times.astype(np.int32), key[a:b], *places[:, a:b], n[a:b]))))
+            return pa.RecordBatch.from_pydict(rows, pa.schema([("range", pa.int64()), ("data", pa.binary())]))
+
+        for batch in batches:
+            learns = ~np.array(batch.column(0).to_pylist(), bool)
+            for first, t, counts in tokens(batch.column(1)):
+                histories = tree.histories(t, counts)
+                number, now, one, _, pair, third = histories
+                at, key, *_ = _keys(tree, t, counts, histories)
+                after = tree.after_often(one)
+                # of words with fewer counts nothing is kept
+                other = np.where(number < 0, True, after & (now < 0) & (tree.learnt[number] >= LEAST_DEEP if len(tree.learnt) else False))[at]
+                at, key = at[other], key[other]
+                places = (np.array([np.where(after[at], one[at], -1), pair[at], third[at]]) + 1).astype(np.uint16)
+                held.append((t[at], key, places, np.repeat(learns[first : first + len(counts)], counts)[at].astype(np.int32)))
+                size += len(at)
+            if size > FLUSH:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _distinct(word: np.ndarray, key: np.ndarray, places: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct words and keys, which have their places, with the sums of n."""
+    order = np.lexsort((key, word))
+    word, key = word[order], key[order]
+    cut = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (key[1:] != key[:-1])))) if len(word) else np.zeros(0, np.int64)
+    return word[cut], key[cut], places[:, order[cut]], np.add.reduceat(n[order], cut) if len(word) else n
+
+
+def _summed_others(sent):
+    """One row a range: its words with their learning counts, and what _others sends of all texts; without what follows a context once, which no node keeps."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        tree, parts = sent.value, []
+        for raw in rows.column("data").to_pylist():
+            raw = _unpacked(raw)
+            w, k = np.frombuffer(raw, np.int64, 2).tolist()
+            a, got = 16, []
+            for kind, size in ((np.uint64, w), (np.int32, w), (np.uint64, k), *[(np.uint16, k)] * 3, (np.int32, k)):
+                got.append(_unplaned(raw, kind, size, a))
+                a += got[-1].nbytes
+            parts.append((np.repeat(got[0], got[1]), got[2], np.array(got[3:6]), got[6]))
+        word, key, places, n = _distinct(*(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True)))
+        words, word = np.unique(word, return_inverse=True)
+        number = _numbers(words, tree.words)
+        learnt = np.bincount(word, n, len(words)).astype(np.int64)  # words outside the table are sent wherever they stand
+        learnt[number >= 0] = tree.learnt[number[number >= 0]]
+        _, of = np.unique(word * 65536 + places[0], return_inverse=True)
+        keep = ((np.bincount(of, n) >= LEAST_DEEP)[of] & (places[0] > 0)) | ((number < 0) & (learnt >= LEAST_DEEP))[word]
+        word, key, places, n = word[keep], key[keep], places[:, keep], n[keep]
+        data = _packed(np.array([len(words), len(word)]), *map(_planes, (words, learnt, (number < 0).astype(np.uint8), word.astype(np.int32), key, *places, n)))
+        give_back()
+        return pa.table({"data": pa.array([data], pa.binary())})
+
+    return run
+
+
+def _read_others(tree: Tree, raw: bytes) -> tuple:
+    """words, whether they are outside the table, word of each row, its key, places (-1 is none), times, the root's value."""
+    raw = _unpacked(raw)
+    w, k = np.frombuffer(raw, np.int64, 2).tolist()
+    a, got = 16, []
+    for kind, size in ((np.uint64, w), (np.int64, w), (np.uint8, w), (np.int32, k), (np.uint64, k), *[(np.uint16, k)] * 3, (np.int32, k)):
+        got.append(_unplaned(raw, kind, size, a))
+        a += got[-1].nbytes
+    word = got[3].astype(np.int64)
+    return got[0], got[2] > 0, word, got[4], [x.astype(np.int64) - 1 for x in got[5:8]], got[8], tree.root_of(got[1])[word]
+
+
+def _levels_of_others(tree: Tree, word: np.ndarray, places: list[np.ndarray], n: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, ...]:
+    """log10 of what the tree's nodes say of each row and whether the root's value is to be added; and for the next length, whose factors are not known yet, the places, probabilities and those below of what its nodes keep."""
+    value, open_ = np.zeros(len(word)), np.ones(len(word), bool)
+    for length, times in enumerate(tree.times):
+        at = np.flatnonzero(places[length] >= 0)
+        place = places[length][at]
+        _, first, of = np.unique(place * (int(word.max(initial=0)) + 1) + word[at], return_index=True, return_inverse=True)
+        count, where, owner = np.bincount(of, n[at], len(first)), at[first], place[first]
+        below = 10 ** (value[where] + np.where(open_[where], root[where], 0.0))
+        keep = _own(count, times[owner], below, tree.cost)
+        p = (count - DISCOUNT) / times[owner]
+        if length == len(tree.levels):
+            return value, open_, owner[keep], p[keep], below[keep]
+        value[at] = np.where(keep[of], np.log10(np.maximum(p, 1e-12))[of], value[at] + tree.levels[length].rest[place])
+        open_[at] &= ~keep[of]
+    return value, open_
+
+
+def _others_take(sent):
+    """For the next length of the tree: by place of a context, what words that are no symbols take, and have below it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = sent.value
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                _, _, word, _, places, n, root = _read_others(tree, raw)
+                *_, owner, p, below = _levels_of_others(tree, word, places, n, root)
+                some, of = np.unique(owner, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(np.bincount(of, p, len(some)).astype(float)), pa.array(np.bincount(of, below, len(some)).astype(float))], names=["place", "own", "given"])
+
+    return run
+
+
+#: Head of the rows that tell a range of contexts what broadcast contexts keep of words that are no symbols.
+_TOLD = b"told"
+
+
+def _tell(ranges: int, deep: int, sent):
+    """Of words that are no symbols: what broadcast contexts say of them where they keep them, and the root's value of words outside the table, packed by range of contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: Tree = sent.value
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                words, outside, word, key, places, n, root = _read_others(tree, raw)
+                value, open_ = _levels_of_others(tree, word, places, n, root)[:2]
+                x = np.flatnonzero(~open_ | outside[word])
+                to = (((key[x] >> _U(32)) * _U(deep)) >> _U(32)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                x, to = x[order], to[order]
+                cut = np.flatnonzero(np.diff(to, prepend=-1))
+                data = []
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(to)][: len(cut)], strict=True):
+                    y = x[a:b]
+                    data.append(_packed(np.array([b - a]), *map(_planes, (key[y], words[word[y]], value[y], root[y], open_[y].astype(np.uint8)))))
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut] + ranges), pa.array(np.full(len(cut), -1)), pa.array([_TOLD] * len(cut), pa.binary()), pa.array(data, pa.binary())], names=["range", "block", "head", "data"])
+
+    return run
 
 
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -491,9 +636,18 @@ def _codes(tree: Tree, t: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keys(tree: Tree, t: np.ndarray, counts: np.ndarray, histories: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens that have a context outside the broadcast tree, the hash of the shortest one, the codes of the tokens, and those of the words that the two longer contexts add (0 for none)."""
-    number, _, one, _, pair, third = histories
+def _key_mask(deep: int) -> np.uint64:
+    """Bits of a context's hash that it goes by."""
+    return _U((1 << 64) - (1 << max(0, 64 - RANGE_BITS - int(deep).bit_length())))
+
+
+def _keys(tree: Tree, t: np.ndarray, counts: np.ndarray, histories: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Tokens that have a context outside the broadcast tree, the hash of the shortest one, the codes of the tokens, those of the words that the two longer contexts add (0 for none), and 0.
+
+    Where all contexts are broadcast, words that are no symbols are sent too, for what
+    those contexts keep of them: by a hash of contexts and word, and with 2 for 0.
+    """
+    number, now, one, _, pair, third = histories
     code = _codes(tree, t, number)
     code_of_end = _codes(tree, np.array([END]), _numbers(np.array([END]), tree.words))[0]
     with np.errstate(over="ignore"):
@@ -509,13 +663,16 @@ def _keys(tree: Tree, t: np.ndarray, counts: np.ndarray, histories: tuple[np.nda
     start = np.where(one < 0, 1, np.where(~tree.often[one] if len(tree.often) else True, 1, np.where(pair < 0, 2, np.where(third < 0, 3, 4))))
     key = np.choose(start - 1, [c1, c2, c3, np.zeros(len(t), np.uint64)])
     first, second = np.where(start == 1, d2, np.where(start == 2, d3, 0)).astype(np.uint32), np.where(start == 1, d3, 0).astype(np.uint32)
+    alone = (key == 0) & (now < 0) & tree.after_often(one)
+    with np.errstate(over="ignore"):
+        key = np.where(alone, mix64((np.where(h3 != 0, c3, np.where(h2 != 0, c2, c1)) ^ t) * _STEP), key)
     at = np.flatnonzero(key != 0)
-    return at, key[at], code[at], first[at], second[at]
+    return at, key[at], code[at], np.where(alone, 0, first)[at].astype(np.uint32), np.where(alone, 0, second)[at].astype(np.uint32), np.where(alone, 2, 0)[at].astype(np.uint8)
 
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of equal weight side by side, which compress better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
 def _unplaned(raw: bytes, kind, n: int, at: int) -> np.ndarray:
@@ -532,7 +689,7 @@ def _unpacked(raw: bytes) -> bytes:
     return pa.decompress(raw[8:], int(np.frombuffer(raw, np.int64, 1)[0]), "zstd", asbytes=True)
 
 
-def _level(context: np.ndarray, symbol: np.ndarray, learns: np.ndarray, value: np.ndarray, open_: np.ndarray, root: np.ndarray, exact: np.ndarray, cost: float) -> None:
+def _level(context: np.ndarray, symbol: np.ndarray, learns: np.ndarray, value: np.ndarray, open_: np.ndarray, root: np.ndarray, cost: float) -> None:
     """Adds the nodes of one length to value and open_ (whether the root's value is to be added); contexts and symbols are numbered, -1 is none."""
     at = np.flatnonzero(context >= 0)
     if not len(at):
@@ -544,12 +701,9 @@ def _level(context: np.ndarray, symbol: np.ndarray, learns: np.ndarray, value: n
     total = np.bincount(owner, weights=n)
     where = at[first]
     below = 10 ** (value[where] + np.where(open_[where], root[where], 0.0))
-    gain = n * np.log(np.maximum(n, 1e-9) / (np.maximum(total[owner], 1) * below))
-    keep = (n >= LEAST_DEEP) & (gain > cost)
+    keep = _own(n, total[owner], below, cost)
     p = (n - DISCOUNT) / np.maximum(total[owner], 1)
-    kept = np.bincount(owner, weights=np.where(keep, p, 0.0))
-    given = np.bincount(owner, weights=np.where(keep & (exact[where] | ~open_[where]), below, 0.0))
-    rest = np.where(kept > 0, np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1e-12, 1 - given)), 0.0)
+    rest = _rest(*(np.bincount(owner, weights=np.where(keep, x, 0.0)) for x in (p, below)))
     value[at] = np.where(keep[of], np.log10(np.maximum(p, 1e-12))[of], value[at] + rest[c])
     open_[at] &= ~keep[of]
 
@@ -558,6 +712,10 @@ def _contexts(rows: pd.DataFrame, ranges: int, sent) -> pd.DataFrame:
     """For each block: what contexts of this range change in each text (kind 2), and the words they settle by range of hash values (kind 4)."""
     tree: Tree = sent.value
     parts = []
+    told = [_unpacked(raw) for raw in rows.loc[rows["head"] == _TOLD, "data"]]
+    rows = rows[rows["head"] != _TOLD]
+    if rows.empty:
+        return pd.DataFrame({"range": [], "block": [], "kind": [], "v": [], "n": [], "data": []})
     for raw in rows["data"]:
         raw = _unpacked(raw)
         g, k, e, v = np.frombuffer(raw, np.int64, 4).tolist()
@@ -578,19 +736,34 @@ def _contexts(rows: pd.DataFrame, ranges: int, sent) -> pd.DataFrame:
     keys, key = np.unique(key, return_inverse=True)
     words, word = np.unique(word, return_inverse=True)
     number = _numbers(words, tree.words)
-    exact = np.where(number >= 0, tree.member[number], False) if len(tree.words) else np.zeros(len(words), bool)
-    root = np.full(len(words), tree.outside)
-    root[exact] = tree.word_root[number[exact]]
+    root = tree.root_of(np.zeros(len(words)))
+    root[number >= 0] = tree.word_root[number[number >= 0]]
+    now, still = had.copy(), was_open & 1
+    group = key * len(words) + word
+    for raw in told:
+        k = int(np.frombuffer(raw, np.int64, 1)[0])
+        a, got = 8, []
+        for kind in (np.uint64, np.uint64, float, float, np.uint8):
+            got.append(_unplaned(raw, kind, k, a))
+            a += got[-1].nbytes
+        x, y = _numbers(got[0], keys), _numbers(got[1], words)
+        outside = (y >= 0) & (number[y] < 0)
+        root[y[outside]] = got[3][outside]
+        x = np.where((x >= 0) & (y >= 0), x * len(words) + y, -1)
+        order = np.argsort(x)
+        found = _numbers(group, x[order])
+        at = np.flatnonzero(found >= 0)
+        now[at], still[at] = got[2][order[found[at]]], got[4][order[found[at]]]
     log_learnt = np.zeros(len(words))
     log_learnt[number >= 0] = np.log10(np.maximum(tree.learnt[number[number >= 0]], 1))
     symbol, context = np.repeat(word, n), np.repeat(key, n)
-    value, open_, learns = np.repeat(had, n), np.repeat(was_open > 0, n), (doc & 1).astype(float)
-    before, was = value.copy(), open_.copy()
-    _level(context, symbol, learns, value, open_, root[symbol], exact[symbol], tree.cost)
+    before, was, learns = np.repeat(had, n), np.repeat((was_open & 1) > 0, n), (doc & 1).astype(float)
+    value, open_ = np.repeat(now, n), np.repeat(still > 0, n)
+    _level(np.where(np.repeat(was_open, n) > 1, -1, context), symbol, learns, value, open_, root[symbol], tree.cost)
     longer = context
     for mark in (d1, d2):  # a longer context is one more word before the shorter one
         _, longer = np.unique((longer.astype(np.uint64) << _U(32)) | mark, return_inverse=True)
-        _level(np.where(mark > 0, longer, -1), symbol, learns, value, open_, root[symbol], exact[symbol], tree.cost)
+        _level(np.where(mark > 0, longer, -1), symbol, learns, value, open_, root[symbol], tree.cost)
     out = {"range": [], "block": [], "kind": [], "v": [], "n": [], "data": []}
 
     def add(range_, block, kind, data):
@@ -647,7 +820,7 @@ def _send(ranges: int, deep: int, sent):
         texts: list[np.ndarray] = []  # words of each text that are sent
         own: list[np.ndarray] = []  # what symbols add to each text: log10 for base and root, known, known and unknown left to the root
         places: list[tuple] = []
-        kept = _U((1 << 64) - (1 << max(0, 64 - RANGE_BITS - int(deep).bit_length())))
+        kept = _key_mask(deep)
 
         def send_contexts(rows, learns):
             columns = [list(x) for x in zip(*places, strict=True)]
@@ -679,7 +852,7 @@ def _send(ranges: int, deep: int, sent):
                 rows["block"].append(block)
                 rows["head"].append(b"")
                 had, which = np.unique(value[c], return_inverse=True)
-                planes = map(_planes, (had, np.diff(key[c], prepend=_U(0)), np.diff(own, prepend=np.uint32(0)), which.astype(np.uint32), n[a:b], open_[c].astype(np.uint8), first[x:y], second[x:y], doc[x:y]))
+                planes = map(_planes, (had, np.diff(key[c], prepend=_U(0)), np.diff(own, prepend=np.uint32(0)), which.astype(np.uint32), n[a:b], open_[c], first[x:y], second[x:y], doc[x:y]))
                 rows["data"].append(_packed(np.array([b - a, y - x, len(others), len(had)]), others, *planes))
 
         def flush():
@@ -733,9 +906,9 @@ def _send(ranges: int, deep: int, sent):
                 sizes.append(counts - 1)
                 read.append(np.add.reduceat(value, last + 1 - counts))
                 ends.append(~settled[last])
-                at, key, code, first, second = _keys(tree, t, counts, histories)
+                at, key, code, first, second, alone = _keys(tree, t, counts, histories)
                 per = np.diff(np.searchsorted(at, np.concatenate(([0], last + 1))))
-                places.append((key, t[at], code, value[at], ~settled[at], first, second, per))
+                places.append((key, t[at], code, value[at], alone | ~settled[at], first, second, per))
             if sum(int(x.sum()) for x in sizes) >= FLUSH or len(ids) > 30_000:
                 yield flush()
                 block, held = block + 1, []
@@ -822,19 +995,20 @@ def _join(v: int, n: int, ends: int, unknown: float):
     return run
 
 
+_SENT = "range long, block long, head binary, data binary"
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tree, _ = learn(docs)
-    facts = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum((~held_out()).cast("long")).alias("learns")).first()
-    ends = facts["learns"] or 0
-    ranges = max(RANGES, int((facts["bytes"] or 0) / 6 / RANGE_WORDS) + 1)
-    deep = max(RANGES, int((facts["bytes"] or 0) / 6 / RANGE_CONTEXTS) + 1)
+    tree, others, ranges, deep = grow(docs)
+    ends = docs.agg(F.sum((~held_out()).cast("long")).alias("learns")).first()["learns"] or 0
     shared = spark.sparkContext.broadcast(tree)
-    sent = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_send(ranges, deep, shared), "range long, block long, head binary, data binary")
+    sent = docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_send(ranges, deep, shared), _SENT).union(others.mapInArrow(_tell(ranges, deep, shared), _SENT))
     sums = materialize(sent.groupBy("range").applyInPandas(_first(ranges, shared), "range long, block long, kind int, v long, n long, data binary"), "sums")
+    discard(others)
     total = sums.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     learnt = tree.learnt[tree.words != END]
     v, n = (total["v"] or 0) + int(np.count_nonzero(learnt)) + (ends > 0), (total["n"] or 0) + int(learnt.sum()) + ends

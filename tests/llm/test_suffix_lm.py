@@ -1,7 +1,9 @@
 """The language model learns from learning texts only."""
 
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -45,3 +47,58 @@ def test_no_learning_row(spark):
     held = [i for i in range(100) if is_held(i)][:3]
     got = suffix_lm.score(spark.createDataFrame([(i, "a b a") for i in held], "doc_id long, text string")).collect()
     assert len(got) == 3 and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 for r in got)
+
+
+def brute(rows):
+    """Scores by one dictionary of all contexts of up to three tokens."""
+    cut = {i: [*t.split(), None] for i, t in rows}  # None: the end, which also stands before a text
+    steps = {i: [([None, *w][max(0, k + 1 - d) : k + 1] if d <= k + 1 else None, x) for k, x in enumerate(w) for d in (1, 2, 3)] for i, w in cut.items()}
+    learns = [i for i in cut if not is_held(i)]
+    count = Counter(x for i in learns for x in cut[i])
+    total = sum(count.values())
+    unknown = min(0.5, (sum(n == 1 for x, n in count.items() if x is not None) + 1) / (total + 2))
+    after = defaultdict(Counter)
+    for i in learns:
+        for c, x in steps[i]:
+            if c is not None:
+                after[tuple(c)][x] += 1
+    root = {x: n / total * (1 - unknown) for x, n in count.items()}
+    nodes = {}
+
+    def value(context, x):
+        below = value(context[1:], x) if context else root.get(x, unknown)
+        if context not in nodes:
+            return below
+        kept, factor = nodes[context]
+        return kept[x] if x in kept else factor * below
+
+    for context in sorted(after, key=len):
+        n = sum(after[context].values())
+        below = {x: value(context[1:], x) for x in after[context]}
+        kept = {x: (k - 0.75) / n for x, k in after[context].items() if k >= 2 and k * math.log(k / (n * below[x])) > 0.5 * math.log(total)}
+        if kept:
+            nodes[context] = kept, (1 - sum(kept.values())) / (1 - sum(below[x] for x in kept))
+    return {i: sum(math.log10(value(tuple([None, *w][max(0, k - 2) : k + 1]), x)) for k, x in enumerate(w)) for i, w in cut.items()}
+
+
+@pytest.mark.parametrize("table,share", [(1_000_000, 5e-4), (40, 5e-4), (1_000_000, 0.02), (40, 0.02), (1_000_000, 0.9)])
+def test_one_rule_for_all_contexts(spark, monkeypatch, table, share):
+    """What is broadcast changes no score: frequent contexts keep rare words, in and outside the table."""
+    monkeypatch.setattr(suffix_lm, "TABLE", table)
+    monkeypatch.setattr(suffix_lm, "LEAST_SHARE", share)
+    rnd = random.Random(15)
+    vocabulary = [f"w{int(rnd.paretovariate(0.8))}" for _ in range(3000)]
+    passage = [f"p{i}" for i in range(12)]
+    rows = [(i, " ".join([f"first{i % 50}"] + [rnd.choice(vocabulary) for _ in range(50)] + (["w1", "hub", f"raro{i % 10}", *passage[i % 9 :][:5]] if i % 3 == 0 else ["hub", "w2"]))) for i in range(400)]
+    rows += [(i, "w1 hub raro3 w2 hub new raro3 p1 p2 p3 w7") for i in range(5000, 5100) if is_held(i)]
+    got = {r.doc_id: r.score for r in suffix_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pytest.approx(brute(rows), abs=1e-6)
+
+
+def test_a_frequent_context_keeps_a_rare_word(spark):
+    """A tenth of what follows hub is raro, which has less than 1 / 8000 of all tokens."""
+    learnt = [i for i in range(1000) if not is_held(i)][:400]
+    rows = [(i, " ".join(f"f{k}x{j}" for j in range(900)) + (" hub raro" if k % 10 == 0 else f" hub other{k}")) for k, i in enumerate(learnt)]
+    held = [i for i in range(5000, 5100) if is_held(i)][:2]
+    got = scores(spark, [*rows, (held[0], "hub raro"), (held[1], "raro hub")])
+    assert got[held[0]][0] - got[held[1]][0] > 3
