@@ -329,6 +329,13 @@ class Tree:
         own, given = np.bincount(c, p, len(times)) + others[0], np.bincount(c, below, len(times)) + others[1]
         self.levels.append(Level(lower, times, _rest(own, given), key, np.log10(p)))
 
+    def factors(self) -> list[np.ndarray]:
+        """log10, by length and place, of what a context and its suffixes leave to the root for words that they do not keep."""
+        out = [self.levels[0].rest]
+        for of in self.levels[1:]:
+            out.append(out[-1][of.lower] + of.rest)
+        return out
+
     @property
     def rest1(self) -> np.ndarray:
         return self.levels[0].rest
@@ -389,7 +396,7 @@ def grow(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
 
     def summed(count) -> DataFrame:
         part = texts.mapInArrow(count, schema).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-        return materialize(part.where((F.col("n") >= LEAST_DEEP) | (F.col("kind") == 1)), "contexts")
+        return materialize(part.where((F.col("n") >= LEAST_DEEP) | (F.col("kind") == 1)), "contexts", "zstd")
 
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(RANGES, int(size / 6 / RANGE_WORDS) + 1)
@@ -490,11 +497,12 @@ def _others(ranges: int, deep: int, sent):
             for first, t, counts in tokens(batch.column(1)):
                 histories = tree.histories(t, counts)
                 number, now, one, _, pair, third = histories
-                at, key, *_ = _keys(tree, t, counts, histories)
+                _, key, _ = _shortest(tree, t, counts, histories)
                 after = tree.after_often(one)
                 # of words with fewer counts nothing is kept
-                other = np.where(number < 0, True, after & (now < 0) & (tree.learnt[number] >= LEAST_DEEP if len(tree.learnt) else False))[at]
-                at, key = at[other], key[other]
+                other = np.where(number < 0, True, after & (now < 0) & (tree.learnt[number] >= LEAST_DEEP if len(tree.learnt) else False))
+                at = np.flatnonzero(other & (key != 0))
+                key = key[at]
                 places = (np.array([np.where(after[at], one[at], -1), pair[at], third[at]]) + 1).astype(np.uint16)
                 held.append((t[at], key, places, np.repeat(learns[first : first + len(counts)], counts)[at].astype(np.int32)))
                 size += len(at)
@@ -544,7 +552,7 @@ def _summed_others(sent):
 
 
 def _read_others(tree: Tree, raw: bytes) -> tuple:
-    """words, whether they are outside the table, word of each row, its key, places (-1 is none), times, the root's value."""
+    """words, whether they are outside the table, their counts, word of each row, its key, places (-1 is none), times, the root's value."""
     raw = _unpacked(raw)
     w, k = np.frombuffer(raw, np.int64, 2).tolist()
     a, got = 16, []
@@ -552,25 +560,27 @@ def _read_others(tree: Tree, raw: bytes) -> tuple:
         got.append(_unplaned(raw, kind, size, a))
         a += got[-1].nbytes
     word = got[3].astype(np.int64)
-    return got[0], got[2] > 0, word, got[4], [x.astype(np.int64) - 1 for x in got[5:8]], got[8], tree.root_of(got[1])[word]
+    return got[0], got[2] > 0, got[1], word, got[4], [x.astype(np.int64) - 1 for x in got[5:8]], got[8], tree.root_of(got[1])[word]
 
 
 def _levels_of_others(tree: Tree, word: np.ndarray, places: list[np.ndarray], n: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, ...]:
-    """log10 of what the tree's nodes say of each row and whether the root's value is to be added; and for the next length, whose factors are not known yet, the places, probabilities and those below of what its nodes keep."""
-    value, open_ = np.zeros(len(word)), np.ones(len(word), bool)
+    """The longest node that keeps each row's word, numbered over all lengths, or -1, and how often the word follows it; and for the next length, whose factors are not known yet, the places, probabilities and those below of what its nodes keep."""
+    value, node, times_of, before = root.copy(), np.full(len(word), -1), np.zeros(len(word), np.int64), 0
     for length, times in enumerate(tree.times):
         at = np.flatnonzero(places[length] >= 0)
         place = places[length][at]
         _, first, of = np.unique(place * (int(word.max(initial=0)) + 1) + word[at], return_index=True, return_inverse=True)
         count, where, owner = np.bincount(of, n[at], len(first)), at[first], place[first]
-        below = 10 ** (value[where] + np.where(open_[where], root[where], 0.0))
+        below = 10 ** value[where]
         keep = _own(count, times[owner], below, tree.cost)
         p = (count - DISCOUNT) / times[owner]
         if length == len(tree.levels):
-            return value, open_, owner[keep], p[keep], below[keep]
+            return node, times_of, owner[keep], p[keep], below[keep]
         value[at] = np.where(keep[of], np.log10(np.maximum(p, 1e-12))[of], value[at] + tree.levels[length].rest[place])
-        open_[at] &= ~keep[of]
-    return value, open_
+        hit = at[keep[of]]
+        node[hit], times_of[hit] = places[length][hit] + before, count[of[keep[of]]]
+        before += len(times)
+    return node, times_of
 
 
 def _others_take(sent):
@@ -580,7 +590,7 @@ def _others_take(sent):
         tree: Tree = sent.value
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                _, _, word, _, places, n, root = _read_others(tree, raw)
+                _, _, _, word, _, places, n, root = _read_others(tree, raw)
                 *_, owner, p, below = _levels_of_others(tree, word, places, n, root)
                 some, of = np.unique(owner, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(np.bincount(of, p, len(some)).astype(float)), pa.array(np.bincount(of, below, len(some)).astype(float))], names=["place", "own", "given"])
@@ -599,9 +609,10 @@ def _tell(ranges: int, deep: int, sent):
         tree: Tree = sent.value
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                words, outside, word, key, places, n, root = _read_others(tree, raw)
-                value, open_ = _levels_of_others(tree, word, places, n, root)[:2]
-                x = np.flatnonzero(~open_ | outside[word])
+                words, outside, learnt, word, key, places, n, root = _read_others(tree, raw)
+                node, times = _levels_of_others(tree, word, places, n, root)[:2]
+                # a root's value is asked for only where the word is repeated
+                x = np.flatnonzero((node >= 0) | (outside[word] & (n >= LEAST_DEEP)))
                 to = (((key[x] >> _U(32)) * _U(deep)) >> _U(32)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 x, to = x[order], to[order]
@@ -609,7 +620,14 @@ def _tell(ranges: int, deep: int, sent):
                 data = []
                 for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(to)][: len(cut)], strict=True):
                     y = x[a:b]
-                    data.append(_packed(np.array([b - a]), *map(_planes, (key[y], words[word[y]], value[y], root[y], open_[y].astype(np.uint8)))))
+                    kept = y[node[y] >= 0]
+                    kept = kept[np.argsort(key[kept], kind="stable")]
+                    some, code = np.unique(word[kept], return_inverse=True)
+                    far, number = outside[some], _numbers(words[some], tree.words)
+                    names = np.where(far, _OUTSIDE + np.cumsum(far) - 1, tree.rank[number] + 1 if len(tree.rank) else 0).astype(np.uint32)
+                    asked = np.unique(word[y][outside[word[y]]])
+                    planes = map(_planes, (words[some[far]], np.diff(key[kept], prepend=_U(0)), names[code], node[kept].astype(np.uint16), times[kept].astype(np.int32), words[asked], learnt[asked]))
+                    data.append(_packed(np.array([np.count_nonzero(far), len(kept), len(asked)]), *planes))
                 yield pa.RecordBatch.from_arrays([pa.array(to[cut] + ranges), pa.array(np.full(len(cut), -1)), pa.array([_TOLD] * len(cut), pa.binary()), pa.array(data, pa.binary())], names=["range", "block", "head", "data"])
 
     return run
@@ -641,31 +659,39 @@ def _key_mask(deep: int) -> np.uint64:
     return _U((1 << 64) - (1 << max(0, 64 - RANGE_BITS - int(deep).bit_length())))
 
 
+def _shortest(tree: Tree, t: np.ndarray, counts: np.ndarray, histories: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token the length of its shortest context that is not broadcast, the key it is sent by (0: it is not sent), and whether that stands for contexts that all are broadcast."""
+    _, now, one, _, pair, third = histories
+    with np.errstate(over="ignore"):
+        h1 = _shifted(t, counts, END)
+        h2 = _shifted(h1, counts, _U(0))
+        h3 = _shifted(h2, counts, _U(0))
+        c1 = mix64(h1 * _STEP)
+        c2 = np.where(h2 != 0, mix64((c1 ^ h2) * _STEP), _U(0))
+        c3 = np.where(h3 != 0, mix64((c2 ^ h3) * _STEP), _U(0))
+    after = tree.after_often(one)
+    start = np.where(~after, 1, np.where(pair < 0, 2, np.where(third < 0, 3, 4)))
+    key = np.choose(start - 1, [c1, c2, c3, np.zeros(len(t), np.uint64)])
+    alone = (key == 0) & (now < 0) & after
+    with np.errstate(over="ignore"):
+        key[alone] = mix64((np.where(h3 != 0, c3, np.where(h2 != 0, c2, c1))[alone] ^ t[alone]) * _STEP)
+    return start, key, alone
+
+
 def _keys(tree: Tree, t: np.ndarray, counts: np.ndarray, histories: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     """Tokens that have a context outside the broadcast tree, the hash of the shortest one, the codes of the tokens, those of the words that the two longer contexts add (0 for none), and 0.
 
     Where all contexts are broadcast, words that are no symbols are sent too, for what
     those contexts keep of them: by a hash of contexts and word, and with 2 for 0.
     """
-    number, now, one, _, pair, third = histories
+    number = histories[0]
     code = _codes(tree, t, number)
     code_of_end = _codes(tree, np.array([END]), _numbers(np.array([END]), tree.words))[0]
-    with np.errstate(over="ignore"):
-        h1 = _shifted(t, counts, END)
-        h2 = _shifted(h1, counts, _U(0))
-        h3 = _shifted(h2, counts, _U(0))
-        c1 = mix64(h1 * _STEP)
-        c2 = np.where(h2 != 0, mix64((c1 ^ h2) * _STEP), _U(0))
-        c3 = np.where(h3 != 0, mix64((c2 ^ h3) * _STEP), _U(0))
     d1 = _shifted(code, counts, code_of_end)
     d2 = _shifted(d1, counts, np.uint32(0))
     d3 = _shifted(d2, counts, np.uint32(0))
-    start = np.where(one < 0, 1, np.where(~tree.often[one] if len(tree.often) else True, 1, np.where(pair < 0, 2, np.where(third < 0, 3, 4))))
-    key = np.choose(start - 1, [c1, c2, c3, np.zeros(len(t), np.uint64)])
+    start, key, alone = _shortest(tree, t, counts, histories)
     first, second = np.where(start == 1, d2, np.where(start == 2, d3, 0)).astype(np.uint32), np.where(start == 1, d3, 0).astype(np.uint32)
-    alone = (key == 0) & (now < 0) & tree.after_often(one)
-    with np.errstate(over="ignore"):
-        key = np.where(alone, mix64((np.where(h3 != 0, c3, np.where(h2 != 0, c2, c1)) ^ t) * _STEP), key)
     at = np.flatnonzero(key != 0)
     return at, key[at], code[at], np.where(alone, 0, first)[at].astype(np.uint32), np.where(alone, 0, second)[at].astype(np.uint32), np.where(alone, 2, 0)[at].astype(np.uint8)
 
@@ -739,21 +765,26 @@ def _contexts(rows: pd.DataFrame, ranges: int, sent) -> pd.DataFrame:
     root = tree.root_of(np.zeros(len(words)))
     root[number >= 0] = tree.word_root[number[number >= 0]]
     now, still = had.copy(), was_open & 1
+    # of all broadcast contexts, numbered over their lengths: times, and what had already counts of them and their suffixes
+    times_of, factor = np.concatenate(tree.times), np.concatenate(tree.factors()) if told else None
     group = key * len(words) + word
     for raw in told:
-        k = int(np.frombuffer(raw, np.int64, 1)[0])
-        a, got = 8, []
-        for kind in (np.uint64, np.uint64, float, float, np.uint8):
-            got.append(_unplaned(raw, kind, k, a))
+        f, k, w = np.frombuffer(raw, np.int64, 3).tolist()
+        a, got = 24, []
+        for kind, size in ((np.uint64, f), (np.uint64, k), (np.uint32, k), (np.uint16, k), (np.int32, k), (np.uint64, w), (np.int64, w)):
+            got.append(_unplaned(raw, kind, size, a))
             a += got[-1].nbytes
-        x, y = _numbers(got[0], keys), _numbers(got[1], words)
-        outside = (y >= 0) & (number[y] < 0)
-        root[y[outside]] = got[3][outside]
+        far, code, node, asked = got[2] >= _OUTSIDE, got[2], got[3].astype(np.int64), _numbers(got[5], words)
+        name = np.zeros(k, np.uint64)
+        name[far], name[~far] = got[0][code[far] - _OUTSIDE], tree.words[tree.by_rank[code[~far] - np.uint32(1)]]
+        x, y = _numbers(np.cumsum(got[1], dtype=np.uint64), keys), _numbers(name, words)
         x = np.where((x >= 0) & (y >= 0), x * len(words) + y, -1)
         order = np.argsort(x)
         found = _numbers(group, x[order])
         at = np.flatnonzero(found >= 0)
-        now[at], still[at] = got[2][order[found[at]]], got[4][order[found[at]]]
+        node, count = node[order[found[at]]], got[4][order[found[at]]]
+        now[at], still[at] = had[at] + np.log10((count - DISCOUNT) / times_of[node]) - factor[node], 0
+        root[asked[asked >= 0]] = tree.root_of(got[6][asked >= 0])
     log_learnt = np.zeros(len(words))
     log_learnt[number >= 0] = np.log10(np.maximum(tree.learnt[number[number >= 0]], 1))
     symbol, context = np.repeat(word, n), np.repeat(key, n)
