@@ -31,7 +31,9 @@ encode; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -44,11 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import giving_back, on_other_work, small_batches
 
 MARK = "▁"
 #: Words in a worker's cache, and pieces whose neighbours it remembers.
 WORDS, NEIGHBOURS = 400_000, 400_000
+#: Longest word, in characters, that is merged without a heap.
+SHORT = 48
 #: Longest word, in characters, that the cache takes.
 CACHED_CHARS = 40
 #: What the library takes off the least score for a character without a piece.
@@ -127,12 +131,16 @@ class Pieces:
         self.bytes_of = np.frombuffer(b"".join(raw_of), np.uint8)
         self.size_of = np.array([len(x) for x in raw_of], np.int64)
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN
-        # lengths of the pieces that end in these two characters, longest first
+        # lengths of the pieces that end in these two or three characters, longest first
         ends: dict[str, set[int]] = {}
         for p in self.ids:
-            if len(p) > 1:
-                ends.setdefault(p[-2:], {1}).add(len(p))
-        self.sizes = {x: tuple(sorted(n, reverse=True)) for x, n in ends.items()}
+            for k in (2, 3):
+                if len(p) >= k:
+                    ends.setdefault(p[-k:], {1}).add(len(p))
+        for x, n in ends.items():
+            if len(x) == 3 and x[1:] in self.ids:
+                n.add(2)
+        self.sizes = {x: tuple(sorted((k for k in n if len(x) == 3 or k < 3), reverse=True)) for x, n in ends.items()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.neighbours: dict[str, dict[str, bool]] = {}
@@ -140,6 +148,8 @@ class Pieces:
 
     def merge(self, word: str) -> list[str]:
         """Pieces by merging neighbours, best score first and leftmost of equals; the rule that defines the model."""
+        if len(word) <= SHORT:
+            return self._merge_short(word, -1) or []
         parts: list[str | None] = list(word)
         before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
         heap: list[tuple[float, int, str]] = []
@@ -167,9 +177,33 @@ class Pieces:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
+    def _merge_short(self, word: str, apart: int) -> list[str] | None:
+        """merge of a short word, without a heap; None as soon as pieces are merged across the position apart."""
+        score, parts = self.score.get, list(word)
+        best = [score(x + y, -math.inf) for x, y in zip(parts, parts[1:])]
+        while best:
+            top = max(best)
+            if top == -math.inf:
+                break
+            i = best.index(top)
+            if i == apart - 1:
+                return None
+            if i < apart - 1:
+                apart -= 1
+            parts[i] += parts.pop(i + 1)
+            del best[i]
+            if i < len(best):
+                best[i] = score(parts[i] + parts[i + 1], -math.inf)
+            if i:
+                best[i - 1] = score(parts[i - 1] + parts[i], -math.inf)
+        return parts
+
     def _beside(self, a: str, b: str) -> bool:
         """Whether the piece b stays apart from a when the two are merged; a is empty, or no piece, where b stands first."""
-        got = self.merge(a + b) == [a, b] if a in self.ids else self.merge(b) == [b]
+        if a not in self.ids:
+            got = self.merge(b) == [b]
+        else:
+            got = (self._merge_short(a + b, len(a)) if len(a) + len(b) <= SHORT else self.merge(a + b)) == [a, b]
         if self.known_neighbours >= NEIGHBOURS:  # the inner tables are cleared, as states in use hold on to them
             for of in self.neighbours.values():
                 of.clear()
@@ -190,7 +224,7 @@ class Pieces:
 
     def _bpe(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         out: dict[str, tuple[int, ...]] = {}
-        ids, sizes, neighbours, beside, alone = self.ids, self.sizes, self.neighbours, self._beside, (1,)
+        ids, sizes_of, neighbours, beside, alone = self.ids, self.sizes.get, self.neighbours, self._beside, (1,)
         # by characters read: the piece that ends the encoding up to there, and what is known of its neighbours
         last, known = [""], [neighbours.setdefault("", {})]
         previous = ""
@@ -207,16 +241,13 @@ class Pieces:
             for i in range(shared, len(word)):
                 # one piece at most can end the encoding here
                 end = i + 1
-                for n in sizes.get(word[i - 1 : end], alone) if i else alone:
+                for n in (i > 1 and sizes_of(word[i - 2 : end])) or sizes_of(word[i - 1 : end], alone) if i else alone:
                     start = end - n
                     if start >= 0:
                         piece = word[start:end]
-                        if piece in ids:
-                            fits = known[start].get(piece)
-                            if fits is None:
-                                fits = beside(last[start], piece)
-                            if fits:
-                                break
+                        fits = known[start].get(piece)
+                        if fits or fits is None and piece in ids and beside(last[start], piece):
+                            break
                 else:
                     piece = word[i]
                 last.append(piece)
@@ -236,7 +267,7 @@ class Pieces:
 
     def _unigram(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         out: dict[str, tuple[int, ...]] = {}
-        score, sizes, unknown, alone = self.score, self.sizes, self.unknown, (1,)
+        score, sizes_of, unknown, alone = self.score, self.sizes.get, self.unknown, (1,)
         best, last = [0.0], [""]  # by characters read: sum of scores, piece that ends the best path
         previous = ""
         for word in sorted(words):
@@ -248,7 +279,7 @@ class Pieces:
             del best[shared + 1 :], last[shared + 1 :]
             for i in range(shared, len(word)):
                 top, end = -np.inf, word[i]
-                for n in sizes.get(word[i - 1 : i + 1], alone) if i else alone:
+                for n in (i > 1 and sizes_of(word[i - 2 : i + 1])) or sizes_of(word[i - 1 : i + 1], alone) if i else alone:
                     start = i + 1 - n
                     if start < 0:
                         continue
@@ -282,19 +313,27 @@ class Pieces:
         new = [u for u, f in zip(units, out, strict=True) if f is None]
         words = [(u[2:],) if u.startswith(MARK) else _WORD.findall(MARK + u) for u in new]
         ids = self.encode_words(list(set(chain.from_iterable(words))))
-        made = {u: array("i", ids[w[0]] if len(w) == 1 else chain.from_iterable(map(ids.__getitem__, w))).tobytes() for u, w in zip(new, words, strict=True)}
-        for i, u in enumerate(units):
-            f = out[i]
-            if f is None:
-                f = out[i] = made[u]
+        packed = {w: array("i", n).tobytes() for w, n in ids.items()}
+        made = iter([packed[w[0]] if len(w) == 1 else b"".join([packed[x] for x in w]) for w in words])
+        out = [next(made) if f is None else f for f in out]
+        for u, f in zip(units, out, strict=True):
             if len(u) <= CACHED_CHARS:
-                if len(self.young) >= WORDS // 2:
-                    self.old, self.young = self.young, {}
-                self.young[u] = f
+                if len(young) >= WORDS // 2:
+                    self.old, self.young = young, (young := {})
+                young[u] = f
         return out
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of all texts in a row, their number and whether decoding gives it back, by text."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is circular, and each collection would walk the caches
+        try:
+            return self._encoded(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cut = [self._units(t) for t in texts]
         index = {u: i for i, u in enumerate(set(chain.from_iterable(cut)))}
         known = self._looked_up(list(index))
@@ -344,6 +383,7 @@ class Pieces:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
+    on_other_work("pieces", load.cache_clear)
     return Pieces(path)
 
 
@@ -368,7 +408,7 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
     schema = docs.schema
     for name, kind in (("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("round_trip", T.BooleanType())):
         schema = T.StructType([*schema.fields, T.StructField(name, kind)])
-    return docs.mapInArrow(_encode(path, docs.columns.index("text")), schema)
+    return docs.mapInArrow(giving_back(_encode(path, docs.columns.index("text")), "pieces"), schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

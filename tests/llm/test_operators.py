@@ -278,6 +278,20 @@ def test_pieces(docs, texts, nothing):
     assert pieces.encode(nothing, path).count() == 0
 
 
+def test_pieces_of_short_words_without_a_heap(monkeypatch):
+    """Both ways of merging agree, also where only pieces that stay apart are asked for."""
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rnd = random.Random(16)
+    names = [p for p in model.ids if len(p) < 20]
+    pairs = [(rnd.choice(names), rnd.choice(names)) for _ in range(3000)]
+    short = [model.merge(a + b) for a, b in pairs]
+    apart = [model._beside(a, b) for a, b in pairs]
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    assert [model.merge(a + b) for a, b in pairs] == short
+    assert apart == [s == [a, b] for (a, b), s in zip(pairs, short, strict=True)] == [model._beside(a, b) for a, b in pairs]
+    assert 0 < sum(apart) < len(apart)
+
+
 def test_language_id(spark):
     rnd = random.Random(7)
     sound = {"xa": ["ka", "ti", "mo"], "yb": ["shru", "gle", "ond"], "zc": ["éa", "où", "lle"]}
