@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_sets, small_batches
+from .common import giving_back, shingle_sets, small_batches
 
 #: Labelled rows to learn from, at most about.
 LEARN_ROWS = 12_000
@@ -322,7 +322,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     count, span = rated.count(), 1 << 30
     rated = rated.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(span)) < int(span * min(1.0, LEARN_ROWS / max(count, 1))))
     sample = docs.join(F.broadcast(rated), "doc_id").select("doc_id", "toxic", "text").where("text is not null")
-    words = sample.mapInArrow(_words, "doc_id long, toxic int, copies long, words array<string>")
+    words = sample.mapInArrow(giving_back(_words), "doc_id long, toxic int, copies long, words array<string>")
     one = words.groupBy("copies").agg(F.min_by(F.struct("toxic", "doc_id", "words"), "doc_id").alias("r")).select("r.*").persist()
     lexicon = Lexicon()
     try:
@@ -341,7 +341,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         good = per.where((F.col("a") >= LEARNT_TEXTS) & (odds >= LEARNT_ODDS)).withColumn("told", told).orderBy(F.desc("told"), "word").limit(CANDIDATES).collect()
         has = open_.where("toxic = 1").select(F.array_intersect("words", F.array(*[F.lit(r.word) for r in good])).alias("w")).collect() if good else []
         lexicon = Lexicon(frozenset(_cover([(r.word, r.b) for r in good], [set(r.w) for r in has], left[0])))
-        rows = sample.mapInArrow(_features(lexicon), "doc_id long, x array<double>").join(sample.select("doc_id", "toxic"), "doc_id").select("doc_id", "x", "toxic").collect()
+        rows = sample.mapInArrow(giving_back(_features(lexicon)), "doc_id long, x array<double>").join(sample.select("doc_id", "toxic"), "doc_id").select("doc_id", "x", "toxic").collect()
     finally:
         one.unpersist()
     rows = [r for r in rows if r.doc_id in kept]
@@ -365,7 +365,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     sent = spark.sparkContext.broadcast(learn(docs, labels))
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_score(sent), "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(giving_back(_score(sent)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -381,4 +381,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = model.score(batch.column(at).to_pylist()) < 0.5
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

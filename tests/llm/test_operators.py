@@ -292,6 +292,18 @@ def test_pieces_of_short_words_without_a_heap(monkeypatch):
     assert 0 < sum(apart) < len(apart)
 
 
+def test_other_work_drops_what_a_worker_keeps():
+    from tagloom.llm import common
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pieces.load(path)
+    model.encode_texts(["a few words"])
+    list(common.giving_back(lambda batches: batches, "pieces")(iter([])))
+    assert pieces.load(path) is model
+    list(common.giving_back(lambda batches: batches)(iter([])))
+    assert pieces.load(path) is not model
+
+
 def test_language_id(spark):
     rnd = random.Random(7)
     sound = {"xa": ["ka", "ti", "mo"], "yb": ["shru", "gle", "ond"], "zc": ["éa", "où", "lle"]}
