@@ -154,6 +154,46 @@ def _summed_words(kept: np.ndarray, least: int):
     return run
 
 
+class Places:
+    """Places in a sorted array of hashes, by a table over their leading bits: few of them share an entry, so most are found by one look."""
+
+    def __init__(self, known: np.ndarray):
+        bits = max(1, int(len(known)).bit_length() + 1)
+        self.known, self.shift = np.append(known, ~_U(0)), _U(64 - bits)
+        self.size, self.begin = len(known), np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def of(self, t: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 for others."""
+        if not self.size:
+            return np.full(len(t), -1, np.int64)
+        at = self.begin[t >> self.shift].astype(np.int64)
+        found = self.known[at]
+        left = np.flatnonzero(found < t)
+        at[found > t] = -1
+        while len(left):  # the next ones of the same entry
+            at[left] += 1
+            found = self.known[at[left]]
+            over, left = left[found > t[left]], left[found < t[left]]
+            at[over] = -1
+        at[at == self.size] = -1  # the guard at the end
+        return at
+
+
+def _order(key: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Order by key, and inside a key by the leading bits of code and first: two plain sorts where 21 bits number the keys."""
+    if len(key) >= 1 << 21:
+        return np.lexsort(((code.astype(np.uint64) << _U(32)) | first, key))
+    order = np.argsort(key)
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+
+    def short(x: np.ndarray) -> np.ndarray:
+        """22 bits of codes: ranks as they are, of marks made of a hash the leading bits."""
+        return np.minimum(np.where(x < _OUTSIDE, x, (x >> np.uint32(10)) & np.uint32((1 << 21) - 1) | np.uint32(1 << 21)), np.uint32((1 << 22) - 1)).astype(np.uint64)
+
+    return np.argsort((rank << _U(43)) | (short(code) << _U(21)) | (short(first) >> _U(1)))
+
+
 def _numbers(t: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Place of each token in the sorted array known, -1 for others."""
     if not len(known):
@@ -185,7 +225,7 @@ def _count(known: np.ndarray, pairs: np.ndarray | None, triples: np.ndarray | No
     """Counts of given words (kind 1) and their pairs (2), or of the symbols after given pairs (3), or after given triples (4)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(known)
+        m, places = len(known), Places(known)
         have: dict[int, tuple] = {}
         held: dict[int, list[np.ndarray]] = {}
         size = 0
@@ -198,7 +238,7 @@ def _count(known: np.ndarray, pairs: np.ndarray | None, triples: np.ndarray | No
 
         for batch in batches:
             for _, t, counts in tokens(batch.column(0)):
-                now, one, two = _histories(t, counts, known)
+                now, one, two = _histories(t, counts, known, places.of(t))
                 ok = (now >= 0) & (one >= 0)
                 if pairs is None:
                     held.setdefault(1, []).append(now[now >= 0])
@@ -259,7 +299,7 @@ class Tree:
 
     def set_table(self, words: np.ndarray, learnt: np.ndarray) -> None:
         """Words whose counts are broadcast, the symbols among them; no result depends on which they are."""
-        self.words, self.learnt = words, learnt
+        self.words, self.learnt, self.places = words, learnt, None
         self.by_rank = np.argsort(-learnt, kind="stable").astype(np.uint32)
         self.rank = np.zeros(len(words), np.uint32)
         self.rank[self.by_rank] = np.arange(len(words), dtype=np.uint32)
@@ -280,7 +320,9 @@ class Tree:
 
     def histories(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each token its number in the table, its number and the two before it among the symbols, and its contexts of two and three that are broadcast."""
-        number = _numbers(t, self.words)
+        if self.places is None:  # made where it is used, not sent
+            self.places = Places(self.words)
+        number = self.places.of(t)
         now, one, two = _histories(t, counts, self.known, self.symbol[number] if len(self.words) else None)
         return number, now, one, two, *self.contexts(two, one, counts)
 
@@ -708,7 +750,7 @@ def _unplaned(raw: bytes, kind, n: int, at: int) -> np.ndarray:
 
 def _packed(*arrays: np.ndarray | bytes) -> bytes:
     raw = b"".join(a if isinstance(a, bytes) else a.tobytes() for a in arrays)
-    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
 def _unpacked(raw: bytes) -> bytes:
@@ -866,7 +908,8 @@ def _send(ranges: int, deep: int, sent):
             key, word, code, first = column(0) & kept, column(1), column(2), column(5)
             if not len(key):
                 return
-            order = np.lexsort((first, word, code, key))
+            # words with the same code may take turns: what stands side by side is one row, so these are only more rows
+            order = _order(key, code, first)
             key, word, code, first = key[order], word[order], code[order], first[order]
             value, open_, second = column(3)[order], column(4)[order], column(6)[order]
             doc = (2 * np.repeat(np.arange(len(size)), size) + np.repeat(learns, size)).astype(np.uint16)[order]

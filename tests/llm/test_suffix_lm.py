@@ -5,8 +5,10 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from tagloom.functions import storage
 from tagloom.llm import suffix_lm
 
 
@@ -102,3 +104,29 @@ def test_a_frequent_context_keeps_a_rare_word(spark):
     held = [i for i in range(5000, 5100) if is_held(i)][:2]
     got = scores(spark, [*rows, (held[0], "hub raro"), (held[1], "raro hub")])
     assert got[held[0]][0] - got[held[1]][0] > 3
+
+
+def test_places_and_order():
+    """Hashes that share leading bits are found too, and rows of a key stand side by side."""
+    rnd = np.random.default_rng(16)
+    known = np.unique(np.concatenate([rnd.integers(0, 1 << 64, 5000, np.uint64), np.arange(40, dtype=np.uint64), np.arange(7, dtype=np.uint64) + np.uint64((1 << 64) - 7)]))
+    asked = np.concatenate([known, known + np.uint64(1), rnd.integers(0, 1 << 64, 5000, np.uint64)])
+    for k in (known, known[:1], known[:0]):
+        assert suffix_lm.Places(k).of(asked).tolist() == suffix_lm._numbers(asked, k).tolist()
+    key, code, first = rnd.integers(0, 50, 3000).astype(np.uint64) << np.uint64(40), rnd.integers(0, 1 << 32, 3000).astype(np.uint32), rnd.integers(0, 1 << 20, 3000).astype(np.uint32)
+    code[::2] %= 9
+    order = suffix_lm._order(key, code, first)
+    assert sorted(order.tolist()) == list(range(3000)) and (np.diff(key[order].astype(np.int64)) >= 0).all()
+    small = order[code[order] < 9]
+    assert (np.diff((key[small] >> np.uint64(36)).astype(np.int64) + code[small]) >= 0).all()
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """What a table was made of does not stay on disk until the driver collects its garbage."""
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: held.getAllFiles().size()
+    df = spark.range(10_000).selectExpr("id % 100 as a").groupBy("a").count()
+    before = files()
+    made = storage.materialize(df)
+    assert files() <= before and made.count() == 100
+    storage.discard(made)
