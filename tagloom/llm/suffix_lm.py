@@ -855,14 +855,14 @@ def _contexts(rows: pd.DataFrame, ranges: int, sent) -> pd.DataFrame:
         sent_known = settled[x] & ~ends & (number[symbol[x]] >= 0)
         root_known = np.where(sent_known, log_learnt[symbol[x]], 0.0)
         some, of = np.unique(text[x], return_inverse=True)
-        add(-1 - block, block, 2, _packed(some.astype(np.int32), np.bincount(of, weights=change[x] - root_known), *(np.bincount(of, weights=w).astype(np.int32) for w in (ends, sent_known))))
+        add(-1 - block, block, 2, _packed(*map(_planes, (np.diff(some, prepend=0).astype(np.int32), np.bincount(of, weights=change[x] - root_known), *(np.bincount(of, weights=w).astype(np.int32) for w in (ends, sent_known))))))
         x = x[settled[x] & ~ends & ~sent_known]
         x = x[np.argsort(symbol[x], kind="stable")]
         to = of_word[symbol[x]]
         cut = np.flatnonzero(np.diff(to, prepend=-1))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(x)][: len(cut)], strict=True):
             used, m = np.unique(symbol[x[a:b]], return_counts=True)
-            add(int(to[a]), block, 4, _packed(np.array([len(used)]), words[used], m.astype(np.int32), text[x[a:b]].astype(np.uint16)))
+            add(int(to[a]), block, 4, _packed(np.array([len(used)]), *map(_planes, (np.diff(words[used], prepend=_U(0)), m.astype(np.int32), text[x[a:b]].astype(np.uint16)))))
     return pd.DataFrame(out).astype({"range": "int64", "block": "int64", "kind": "int32", "v": "int64", "n": "int64"})
 
 
@@ -875,10 +875,11 @@ def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
     for raw in rows["data"]:
         raw = _unpacked(raw)
         k = int(np.frombuffer(raw, np.int64, 1)[0])
-        h, m, doc = np.frombuffer(raw, np.uint64, k, 8), np.frombuffer(raw, np.int32, k, 8 + 8 * k), np.frombuffer(raw, np.uint16, offset=8 + 12 * k)
+        h, m = np.cumsum(_unplaned(raw, np.uint64, k, 8), dtype=np.uint64), _unplaned(raw, np.int32, k, 8 + 8 * k)
+        doc = _unplaned(raw, np.uint16, (len(raw) - 8 - 12 * k) // 2, 8 + 12 * k)
         some, of = np.unique(doc, return_inverse=True)
         root = np.log10(learnt[np.searchsorted(hashes, h)])
-        data.append(_packed(some.astype(np.int32), np.bincount(of, weights=np.repeat(root, m)), np.bincount(of).astype(np.int32)))
+        data.append(_packed(*map(_planes, (np.diff(some, prepend=0).astype(np.int32), np.bincount(of, weights=np.repeat(root, m)), np.bincount(of).astype(np.int32)))))
     return pd.DataFrame({"block": rows["block"].to_numpy(np.int64), "kind": np.full(len(rows), 5, np.int32), "data": data})
 
 
@@ -1057,9 +1058,9 @@ def _join(v: int, n: int, ends: int, unknown: float):
         for kind, raw in pdf.loc[pdf["kind"].isin([2, 5]), ["kind", "data"]].itertuples(index=False):
             raw = _unpacked(raw)
             m = len(raw) // (20 if kind == 2 else 16)
-            doc, change, count = np.frombuffer(raw, np.int32, m), np.frombuffer(raw[4 * m : 12 * m], float), np.frombuffer(raw, np.int32, m, 12 * m)
+            doc, change, count = np.cumsum(_unplaned(raw, np.int32, m, 0)), _unplaned(raw, float, m, 4 * m), _unplaned(raw, np.int32, m, 12 * m)
             if kind == 2:  # count: ends that contexts settle; then symbols
-                score[doc] += change - count * (np.log10(max(ends, 1)) + seen) - np.frombuffer(raw, np.int32, m, 16 * m) * seen
+                score[doc] += change - count * (np.log10(max(ends, 1)) + seen) - _unplaned(raw, np.int32, m, 16 * m) * seen
             else:
                 score[doc] -= change + count * seen
         n_tokens = words + 1
