@@ -51,6 +51,8 @@ from .common import giving_back, on_other_work, small_batches
 MARK = "▁"
 #: Words in a worker's cache, and pieces whose neighbours it remembers.
 WORDS, NEIGHBOURS = 400_000, 400_000
+#: Characters of texts that are encoded at once: what is worked with meanwhile takes some 40 bytes for each.
+BLOCK = 1 << 19
 #: Longest word, in characters, that is merged without a heap.
 SHORT = 48
 #: Longest word, in characters, that the cache takes.
@@ -103,6 +105,18 @@ def _kind(raw: bytes) -> int:
     return kind
 
 
+def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive texts of about BLOCK characters together, one text at least; of no texts one empty block."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        n = len(text or "")
+        if k > first and size + n > BLOCK:
+            yield first, k
+            first, size = k, 0
+        size += n
+    yield first, len(texts)
+
+
 class Pieces:
     """A model of the BPE or the unigram kind: pieces, scores, and the encoding of marked words."""
 
@@ -328,7 +342,8 @@ class Pieces:
         collects = gc.isenabled()
         gc.disable()  # nothing here is circular, and each collection would walk the caches
         try:
-            return self._encoded(texts)
+            parts = [self._encoded(texts[a:b]) for a, b in _blocks(texts)]
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
         finally:
             if collects:
                 gc.enable()
