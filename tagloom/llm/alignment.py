@@ -46,7 +46,7 @@ from .common import _BYTE, BATCH_ROWS, _powers, materialize, mix64, small_batche
 #: Bytes of text that are cut and looked up at once.
 PIECE = 2 << 20
 #: Chunks (some 100 bytes each) that a worker keeps, and the bytes of the longest it takes.
-KEPT, KEPT_BYTES = 300_000, 64
+KEPT, KEPT_BYTES = 900_000, 64
 #: Links in a run, records in a frame, parts by B id, and bytes of frames in a slice of a part.
 RUN_LINKS, FRAME, PARTS, SLICE_BYTES = 2_000_000, 200_000, 16, 8 << 20
 

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import public_tokenizers
 
-from tagloom.llm import pieces
+from tagloom.llm import alignment, pieces
 
 
 def test_pieces_encode_a_batch_in_blocks_of_few_characters(monkeypatch):
@@ -26,3 +28,14 @@ def test_pieces_encode_a_batch_in_blocks_of_few_characters(monkeypatch):
     assert same.tolist() == [True] * len(texts)
     flat, n, same = model.encode_batch([])
     assert (len(flat), len(n), len(same)) == (0, 0, 0)
+
+
+def test_aligner_keeps_more_chunks_than_a_task_meets():
+    aligner = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    n = 500_000  # 23 MB of text have so many distinct ones
+    aligner.hashes, aligner.row = np.arange(n, dtype=np.uint64), np.arange(n)
+    aligner.counts, aligner.bounds = np.zeros((n, 4), np.int64), np.zeros(n + 1, np.int64)
+    aligner.groups = pa.array([b""] * n, pa.large_binary())
+    data = np.frombuffer(b" some words some", np.uint8)
+    counts, *_ = aligner.read(data, alignment.cuts(data, np.zeros(1, np.int64)))
+    assert counts[:, 3].tolist() == [1, 1, 1] and len(aligner.hashes) == n + 2
