@@ -19,8 +19,9 @@ text back that does not itself contain the mark or begin in a way that is not UT
 Models of other kinds, that change texts before (normalise, drop spaces), without byte
 pieces, with pieces that cross words or with user-defined pieces are refused.
 
-A worker keeps the encodings of words in two generations of at most WORDS / 2: what is
-asked for moves to the younger one, the older one is dropped when that is full.
+The words of a block of texts are cut and hashed as one array of bytes. A worker keeps the
+encodings of up to WORDS words by 64-bit hash, in arrays (some 30 bytes a word); when they
+are full, those stay that were asked for again since the last time.
 
 Defined cases: null text counts as empty (no pieces); a word of any length is read
 once through; words of several marks are merged as a whole; round_trip says whether
@@ -34,8 +35,6 @@ from __future__ import annotations
 import gc
 import heapq
 import math
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -46,22 +45,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import giving_back, on_other_work, small_batches
+from .common import giving_back, mix64, on_other_work, small_batches
 
 MARK = "▁"
-#: Words in a worker's cache, and pieces whose neighbours it remembers.
-WORDS, NEIGHBOURS = 400_000, 400_000
+#: Words whose encodings a worker keeps, and pieces whose neighbours it remembers.
+WORDS, NEIGHBOURS = 1_200_000, 400_000
 #: Characters of texts that are encoded at once: what is worked with meanwhile takes some 40 bytes for each.
 BLOCK = 1 << 19
 #: Longest word, in characters, that is merged without a heap.
 SHORT = 48
-#: Longest word, in characters, that the cache takes.
-CACHED_CHARS = 40
+#: Longest word, in bytes, that is kept, and bytes of words that are hashed at once.
+KEPT_BYTES, HASHED_BYTES = 120, 1 << 19
 #: What the library takes off the least score for a character without a piece.
 UNKNOWN = 10.0
 UNIGRAM, BPE = 1, 2
 
-_WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_U = np.uint64
+_BYTE = mix64(np.arange(601, 857, dtype=np.uint64))
+_POWERS = np.array([pow(0x2545F4914F6CDD1D, i, 1 << 64) for i in range(KEPT_BYTES)], np.uint64)
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -117,6 +118,32 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     yield first, len(texts)
 
 
+def _cut(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where words begin, of texts that begin at starts: at the first of several marks (here spaces), at line feeds and behind them."""
+    space, line = data == 0x20, data == 0x0A
+    first = line.copy()
+    first[1:] |= line[:-1] | space[1:] & ~space[:-1]
+    first[starts] = True
+    return np.flatnonzero(first)
+
+
+def _hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words at these places, of the first KEPT_BYTES bytes and the size."""
+    taken, out, a = np.minimum(size, KEPT_BYTES), np.empty(len(at), np.uint64), 0
+    ends = np.cumsum(taken)
+    with np.errstate(over="ignore"):
+        while a < len(at):
+            before = ends[a] - taken[a]
+            b = max(a + 1, int(np.searchsorted(ends, before + HASHED_BYTES, "right")))
+            n = taken[a:b]
+            begin = ends[a:b] - n - before
+            within = np.arange(ends[b - 1] - before) - np.repeat(begin, n)
+            value = _BYTE[data[np.repeat(at[a:b], n) + within]] * _POWERS[within]
+            out[a:b] = mix64(np.add.reduceat(value, begin) + size[a:b].astype(np.uint64) * _BYTE[0])
+            a = b
+    return out
+
+
 class Pieces:
     """A model of the BPE or the unigram kind: pieces, scores, and the encoding of marked words."""
 
@@ -155,8 +182,9 @@ class Pieces:
             if len(x) == 3 and x[1:] in self.ids:
                 n.add(2)
         self.sizes = {x: tuple(sorted((k for k in n if len(x) == 3 or k < 3), reverse=True)) for x, n in ends.items()}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # of the words kept: sorted hashes with their rows; by row whether it was asked for again, and where its pieces end
+        self.hashes, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.again, self.bounds, self.kept = np.zeros(0, bool), np.zeros(1, np.int64), np.zeros(0, np.int32)
         self.neighbours: dict[str, dict[str, bool]] = {}
         self.known_neighbours = 0
 
@@ -311,31 +339,37 @@ class Pieces:
             out[word] = self.numbers(path[::-1])
         return out
 
-    def _units(self, text: str | None) -> list[str]:
-        """What a text is looked up by: its parts between single spaces, else its marked words behind a sign of their own."""
-        if not text:
-            return []
-        parts = text.split(" ")
-        if "" in parts or MARK in text:
-            return [MARK + "\0" + w for w in _WORD.findall(MARK + text.replace(" ", MARK))]
-        return parts
-
-    def _looked_up(self, units: list[str]) -> list[bytes]:
-        """Pieces of distinct units, as packed 32-bit numbers."""
-        young, old = self.young, self.old
-        out = [young.get(u) or old.get(u) for u in units]
-        new = [u for u, f in zip(units, out, strict=True) if f is None]
-        words = [(u[2:],) if u.startswith(MARK) else _WORD.findall(MARK + u) for u in new]
-        ids = self.encode_words(list(set(chain.from_iterable(words))))
-        packed = {w: array("i", n).tobytes() for w, n in ids.items()}
-        made = iter([packed[w[0]] if len(w) == 1 else b"".join([packed[x] for x in w]) for w in words])
-        out = [next(made) if f is None else f for f in out]
-        for u, f in zip(units, out, strict=True):
-            if len(u) <= CACHED_CHARS:
-                if len(young) >= WORDS // 2:
-                    self.old, self.young = young, (young := {})
-                young[u] = f
-        return out
+    def _made(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of pieces of each of distinct words, whose marks are spaces, and the pieces in a row."""
+        marked = [w.decode().replace(" ", MARK) for w in words]
+        ids = self.encode_words(marked)
+        made = [ids[w] for w in marked]
+        return np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(chain.from_iterable(made), np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of words, -1 for those that are not kept."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.row[at], -1)
+
+    def _keep(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Keeps the pieces of words with these sorted hashes, which are not kept yet."""
+        n, ids = self._made(words)
+        at = np.searchsorted(self.hashes, hashes)
+        self.row = np.insert(self.row, at, len(self.again) + np.arange(len(n), dtype=np.int32))
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.again = np.append(self.again, np.zeros(len(n), bool))
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(n))
+        self.kept = np.append(self.kept, ids)
+
+    def _thin_out(self) -> None:
+        """Of the words kept those stay that were asked for again, if they are no more than half of WORDS."""
+        stay = self.again if np.count_nonzero(self.again) <= WORDS // 2 else np.zeros(len(self.again), bool)
+        own, size = stay[self.row], np.diff(self.bounds)
+        self.kept, self.bounds = self.kept[np.repeat(stay, size)], np.append(0, np.cumsum(size[stay]))
+        self.hashes, self.row = self.hashes[own], (np.cumsum(stay) - 1)[self.row[own]].astype(np.int32)
+        self.again = np.zeros(np.count_nonzero(stay), bool)
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of all texts in a row, their number and whether decoding gives it back, by text."""
@@ -349,17 +383,37 @@ class Pieces:
                 gc.enable()
 
     def _encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cut = [self._units(t) for t in texts]
-        index = {u: i for i, u in enumerate(set(chain.from_iterable(cut)))}
-        known = self._looked_up(list(index))
-        own = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids = np.frombuffer(b"".join(known), np.int32)
-        units = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter(map(index.__getitem__, chain.from_iterable(cut)), np.int64, int(units.sum()))
-        n, bounds = own[at], np.concatenate(([0], np.cumsum(units)))
-        before = np.concatenate(([0], np.cumsum(n)))
-        flat = ids[np.repeat((np.cumsum(own) - own)[at] - before[:-1], n) + np.arange(before[-1])]
-        n = np.diff(before[bounds])
+        parts = [(" " + t.replace(MARK, " ")).encode() if t else b"" for t in texts]
+        raw, ends = b"".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        if not raw:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+        starts = np.append(0, ends[:-1])
+        data = np.frombuffer(raw, np.uint8)
+        at = _cut(data, starts[starts < ends])
+        end = np.append(at[1:], len(data))
+        hashes, first, word = np.unique(_hashes(data, at, end - at), return_index=True, return_inverse=True)
+        short = end[first] - at[first] <= KEPT_BYTES
+        row = np.where(short, self._find(hashes), -1)
+        self.again[row[row >= 0]] = True
+        new = np.flatnonzero(short & (row < 0))
+        if len(self.hashes) + len(new) > WORDS and len(self.hashes):
+            self._thin_out()
+            row = np.where(short, self._find(hashes), -1)
+            new = np.flatnonzero(short & (row < 0))
+        if len(new):
+            self._keep(hashes[new], [raw[a:b] for a, b in zip(at[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            row[new] = self._find(hashes[new])
+        row, bounds, kept = row[word], self.bounds, self.kept
+        long = np.flatnonzero(row < 0)
+        if len(long):  # not known by hash
+            words: dict[bytes, int] = {}
+            row[long] = [len(self.again) + words.setdefault(raw[a:b], len(words)) for a, b in zip(at[long].tolist(), end[long].tolist(), strict=True)]
+            n, ids = self._made(list(words))
+            bounds, kept = np.append(bounds, bounds[-1] + np.cumsum(n)), np.append(kept, ids)
+        n = bounds[row + 1] - bounds[row]
+        before = np.append(0, np.cumsum(n))
+        flat = kept[np.repeat(bounds[row] - before[:-1], n) + np.arange(before[-1])]
+        n = np.diff(before[np.searchsorted(at, np.append(starts, len(data)))])
         return flat, n, self._gives_back(flat, n, texts)
 
     def _gives_back(self, flat: np.ndarray, n: np.ndarray, texts: list[str | None]) -> np.ndarray:
