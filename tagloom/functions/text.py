@@ -32,6 +32,10 @@ def corpus_words(cut: Column) -> Column:
     return F.filter(F.transform(F.split(cut, "(?U)\\s+"), lambda w: F.ltrim(w, F.lit("["))), lambda w: w != "")
 
 
+#: All tags of characters in words.
+TAGS = "BMES"
+
+
 def bmes(word: Column) -> Column:
     """Tags of a word's characters as one string: S alone, else B, as many M as are inside, E."""
     n = F.char_length(word)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.storage import materialize
+from tagloom.functions.text import TAGS
 from tagloom.operators.templates import Template, distinct
+from tagloom.operators.windows import texts_of
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -36,12 +38,22 @@ def observations(exploded: DataFrame) -> DataFrame:
 
 def observations_in(sequences: DataFrame, templates: list[Template]) -> DataFrame:
     """(obs_id, obs) of sequences(sent_id, cols, labels), by first place (sent_id, position, template)."""
-    first = distinct(sequences, templates).groupBy("obs").agg(F.min("first").alias("_first"))
+    return observations_of_entries(distinct(sequences, templates))
+
+
+def observations_of_entries(rows: DataFrame) -> DataFrame:
+    """(obs_id, obs) of rows(obs, first)."""
+    first = rows.groupBy("obs").agg(F.min("first").alias("_first"))
     return numbered(first, ["_first"], "obs_id").select("obs_id", "obs")
 
 
 def labels(sequences: DataFrame) -> DataFrame:
     """(label_id, label) over sequences; null labels have no id."""
+    texts = texts_of(sequences)
+    if texts is not None:
+        first = F.array(*[F.struct((F.locate(y, F.col("tags")) - 1).alias("t"), F.lit(y).alias("label")) for y in TAGS])
+        rows = texts.select("sent_id", F.explode(F.filter(first, lambda z: z["t"] >= 0)).alias("z")).select("sent_id", "z.t", "z.label")
+        return first_seen(rows, "label", ["sent_id", "t"], "label_id")
     rows = sequences.select("sent_id", F.posexplode_outer("labels").alias("t", "label")).where("label is not null")
     return first_seen(rows, "label", ["sent_id", "t"], "label_id")
 

@@ -10,7 +10,7 @@ space, so nothing overflows or vanishes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -31,15 +31,16 @@ SCALED_SPREAD = 300.0
 ENCODED = "sent_id long, n int, at array<int>, obs array<long>, y array<int>"
 
 
-def sized(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of POSITIONS positions at most (or of one row), by a column with their numbers of positions."""
+def sized(batches: Iterator[pa.RecordBatch], column: int = 1, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of most (else POSITIONS) positions at most (or of one row), by a column with their numbers of positions."""
+    most = POSITIONS if most is None else most
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         n = pc.fill_null(batch.column(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         a = 0
         while a < len(n):
-            b = a + max(int(np.searchsorted(np.cumsum(n[a:]), POSITIONS - size, "right")), 0 if held else 1)
+            b = a + max(int(np.searchsorted(np.cumsum(n[a:]), most - size, "right")), 0 if held else 1)
             if b > a:
                 held.append(batch.slice(a, b - a))
                 size += int(n[a:b].sum())
@@ -379,6 +380,11 @@ class Batch:
         pair[inner] = np.exp(forward[inner - 1][:, :, None] + self.b[inner] + (self.u[inner] + backward[inner])[:, None, :] - of[inner][:, None, None])
         return single, pair, z
 
+    def singles(self) -> tuple[np.ndarray, np.ndarray]:
+        """P(label) by position, log Z by lane."""
+        single, _, z = self.marginals()
+        return single, z
+
     def gold_scores(self) -> np.ndarray:
         """Score of the gold labels by lane, nan where one is not known."""
         gold, unknown = np.maximum(self.gold, 0), np.concatenate(([0], np.cumsum(self.gold < 0)))
@@ -439,61 +445,138 @@ def _lane_values(b: Batch, values: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def _reading(encoded: DataFrame) -> tuple[DataFrame, Callable]:
+    """The table that holds encoded's sequences, and a function that gives a task its batches and what Batch has of them."""
+    kept = getattr(encoded, "_windows", None)
+    if kept is not None:
+        return kept.rows, kept.reader()
+
+    def read(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[tuple[pa.RecordBatch, Batch]]:
+        for batch in sized(batches):
+            yield batch, Batch(batch, weights)
+
+    return encoded, read
+
+
 def potentials(encoded: DataFrame, weights: Weights) -> DataFrame:
     """(sent_id, u, b): summed weights of each label, and of each pair (previous, label) in rows of labels, at each position."""
     sent = encoded.sparkSession.sparkContext.broadcast(weights)
+    rows, read = _reading(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches):
-            b = Batch(batch, sent.value)
+        for batch, b in read(batches, sent.value):
             cuts = np.concatenate(([0], np.cumsum(b.n))).astype(np.int32)
             inner = [pa.ListArray.from_arrays(np.arange(b.size + 1, dtype=np.int32) * wide, pa.array(x.ravel())) for x, wide in ((b.u, b.y_size), (b.b, b.y_size**2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(cuts, x) for x in inner]], names=["sent_id", "u", "b"])
 
-    return encoded.mapInArrow(run, "sent_id long, u array<array<double>>, b array<array<double>>")
+    return rows.mapInArrow(run, "sent_id long, u array<array<double>>, b array<array<double>>")
+
+
+def _sums(b: Batch, values: np.ndarray) -> np.ndarray:
+    """Sums of values by position over the positions of each row; 0 where it has none."""
+    out, held = np.zeros((len(b.n), values.shape[1])), b.n > 0
+    if held.any():
+        out[held] = np.add.reduceat(values, b.begin[held], axis=0)
+    return out
+
+
+def summed_potentials(encoded: DataFrame, weights: Weights) -> DataFrame:
+    """(sent_id, u, into): summed potentials of each label over all positions, and of the pairs that end in each label over all but the first."""
+    sent = encoded.sparkSession.sparkContext.broadcast(weights)
+    rows, read = _reading(encoded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, b in read(batches, sent.value):
+            into = b.b.sum(1)
+            into[b.start] = 0
+            parts = [pa.FixedSizeListArray.from_arrays(pa.array(_sums(b, x).ravel()), b.y_size).cast(pa.list_(pa.float64())) for x in (b.u, into)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *parts], names=["sent_id", "u", "into"])
+
+    return rows.mapInArrow(run, "sent_id long, u array<double>, into array<double>")
+
+
+def tagged(encoded: DataFrame, weights: Weights) -> DataFrame:
+    """(sent_id, score, tags): score of the best label sequence, and its labels as one string."""
+    sent = encoded.sparkSession.sparkContext.broadcast(weights)
+    rows, read = _reading(encoded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, b in read(batches, sent.value):
+            path, score, _ = b.viterbi()
+            names = pa.array(sent.value.labels, pa.string()).take(pa.array(path))
+            cuts = pa.array(np.concatenate(([0], np.cumsum(b.n))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_lane_values(b, score, batch.num_rows)), pc.binary_join(pa.ListArray.from_arrays(cuts, names), "")], names=["sent_id", "score", "tags"])
+
+    return rows.mapInArrow(run, "sent_id long, score double, tags string")
+
+
+def certainties(encoded: DataFrame, weights: Weights) -> DataFrame:
+    """(sent_id, log_z, certainty, middle): log Z, the most likely label's probability on average, and each label's at position n / 2; null where there is no position."""
+    sent = encoded.sparkSession.sparkContext.broadcast(weights)
+    rows, read = _reading(encoded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, b in read(batches, sent.value):
+            single, z = b.singles()
+            held = b.n > 0
+            top = np.full(len(b.n), np.nan)
+            top[held] = _sums(b, single.max(1)[:, None])[held, 0] / b.n[held]
+            cuts = pa.array(np.concatenate(([0], np.cumsum(np.where(held, b.y_size, 0)))).astype(np.int32))
+            middle = pa.ListArray.from_arrays(cuts, pa.array(single[(b.begin + b.n // 2)[held]].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_lane_values(b, z, batch.num_rows)), pa.array(top, from_pandas=True), middle], names=["sent_id", "log_z", "certainty", "middle"])
+
+    return rows.mapInArrow(run, "sent_id long, log_z double, certainty double, middle array<double>")
+
+
+def counted(encoded: DataFrame) -> DataFrame:
+    """(obs_id, n): positions that have each observation."""
+    kept = getattr(encoded, "_windows", None)
+    if kept is not None:
+        return kept.counted()
+    return encoded.select(F.explode("obs").alias("obs_id")).groupBy("obs_id").agg(F.count("*").alias("n"))
 
 
 def decode(encoded: DataFrame, weights: Weights) -> DataFrame:
     """(sent_id, score, path): the best label sequence with each position's own score."""
     sent = encoded.sparkSession.sparkContext.broadcast(weights)
+    rows, read = _reading(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches):
-            b = Batch(batch, sent.value)
+        for batch, b in read(batches, sent.value):
             path, score, own = b.viterbi()
             names = pa.array(sent.value.labels, pa.string()).take(pa.array(path))
             cuts = np.concatenate(([0], np.cumsum(b.n))).astype(np.int32)
             pairs = pa.StructArray.from_arrays([names, pa.array(own)], names=["label", "score"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_lane_values(b, score, batch.num_rows)), pa.ListArray.from_arrays(cuts, pairs)], names=["sent_id", "score", "path"])
 
-    return encoded.mapInArrow(run, "sent_id long, score double, path array<struct<label:string,score:double>>")
+    return rows.mapInArrow(run, "sent_id long, score double, path array<struct<label:string,score:double>>")
 
 
 def posteriors(encoded: DataFrame, weights: Weights) -> DataFrame:
     """(sent_id, log_z, p): probability of each label at each position."""
     sent = encoded.sparkSession.sparkContext.broadcast(weights)
+    rows, read = _reading(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches):
-            b = Batch(batch, sent.value)
-            single, _, z = b.marginals()
+        for batch, b in read(batches, sent.value):
+            single, z = b.singles()
             inner = pa.ListArray.from_arrays(np.arange(b.size + 1, dtype=np.int32) * b.y_size, pa.array(single.ravel()))
             cuts = np.concatenate(([0], np.cumsum(b.n))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_lane_values(b, z, batch.num_rows)), pa.ListArray.from_arrays(cuts, inner)], names=["sent_id", "log_z", "p"])
 
-    return encoded.mapInArrow(run, "sent_id long, log_z double, p array<array<double>>")
+    return rows.mapInArrow(run, "sent_id long, log_z double, p array<array<double>>")
 
 
 def losses(encoded: DataFrame, weights: Weights) -> DataFrame:
     """(sent_id, loss): negative log-likelihood of the gold labels, null where one is null or not known."""
     sent = encoded.sparkSession.sparkContext.broadcast(weights)
+    rows, read = _reading(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches):
-            b = Batch(batch, sent.value)
+        for batch, b in read(batches, sent.value):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_lane_values(b, b.log_z() - b.gold_scores(), batch.num_rows), from_pandas=True)], names=["sent_id", "loss"])
 
-    return encoded.mapInArrow(run, "sent_id long, loss double")
+    return rows.mapInArrow(run, "sent_id long, loss double")
 
 
 def measured(encoded: DataFrame, weights: Weights, gradient: bool = True) -> tuple[np.ndarray, float, tuple[float, float]]:
@@ -503,12 +586,12 @@ def measured(encoded: DataFrame, weights: Weights, gradient: bool = True) -> tup
     """
     size = len(weights.theta)
     sent = encoded.sparkSession.sparkContext.broadcast(weights)
+    rows, read = _reading(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         total, loss, errors = counters(w), 0.0, np.zeros(4)
-        for batch in sized(batches):
-            b = Batch(batch, w)
+        for _, b in read(batches, w):
             errors += b.errors()
             if gradient:
                 loss += b.add_expected(total)
@@ -517,7 +600,7 @@ def measured(encoded: DataFrame, weights: Weights, gradient: bool = True) -> tup
             yield pa.RecordBatch.from_arrays([pa.array(f[a : a + 100_000]), pa.array(v[a : a + 100_000])], names=["f", "v"])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, -6, -1)), pa.array(np.concatenate(([loss], errors)))], names=["f", "v"])
 
-    got = encoded.mapInArrow(run, "f long, v double").groupBy("f").agg(F.sum("v").alias("v")).toPandas()
+    got = rows.mapInArrow(run, "f long, v double").groupBy("f").agg(F.sum("v").alias("v")).toPandas()
     sent.unpersist()
     f, v = got["f"].to_numpy(), got["v"].to_numpy()
     out = np.zeros(size)

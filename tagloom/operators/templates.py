@@ -203,6 +203,11 @@ def distinct(sequences: DataFrame, templates: list[Template]) -> DataFrame:
     templates are expanded. first grows with (sent_id, t, k); it is a decimal, which an
     aggregate keeps in place.
     """
+    from tagloom.operators import windows
+
+    texts = windows.texts_of(sequences)
+    if texts is not None and windows.fits(templates):
+        return windows.entries(texts, templates).select("k", "obs", "n", "first")
     zipped, names = _windows(F.col("cols"), templates)
     rows = _checked(sequences, templates).select(F.col("sent_id").cast("decimal(19,0)").alias("s"), F.posexplode_outer(zipped).alias("t", "z"))
     place = (F.col("s") * F.lit(1_000_000_000).cast("decimal(10,0)") + F.col("t")).cast("decimal(30,0)")

@@ -80,6 +80,9 @@ def slow(objectives: list[float], p: Params) -> bool:
 
 def empirical(encoded: DataFrame, weights: Weights) -> np.ndarray:
     """Counts of all weights in the gold labels: a grouped count of (observation, label) and (observation, previous, label)."""
+    kept = getattr(encoded, "_windows", None)
+    if kept is not None:
+        return kept.gold(weights)
     size, y = len(weights.theta), len(weights.labels)
     rows = encoded.select(F.explode(F.arrays_zip("at", "obs")).alias("o"), F.col("y").alias("g")).select(F.col("o.at").alias("t"), F.col("o.obs").alias("obs"), "g")
     rows = rows.select("obs", F.get("g", F.col("t")).alias("y"), F.get("g", F.col("t") - 1).alias("p"))

@@ -13,8 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagloom.functions.text import characters, corpus_words, six_digits, split_fields, tagged, trim_line
+from tagloom.functions.text import bmes, characters, corpus_words, six_digits, split_fields, tagged, trim_line
 from tagloom.sources.splits import lines_of_files, sequences_of_lines
 
 #: Lines of one text that sent_id leaves room for; a text of more raises an error.
@@ -63,9 +64,14 @@ def from_json_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def from_segmented(lines: DataFrame, id_column: str, cut: str) -> DataFrame:
     """Sequences of characters with word tags from segmented lines; lines without a word are skipped."""
-    rows = lines.select(F.col(id_column).alias("sent_id"), corpus_words(F.col(cut)).alias("words")).where(F.size("words") > 0)
+    # there is a word where a character is neither white space nor an opening bracket
+    rows = lines.where(F.col(cut).rlike("(?U)[^\\s\\[]")).select(F.col(id_column).alias("sent_id"), corpus_words(F.col(cut)).alias("words"))
     chars = characters(F.array_join("words", ""))
-    return rows.select("sent_id", F.transform(chars, lambda c: F.array(c)).alias("cols"), tagged(F.col("words")).alias("labels"))
+    out = rows.select("sent_id", F.transform(chars, lambda c: F.array(c)).alias("cols"), tagged(F.col("words")).alias("labels"))
+    if isinstance(rows.schema["sent_id"].dataType, T.IntegralType):
+        # what operators/windows.py reads instead
+        out._texts = rows.select(F.col("sent_id").cast("long").alias("sent_id"), F.array_join("words", "").alias("text"), F.array_join(F.transform("words", bmes), "").alias("tags"))
+    return out
 
 
 def lines_of(texts: DataFrame, id_column: str, text: str) -> DataFrame:
