@@ -158,6 +158,7 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     took = took.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
     rest = (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("int")
     words = F.split(F.btrim("_text", F.lit(" \t\n\x0b\f\r")), "[\\x20\\x09-\\x0D]+")
-    parts = F.flatten(F.transform("_ranges", lambda r: F.slice(words, (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))))
+    # a text is split once, not once a range: inside the outer lambda its words are a value
+    parts = F.flatten(F.flatten(F.transform(F.array(words), lambda ws: F.transform("_ranges", lambda r: F.slice(ws, (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))))))
     text = F.when(rest >= F.col("size"), F.col("_text")).otherwise(F.array_join(parts, " "))
     return took.withColumn("_text", text).select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
