@@ -579,10 +579,10 @@ def losses(encoded: DataFrame, weights: Weights) -> DataFrame:
     return rows.mapInArrow(run, "sent_id long, loss double")
 
 
-def measured(encoded: DataFrame, weights: Weights, gradient: bool = True) -> tuple[np.ndarray, float, tuple[float, float]]:
+def measured(encoded: DataFrame, weights: Weights, gradient: bool = True, decoded: bool = True) -> tuple[np.ndarray, float, tuple[float, float]]:
     """Expected counts of all weights, the loss, and the token and sentence error of decoding, over all sequences in one pass.
 
-    Tasks send sparse partial sums. Without gradient the counts and the loss stay zero.
+    Tasks send sparse partial sums. Without gradient the counts and the loss stay zero, and the errors where nothing is decoded.
     """
     size = len(weights.theta)
     sent = encoded.sparkSession.sparkContext.broadcast(weights)
@@ -592,7 +592,8 @@ def measured(encoded: DataFrame, weights: Weights, gradient: bool = True) -> tup
         w = sent.value
         total, loss, errors = counters(w), 0.0, np.zeros(4)
         for _, b in read(batches, w):
-            errors += b.errors()
+            if decoded:
+                errors += b.errors()
             if gradient:
                 loss += b.add_expected(total)
         f, v = sparse(w, total)

@@ -164,21 +164,21 @@ def lbfgs(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.nda
 
 
 class Objective:
-    """Penalised negative log-likelihood over all sequences, a Spark job an evaluation; errors are those of the last one."""
+    """Penalised negative log-likelihood over all sequences, a Spark job an evaluation; errors are those of the last one, if it decoded."""
 
-    def __init__(self, encoded: DataFrame, weights: Weights, p: Params):
-        self.encoded, self.weights, self.p = encoded, weights, p
+    def __init__(self, encoded: DataFrame, weights: Weights, p: Params, decoded: bool = True):
+        self.encoded, self.weights, self.p, self.decoded = encoded, weights, p, decoded
         self.seen = empirical(encoded, weights)
         self.errors = (0.0, 0.0)
 
     def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         w, p = self.weights, self.p
-        expected, loss, self.errors = measured(self.encoded, Weights(w.labels, w.uoff, w.boff, x))
+        expected, loss, self.errors = measured(self.encoded, Weights(w.labels, w.uoff, w.boff, x), decoded=self.decoded)
         return loss + p.l1 * np.abs(x).sum() + p.l2 * (x @ x) / 2, expected - self.seen + p.l2 * x
 
 
-def objective_of(encoded: DataFrame, weights: Weights, p: Params) -> Objective:
-    return Objective(encoded, weights, p)
+def objective_of(encoded: DataFrame, weights: Weights, p: Params, decoded: bool = True) -> Objective:
+    return Objective(encoded, weights, p, decoded)
 
 
 # --- stochastic gradient descent ---------------------------------------------------------

@@ -32,7 +32,7 @@ MARKS = [mark(sign, d) for sign in "-+" for d in range(1, 6)]
 #: Positions of a batch whose windows are counted (some 150 bytes each), and entries that a task gathers before it sends them.
 COUNTED, GATHERED = 500_000, 400_000
 #: Positions that a task labels at once (some 300 bytes each); a longer sequence is alone.
-STEPPED = 150_000
+STEPPED = 300_000
 #: Entries up to which a template's ids are a table over its cells, not a search.
 TABLE = 1 << 21
 
@@ -269,7 +269,7 @@ class TextBatch(Batch):
         self.y_size = size = len(w.labels)
         self.begin = np.cumsum(self.n) - self.n
         self.size = int(self.n.sum())
-        self.w = w
+        self.w, self.ones = w, np.ones(size)
         self.of, _, cells = Texts(batch.column(2), coder.reader.cells).split(self.n).windows()
         self.obs = coder.observations(cells)
         own = np.where(self.obs >= 0, w.uoff[self.obs], -1) >= 0 if len(w.uoff) else np.zeros(self.obs.shape, bool)
@@ -277,7 +277,6 @@ class TextBatch(Batch):
         for k in range(self.obs.shape[1]):
             self.window_u += np.where(own[:, k, None], w.u[np.where(own[:, k], self.obs[:, k], 0)], 0.0) if own[:, k].any() else 0.0
         self.u_own = own
-        self.u = self.window_u[self.of]
         pair, row = w.b
         self.b_rows = np.where(self.obs >= 0, row[self.obs], -1) if len(row) else np.full(self.obs.shape, -1)
         kinds, self.kind = np.unique(self.b_rows, axis=0, return_inverse=True) if len(self.b_rows) > 1 and (self.b_rows != self.b_rows[0]).any() else (self.b_rows[:1], np.zeros(len(self.b_rows), np.int64))
@@ -297,12 +296,20 @@ class TextBatch(Batch):
         self.start, self.length = self.begin[self.lanes], self.n[self.lanes]
         live = np.searchsorted(-self.length, -np.arange(int(self.length[0]) if len(self.length) else 0), "left")
         self.steps = np.concatenate(([0], np.cumsum(live))).tolist()
-        lane = np.arange(self.size) - np.repeat(self.steps[:-1], live)
-        self.step = self.start[lane] + np.repeat(np.arange(len(live)), live)
         inner = np.ones(self.size, bool)
         inner[self.start] = False
         self.inner = np.flatnonzero(inner)
 
+    @cached_property
+    def u(self) -> np.ndarray:
+        return self.window_u[self.of]
+
+    @cached_property
+    def step(self) -> np.ndarray:
+        live = np.diff(self.steps)
+        lane = np.arange(self.size) - np.repeat(self.steps[:-1], live)
+        return self.start[lane] + np.repeat(np.arange(len(live)), live)
+
     def viterbi(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.one is None or not self.size:
             return super().viterbi()
@@ -316,7 +323,7 @@ class TextBatch(Batch):
             for i in range(1, size):
                 score = before[:, i : i + 1] + (self.one[i] + now)
                 higher = score > best
-                came[higher] = i
+                np.copyto(came, i, where=higher)
                 np.maximum(best, score, out=best)
             value[: z - a] = best
         state = value.argmax(1)
@@ -351,7 +358,7 @@ class TextBatch(Batch):
         for t in range(len(steps) - 1):
             a, z = steps[t], steps[t + 1]
             now = u[a:z] * (forward[steps[t - 1] : steps[t - 1] + z - a] @ b) if t else u[a:z]
-            now.sum(1, out=total[a:z])
+            np.matmul(now, self.ones, out=total[a:z])
             np.divide(now, total[a:z, None], out=forward[a:z])
         logs = np.empty(self.size)
         logs[self.step] = np.log(total)
@@ -370,8 +377,7 @@ class TextBatch(Batch):
             if t + 2 < len(steps):
                 n = steps[t + 2] - end
                 now = weighed[end : end + n] @ across
-                now /= now.max(1)[:, None]
-                backward[a : a + n] = now
+                np.divide(now, (now @ self.ones)[:, None], out=backward[a : a + n])
             np.multiply(u[a:end], backward[a:end], out=weighed[a:end])
         live = np.diff(steps)
         before = np.arange(steps[1], self.size) - np.repeat(live[:-1], live[1:])
@@ -383,7 +389,7 @@ class TextBatch(Batch):
         forward, backward, _, _ = self._sides()
         single = np.empty((self.size, self.y_size))
         single[self.step] = forward * backward
-        single /= single.sum(1)[:, None]
+        single /= (single @ self.ones)[:, None]
         return single, self._forward[1]
 
     def marginals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -392,7 +398,7 @@ class TextBatch(Batch):
         forward, backward, weighed, before = self._sides()
         single, pair = np.empty((self.size, self.y_size)), np.zeros((self.size, self.y_size, self.y_size))
         single[self.step] = forward * backward
-        single /= single.sum(1)[:, None]
+        single /= (single @ self.ones)[:, None]
         first = self.steps[1]
         both = forward[before][:, :, None] * self._scaled[1] * weighed[first:, None, :]
         both /= both.sum((1, 2))[:, None, None]
@@ -419,7 +425,7 @@ class TextBatch(Batch):
             z, b, first = self._forward[1], self._scaled[1], self.steps[1]
             single = np.empty((self.size, self.y_size))
             single[self.step] = forward * backward
-            single /= single.sum(1)[:, None]
+            single /= (single @ self.ones)[:, None]
             ahead = forward[before]
             ahead /= np.einsum("ci,ci->c", ahead @ b, weighed[first:])[:, None]
             pairs = (b * (ahead.T @ weighed[first:])).reshape(1, -1)

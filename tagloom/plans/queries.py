@@ -120,14 +120,14 @@ def q12_objective_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q13_gradient_at_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient of all weights at zero, by the distributed backward pass: expected less gold counts."""
     model, encoded, arrays = _prepared(spark, sf_dir)
-    _, g = objective_of(encoded, arrays, Params())(arrays.theta)
+    _, g = objective_of(encoded, arrays, Params(), decoded=False)(arrays.theta)
     return _cells(model, g, "g").select("obs", "previous", "label", F.round("g", 6).alias("g"))
 
 
 def q14_pseudo_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, encoded, arrays = _prepared(spark, sf_dir)
     p = Params()
-    _, g = objective_of(encoded, arrays, p)(arrays.theta)
+    _, g = objective_of(encoded, arrays, p, decoded=False)(arrays.theta)
     return _cells(model, pseudo_gradient(arrays.theta, g, p.l1), "pg").select("obs", "previous", "label", F.round("pg", 6).alias("pg"))
 
 
@@ -135,7 +135,7 @@ def q15_first_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First point that the optimiser's line search tries."""
     model, encoded, arrays = _prepared(spark, sf_dir)
     p, tried = Params(max_iter=1, max_line_search=1), []
-    objective = objective_of(encoded, arrays, p)
+    objective = objective_of(encoded, arrays, p, decoded=False)
 
     def seen(x):
         tried.append(x)
@@ -297,7 +297,7 @@ def q37_first_trial_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objective with its penalties at zero and at the first point that the line search tries, and that point's weights that are not zero."""
     model, encoded, arrays = _prepared(spark, sf_dir)
     p, seen = Params(max_iter=1, max_line_search=1), []
-    objective = objective_of(encoded, arrays, p)
+    objective = objective_of(encoded, arrays, p, decoded=False)
 
     def valued(x):
         f, g = objective(x)
